@@ -42,6 +42,8 @@ ARTICLE_ID_LENGTH = 24
 WS_CLASS = r"\s\x0B\x1C-\x1F\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 WS = f"[{WS_CLASS}]+"
 WORD = f"[^{WS_CLASS}]+"
+# The same set as characters, built from the rule itself (all lie at or below U+3000).
+PY_SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 
 def col_(c: str | Column) -> Column:
@@ -66,9 +68,23 @@ def sentences(text: str | Column, pattern: str = SENTENCE_SPLIT) -> Column:
     return F.split(col_(text), pattern, -1)
 
 
+def normalize_spaces(s: Column) -> Column:
+    """Map every Python whitespace character to U+0020 (one pass, no regex)."""
+    return F.translate(s, PY_SPACES, " " * len(PY_SPACES))
+
+
+def tokens(s: Column) -> Column:
+    """Whitespace-separated tokens; runs of spaces leave empty strings between them."""
+    return F.split(normalize_spaces(s), " ", -1)
+
+
 def word_count(s: Column) -> Column:
-    """Number of whitespace-separated words (Python ``len(s.split())``)."""
-    return F.regexp_count(s, F.lit(WORD)).cast("int")
+    """Number of whitespace-separated words (Python ``len(s.split())``).
+
+    Translating the whitespace set to plain spaces and splitting on one literal
+    character is several times faster than a Unicode character-class regex.
+    """
+    return F.size(F.filter(tokens(s), lambda w: w != ""))
 
 
 def long_sentence_lengths(text: str | Column, min_words: int = MIN_SENTENCE_WORDS,

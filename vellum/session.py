@@ -58,3 +58,36 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder (for written intermediates)."""
     root = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{root}/{name}-{uuid.uuid4().hex}"
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``vellum`` importable by Python workers (the ``--py-files`` mechanism).
+
+    Called by the operators that run Python on executors.  Idempotent per context;
+    skipped when the package already comes from an installed / shipped archive.
+    """
+    sc = spark.sparkContext
+    key = id(sc._jsc)  # one shipment per running context
+    if key in _SHIPPED:
+        return
+    pkg_dir = os.path.dirname(os.path.abspath(__file__))
+    if not os.path.isdir(pkg_dir):  # imported from a zip: already shipped
+        _SHIPPED.add(key)
+        return
+    import zipfile
+    out_dir = tempfile.mkdtemp(prefix="vellum-pyfiles-")
+    zpath = os.path.join(out_dir, "vellum.zip")
+    root = os.path.dirname(pkg_dir)
+    with zipfile.ZipFile(zpath, "w", zipfile.ZIP_DEFLATED) as zf:
+        for base, _dirs, files in os.walk(pkg_dir):
+            if "__pycache__" in base:
+                continue
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(base, f)
+                    zf.write(full, os.path.relpath(full, root))
+    sc.addPyFile(zpath)
+    _SHIPPED.add(key)
