@@ -1,0 +1,38 @@
+"""Hand-made enriched-article frame (rule-generated, deterministic)."""
+
+import random
+
+SCHEMA = ("document_id string, title string, publish_date string, authors string, "
+          "category string, sub_cat string, tags string, ents string, ctr double, "
+          "views double, depth double, full_reads_percent double, text_length int, img int, "
+          "video int, a int, p int, avg_sentence_len double, max_sentence_len int, "
+          "min_sentence_len int, before_pro_text_ratio double, cleaned_text_length int, "
+          "cleaned_text_before_pro_length int")
+
+SUB_CATS = ["Политика", "Общество", "Бизнес", "other topic", "", None]
+TAGS = [f"{i:024x}" for i in range(1, 9)]
+ENTS = ["LOC", "PER", "ORG", "MISC"]
+
+
+def rows(n=160, seed=7, unseen=False):
+    rnd = random.Random(seed)
+    out = []
+    for i in range(n):
+        tags = rnd.sample(TAGS, rnd.randint(0, 3))
+        ents = [rnd.choice(ENTS) for _ in range(rnd.randint(0, 3))]
+        ctr = rnd.random() * 5
+        views = 1000 * ctr + 300 * len(tags) + rnd.random() * 50
+        depth = 1 + views / 5000 + rnd.random() * 0.1
+        frp = 20 + 10 * depth + rnd.random() * 5 if i % 17 else 150.0
+        author = f"author{rnd.randint(0, 5)}" if not unseen else f"new{i}"
+        out.append((
+            f"{i:024x}suffix{i}", f"title {i}",
+            f"2022-{rnd.randint(1, 12):02d}-{rnd.randint(1, 28):02d} {rnd.randint(0, 23):02d}:"
+            f"{rnd.randint(0, 59):02d}:{rnd.randint(0, 59):02d}",
+            author, f"cat{rnd.randint(0, 3)}", rnd.choice(SUB_CATS),
+            "[" + ", ".join(f"'{t}'" for t in tags) + "]",
+            "[" + ", ".join(f"'{e}'" for e in ents) + "]",
+            ctr, views, depth, frp, rnd.randint(100, 5000), rnd.randint(0, 1), rnd.randint(0, 1),
+            rnd.randint(0, 10), rnd.randint(1, 30), rnd.random() * 20, rnd.randint(11, 40),
+            rnd.randint(11, 20), rnd.random(), rnd.randint(50, 4000), rnd.randint(0, 50)))
+    return out
