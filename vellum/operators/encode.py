@@ -30,12 +30,34 @@ def fit_classes(df: DataFrame, col: str, multi: bool = False) -> list[str]:
     """Sorted distinct non-null labels (code-point order), or elements when ``multi``.
 
     The distinct runs distributed with a map-side partial aggregate, so a hot label
-    is collapsed inside each task before the shuffle.
+    is collapsed inside each task before the shuffle.  Only the distinct values reach
+    the driver, where they are sorted: Python's string order is code-point order,
+    the same as Spark's binary (UTF-8) order, so no extra sort job is needed.
     """
-    c = F.explode(F.col(col)) if multi else F.col(col)
-    vals = (df.select(c.alias("v")).where(F.col("v").isNotNull()).distinct()
-            .orderBy("v"))
-    return [r["v"] for r in vals.collect()]
+    return fit_classes_many(df, [col], multi={col} if multi else set())[col]
+
+
+def _tagged(c: str):
+    return lambda x: F.struct(F.lit(c).alias("c"), x.cast("string").alias("v"))
+
+
+def fit_classes_many(df: DataFrame, cols: Sequence[str], multi: set | frozenset = frozenset()
+                     ) -> dict[str, list[str]]:
+    """A2 for several columns in one scan: one ``(column, value)`` array per row, exploded."""
+    parts = []
+    for c in cols:
+        if c in multi:
+            parts.append(F.transform(F.coalesce(F.col(c), F.array().cast("array<string>")),
+                                     _tagged(c)))
+        else:
+            parts.append(F.array(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))))
+    both = parts[0] if len(parts) == 1 else F.concat(*parts)
+    u = df.select(F.explode(both).alias("p")).select("p.c", "p.v")
+    rows = u.where(F.col("v").isNotNull()).distinct().collect()
+    out: dict[str, list[str]] = {c: [] for c in cols}
+    for r in rows:
+        out[r["c"]].append(r["v"])
+    return {c: sorted(v) for c, v in out.items()}
 
 
 # --- E1 / E2 / E3 -----------------------------------------------------------

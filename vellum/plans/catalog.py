@@ -23,7 +23,7 @@ from vellum.functions import text as T
 from vellum.operators import clean, encode, entities, metrics, model, split
 from vellum.operators.html import html_features
 from vellum.plans import enrich as E
-from vellum.session import scratch_path
+from vellum.session import scratch_path, spread
 from vellum.sources.articles import dedupe_pages
 
 # ---------------------------------------------------------------------------
@@ -155,7 +155,7 @@ def sql_holdout(key: str, seed: int = split.SEED) -> str:
 # Text (T1-T9, A3, P9)
 # ---------------------------------------------------------------------------
 def q_sentence_stats(spark, d):
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+    docs = spread(_t(spark, d, "documents").select("doc_id", "text"))
     out = T.with_sentence_stats(docs, "text")
     return out.select(
         "doc_id", T.text_length("text").cast("long").alias("text_length"),
@@ -173,7 +173,7 @@ FROM s"""
 
 
 def _cleaned(spark, d, prefixes, markers):
-    docs = _t(spark, d, "documents").select("doc_id", "text")
+    docs = spread(_t(spark, d, "documents").select("doc_id", "text"))
     out = T.with_cleaned_text(docs, "text", prefixes, markers)
     return out.select(
         "doc_id", "full_cleaned_text",
@@ -530,12 +530,13 @@ LINE_TARGETS = {"views": "l_extendedprice", "depth": "l_tax", "full_reads_percen
 
 def lineitem_training_table(spark, d) -> tuple[DataFrame, dict[str, list[str]]]:
     """Encoded lineitem rows: scalar features, a part-name tag block, three targets."""
-    li = _t(spark, d, "lineitem")
+    li = spread(_t(spark, d, "lineitem"))
     part = _t(spark, d, "part").select("p_partkey", F.split("p_name", " ", -1).alias("tags"))
     rows = li.join(part, li.l_partkey == part.p_partkey, "left").withColumn(
         "tags", F.coalesce("tags", F.array().cast("array<string>")))
-    flag = encode.fit_label_encoder(li, "l_returnflag", "returnflag")
-    status = encode.fit_label_encoder(li, "l_linestatus", "linestatus")
+    cls = encode.fit_classes_many(li, ["l_returnflag", "l_linestatus"])
+    flag = encode.LabelEncoderModel(cls["l_returnflag"], "l_returnflag", "returnflag")
+    status = encode.LabelEncoderModel(cls["l_linestatus"], "l_linestatus", "linestatus")
     tags = encode.fit_multi_hot(part, "tags", "tags_vec")
     rows = status.transform(flag.transform(rows))
     rows = tags.transform(rows).select(

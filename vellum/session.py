@@ -91,3 +91,33 @@ def ship_package(spark: SparkSession) -> None:
                     zf.write(full, os.path.relpath(full, root))
     sc.addPyFile(zpath)
     _SHIPPED.add(key)
+
+
+# Inputs at most this large (Spark's own size estimate) may be spread over all cores
+# before CPU-heavy per-row work; larger inputs already arrive in many splits.
+SMALL_INPUT_BYTES = 1 << 30
+
+
+def estimated_bytes(df) -> int | None:
+    """Optimizer size estimate of a DataFrame (None when unavailable)."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - e.g. Spark Connect
+        return None
+
+
+def spread(df, partitions: int | None = None, max_bytes: int = SMALL_INPUT_BYTES):
+    """Round-robin a *small* input over all task slots before CPU-heavy per-row work.
+
+    A file stored as one row group is read by one task; for expensive row-wise work
+    (regex text features, HTML parsing, forest training) that serialises the job.
+    The shuffle this adds is bounded by ``max_bytes``; above it the input is left as
+    it is (it is then read as many splits and the shuffle would only cost).
+    """
+    size = estimated_bytes(df)
+    if size is None or size > max_bytes:
+        return df
+    n = partitions or df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= n:  # already spread (planning only, no job)
+        return df
+    return df.repartition(n)
