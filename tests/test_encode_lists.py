@@ -95,3 +95,11 @@ def test_list_literal_roundtrip(spark):
     assert lit == ["['x', 'y']", "[]"]
     back = spark.createDataFrame([(s,) for s in lit], "s string").select(L.parse_list_literal("s"))
     assert [r[0] for r in back.collect()] == [["x", "y"], []]
+
+
+def test_distributed_code_table_equals_sorted_classes(spark, sf001):
+    orders = spark.read.parquet(f"{sf001}/orders.parquet").select(
+        F.col("o_custkey").cast("string").alias("a"))
+    want = {v: i for i, v in enumerate(encode.fit_classes(orders, "a"))}
+    got = {r["value"]: r["code"] for r in encode.fit_code_table(orders, "a", partitions=5).collect()}
+    assert got == want

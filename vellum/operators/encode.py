@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Above this many classes a code table is joined without a broadcast hint (AQE may
@@ -104,6 +104,35 @@ def fit_label_encoder(df: DataFrame, col: str, out: str | None = None,
 
 
 # --- O3 / J3 ----------------------------------------------------------------
+def fit_code_table(df: DataFrame, col: str, partitions: int | None = None,
+                   value_col: str = "value", code_col: str = "code") -> DataFrame:
+    """O3 fully distributed: dense codes over the sorted distinct values of ``col``.
+
+    For label sets too large for a driver-side list.  Distinct values are range
+    partitioned (partition ``i`` holds only values below those of ``i + 1``), written
+    to the shared checkpoint folder so partition ids are fixed, numbered inside their
+    partition, and shifted by the number of values in lower partitions - a table with
+    one row per partition.  No step gathers the values into one task.
+    """
+    spark = df.sparkSession
+    from vellum.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(spark)
+    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    distinct = df.select(F.col(col).cast("string").alias("__v")).where(
+        F.col("__v").isNotNull()).distinct()
+    ranged = (distinct.repartitionByRange(n, "__v")
+              .withColumn("__pid", F.spark_partition_id()).checkpoint())
+    local = ranged.withColumn(
+        "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy("__v")))
+    sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
+    below = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__pid", F.coalesce(F.sum("__n").over(below), F.lit(0))
+                           .alias("__off"))
+    return (local.join(F.broadcast(offsets), "__pid")
+            .select(F.col("__v").alias(value_col),
+                    (F.col("__off") + F.col("__rn") - 1).cast("int").alias(code_col)))
+
+
 def code_table(spark: SparkSession, classes: Sequence[str], value_col: str = "value",
                code_col: str = "code") -> DataFrame:
     """``(value, code)`` table of a fitted class list (the persisted encoder form)."""

@@ -21,7 +21,6 @@ from vellum.functions import dates as D
 from vellum.functions import lists as L
 from vellum.functions import text as T
 from vellum.operators import clean, encode, entities, metrics, model, split
-from vellum.operators.html import html_features
 from vellum.plans import enrich as E
 from vellum.session import scratch_path, spread
 from vellum.sources.articles import dedupe_pages
@@ -106,7 +105,7 @@ def _sql_has_class(x: str, cls: str) -> str:
 SQL_PAGE_FEATURES = f"""
 pg AS (
   SELECT page_id, html FROM pages
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url, html) = 1),
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url, md5(html)) = 1),
 pb AS (
   SELECT page_id,
     regexp_matches(html, '<article[\\s>]') AS has_body,
@@ -219,9 +218,8 @@ def _typed_page_cols(df: DataFrame) -> list:
 
 
 def q_html_features(spark, d):
-    pages = dedupe_pages(_t(spark, d, "pages"))
-    feats = html_features(pages, "page_id", "html", **PAGE_SELECTORS)
-    return feats.select("page_id", *_typed_page_cols(feats))
+    feats = E.page_features(_t(spark, d, "pages"), **PAGE_SELECTORS)
+    return feats.select(F.col("__aid").cast("long").alias("page_id"), *_typed_page_cols(feats))
 
 
 SQL_HTML_FEATURES = f"WITH {SQL_PAGE_FEATURES.strip()}\nSELECT * FROM pf"
@@ -239,7 +237,7 @@ def q_page_join(spark, d):
 SQL_PAGE_JOIN = """
 WITH pg AS (
   SELECT page_id, url FROM pages
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url, html) = 1)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url, md5(html)) = 1)
 SELECT CAST(d.doc_id AS VARCHAR) AS document_id, pg.page_id, pg.url
 FROM documents d LEFT JOIN pg ON substr(CAST(d.doc_id AS VARCHAR), 1, 24) = CAST(pg.page_id AS VARCHAR)"""
 
@@ -362,12 +360,15 @@ def _orders_authors(spark, d):
 
 
 def q_label_encode_unseen(spark, d):
-    """Codes fitted on the training split, unseen authors -> -1 (code-table join)."""
+    """Codes fitted on the training split, unseen authors -> -1 (code-table join).
+
+    The code table is built distributed (no driver-side label list); it is broadcast
+    only when its counted size is small, otherwise joined by a shuffle.
+    """
     orders = _orders_authors(spark, d)
     train, _ = split.split(orders, "o_orderkey")
-    classes = encode.fit_classes(train, "author")
-    codes = encode.code_table(spark, classes)
-    out = encode.lookup_codes(orders, codes, "author", "author_code", n_codes=len(classes))
+    codes = encode.fit_code_table(train, "author")
+    out = encode.lookup_codes(orders, codes, "author", "author_code")
     return out.select("o_orderkey", "author", F.col("author_code").cast("long").alias("author_code"))
 
 

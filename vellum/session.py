@@ -106,14 +106,20 @@ def estimated_bytes(df) -> int | None:
         return None
 
 
-def spread(df, partitions: int | None = None, max_bytes: int = SMALL_INPUT_BYTES):
+SPREAD_CONF = "spark.vellum.spread.maxBytes"
+
+
+def spread(df, partitions: int | None = None, max_bytes: int | None = None):
     """Round-robin a *small* input over all task slots before CPU-heavy per-row work.
 
     A file stored as one row group is read by one task; for expensive row-wise work
     (regex text features, HTML parsing, forest training) that serialises the job.
     The shuffle this adds is bounded by ``max_bytes``; above it the input is left as
-    it is (it is then read as many splits and the shuffle would only cost).
+    it is (it is then read as many splits and the shuffle would only cost).  The bound
+    is the session setting ``spark.vellum.spread.maxBytes`` (0 disables spreading).
     """
+    if max_bytes is None:
+        max_bytes = int(df.sparkSession.conf.get(SPREAD_CONF, str(SMALL_INPUT_BYTES)))
     size = estimated_bytes(df)
     if size is None or size > max_bytes:
         return df
