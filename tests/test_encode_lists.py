@@ -103,3 +103,17 @@ def test_distributed_code_table_equals_sorted_classes(spark, sf001):
     want = {v: i for i, v in enumerate(encode.fit_classes(orders, "a"))}
     got = {r["value"]: r["code"] for r in encode.fit_code_table(orders, "a", partitions=5).collect()}
     assert got == want
+
+
+def test_large_label_sets_use_the_join_path(spark, monkeypatch):
+    monkeypatch.setattr(encode, "MAX_INLINE_CLASSES", 1)
+    monkeypatch.setattr(encode, "MAX_BROADCAST_CODES", 1)
+    df = spark.createDataFrame(LABELS, "split string, c string")
+    train, test = df.where("split = 'train'"), df.where("split = 'test'")
+    dflt = encode.fit_label_encoder(train, "c", "code", on_unseen="default")
+    assert sorted(r["code"] for r in dflt.transform(test).collect()) == [-1, -1, 0]
+    strict = encode.fit_label_encoder(train, "c", "code")
+    got = {r["c"]: r["code"] for r in strict.transform(train).collect()}
+    assert got == {"a": 0, "b": 1, "c": 2}
+    with pytest.raises(Exception):
+        strict.transform(test).collect()

@@ -23,6 +23,9 @@ from pyspark.sql import functions as F
 # Above this many classes a code table is joined without a broadcast hint (AQE may
 # still broadcast it at run time when its measured size is small).
 MAX_BROADCAST_CODES = 1_000_000
+# Up to this many classes the label map travels inside the task (StringIndexerModel);
+# above it the encoder joins a code table instead.
+MAX_INLINE_CLASSES = 100_000
 
 
 # --- A2 ---------------------------------------------------------------------
@@ -77,6 +80,8 @@ class LabelEncoderModel:
         self.on_unseen, self.default = on_unseen, int(default)
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if len(self.classes) > MAX_INLINE_CLASSES:
+            return self._transform_by_join(df)
         tmp = f"__{self.out}_idx"
         handle = "error" if self.on_unseen == "error" else "keep"
         indexer = StringIndexerModel.from_labels(self.classes, inputCol=self.col,
@@ -86,6 +91,21 @@ class LabelEncoderModel:
             idx = F.when(idx >= len(self.classes), F.lit(self.default)).otherwise(idx)
         return indexer.transform(df).withColumn(self.out, idx.cast("int")).drop(tmp)
 
+    def _transform_by_join(self, df: DataFrame) -> DataFrame:
+        """Large label sets: left join to the code table (broadcast only when small)."""
+        codes = code_table(df.sparkSession, self.classes, "__k", "__code")
+        if len(self.classes) <= MAX_BROADCAST_CODES:
+            codes = F.broadcast(codes)
+        joined = df.join(codes, df[self.col] == codes["__k"], "left")
+        code = F.col("__code")
+        if self.on_unseen == "default":
+            code = F.coalesce(code, F.lit(self.default))
+        else:
+            code = F.when(code.isNull(), F.raise_error(F.concat(
+                F.lit(f"unseen or null label in {self.col}: "),
+                F.coalesce(F.col(self.col).cast("string"), F.lit("NULL"))))).otherwise(code)
+        return joined.withColumn(self.out, code.cast("int")).drop("__k", "__code")
+
     def save(self, spark: SparkSession, path: str) -> None:
         meta = f"{self.col}\t{self.out}\t{self.on_unseen}\t{self.default}"
         (code_table(spark, self.classes).withColumn("meta", F.lit(meta))
