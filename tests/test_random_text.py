@@ -1,0 +1,33 @@
+"""Randomised texts from tricky pieces vs the plain-Python twins (one Spark job)."""
+
+import random
+
+import pytest
+
+from test_text import twin_cleaned, twin_sentence_stats
+from vellum.functions import text as T
+
+PIECES = ["word", "x", "Pro", "www", " ", "  ", ". ", ".", "\n", "\n\n", "\t", " ",
+          " ", "　", "\x1c", "Читайте на РБК Pro", "Россия Москва Мир", "Источник:",
+          "0 (за сутки)", "a b c d e f g h i j k l", "é", "\U0001F600"]
+
+
+def _texts(n=400, seed=11):
+    rnd = random.Random(seed)
+    return [(i, "".join(rnd.choice(PIECES) for _ in range(rnd.randint(0, 60)))) for i in range(n)]
+
+
+def test_random_texts_match_twins(spark):
+    data = _texts()
+    df = spark.createDataFrame(data, "doc_id int, text string")
+    out = T.with_cleaned_text(T.with_sentence_stats(df, "text"), "text")
+    rows = {r["doc_id"]: r for r in out.collect()}
+    for i, text in data:
+        r = rows[i]
+        avg, mx, mn = twin_sentence_stats(text)
+        assert (r["max_sentence_len"], r["min_sentence_len"]) == (mx, mn), repr(text)
+        assert r["avg_sentence_len"] == pytest.approx(avg), repr(text)
+        f, ratio, lf, lb = twin_cleaned(text)
+        assert r["full_cleaned_text"] == f, repr(text)
+        assert (r["cleaned_text_length"], r["cleaned_text_before_pro_length"]) == (lf, lb)
+        assert r["before_pro_text_ratio"] == pytest.approx(ratio)

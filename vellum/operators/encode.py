@@ -134,14 +134,13 @@ def fit_code_table(df: DataFrame, col: str, partitions: int | None = None,
     partition, and shifted by the number of values in lower partitions - a table with
     one row per partition.  No step gathers the values into one task.
     """
+    from vellum.session import materialize
     spark = df.sparkSession
-    from vellum.session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(spark)
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     distinct = df.select(F.col(col).cast("string").alias("__v")).where(
         F.col("__v").isNotNull()).distinct()
-    ranged = (distinct.repartitionByRange(n, "__v")
-              .withColumn("__pid", F.spark_partition_id()).checkpoint())
+    ranged = materialize(distinct.repartitionByRange(n, "__v")
+                         .withColumn("__pid", F.spark_partition_id()), "codes")
     local = ranged.withColumn(
         "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy("__v")))
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))

@@ -22,7 +22,7 @@ from vellum.functions import lists as L
 from vellum.functions import text as T
 from vellum.operators import clean, encode, entities, metrics, model, split
 from vellum.plans import enrich as E
-from vellum.session import scratch_path, spread
+from vellum.session import materialize, scratch_path, spread
 from vellum.sources.articles import dedupe_pages
 
 # ---------------------------------------------------------------------------
@@ -655,8 +655,10 @@ def orders_as_articles(spark, d) -> DataFrame:
 
 
 def _train_articles(spark, d):
+    """Enriched articles are written once (a table in the shared checkpoint folder), as
+    the reference writes its enriched table; training and scoring read that table."""
     from vellum.plans import train as TR
-    arts = orders_as_articles(spark, d)
+    arts = materialize(orders_as_articles(spark, d), "articles")
     trained = TR.train(arts, params=ARTICLE_FOREST, zone="UTC", allowed=ORDER_PRIORITY_ALLOW)
     return arts, trained
 

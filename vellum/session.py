@@ -127,3 +127,15 @@ def spread(df, partitions: int | None = None, max_bytes: int | None = None):
     if df.rdd.getNumPartitions() >= n:  # already spread (planning only, no job)
         return df
     return df.repartition(n)
+
+
+def materialize(df, name: str = "table"):
+    """Cut lineage by writing ``df`` once as Parquet under the shared checkpoint folder.
+
+    Unlike an eager ``checkpoint()`` (one job to count, another to write), the data is
+    computed once; the result survives executor loss like any stored table.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
