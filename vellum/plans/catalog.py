@@ -23,7 +23,7 @@ from vellum.functions import text as T
 from vellum.operators import clean, encode, entities, metrics, model, split
 from vellum.plans import enrich as E
 from vellum.session import materialize, scratch_path, spread
-from vellum.sources.articles import dedupe_pages
+from vellum.sources.articles import copy_rank, keep_first
 
 # ---------------------------------------------------------------------------
 # Parameters of the driver-table queries (the driver tables are not news pages, so
@@ -74,15 +74,16 @@ def _sql_any_prefix(x: str, prefixes) -> str:
         if prefixes else "FALSE"
 
 
-def sql_cleaned(text: str, prefixes, markers) -> str:
-    """Select list computing the four cleaned-text columns from ``text``."""
+def sql_cleaned(text: str, prefixes, markers, with_text: bool = True) -> str:
+    """Select list computing the cleaned-text columns from ``text``."""
     keep = f"lambda x: NOT {_sql_any_prefix('x', prefixes)} AND contains(trim(x, ' '), ' ')"
     ls = f"string_split({text}, chr(10))"
     pos = f"coalesce(list_position(list_transform({ls}, lambda x: {_sql_any_prefix('x', markers)}), true), 0)"
     before = f"(CASE WHEN {pos} = 0 THEN {ls} ELSE {ls}[1:{pos} - 1] END)"
     full = f"coalesce(array_to_string(list_filter({ls}, {keep}), ' '), '')"
     bef = f"coalesce(array_to_string(list_filter({before}, {keep}), ' '), '')"
-    return (f"{full} AS full_cleaned_text, CAST(length({full}) AS BIGINT) AS cleaned_text_length, "
+    head = f"{full} AS full_cleaned_text, " if with_text else ""
+    return (f"{head}CAST(length({full}) AS BIGINT) AS cleaned_text_length, "
             f"CAST(length({bef}) AS BIGINT) AS cleaned_text_before_pro_length, "
             f"ROUND(length({bef}) / greatest(1, length({full})), 6) AS before_pro_text_ratio")
 
@@ -227,7 +228,10 @@ SQL_HTML_FEATURES = f"WITH {SQL_PAGE_FEATURES.strip()}\nSELECT * FROM pf"
 
 def q_page_join(spark, d):
     docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
-    pages = dedupe_pages(_t(spark, d, "pages")).select(
+    raw = _t(spark, d, "pages")
+    # only the url is needed: reduce copies on (url, md5(html)) without moving the html
+    ranked = raw.select("page_id", *copy_rank(raw))
+    pages = keep_first(ranked, "page_id", ["url", "__h"]).select(
         F.col("page_id").cast("string").alias("__pid"), "page_id", "url")
     j = docs.withColumn("__aid", T.article_id("document_id")) \
         .join(pages, F.col("__aid") == F.col("__pid"), "left")
@@ -285,7 +289,7 @@ e AS (SELECT *, {sql_entity_list('title')} AS ents FROM f)
 SELECT document_id, text, text_length, sub_cat, img, video, p, a, avg_sentence_len,
   max_sentence_len, min_sentence_len,
   coalesce(array_to_string(ents, ','), '') AS ents, CAST(len(ents) AS BIGINT) AS n_ents,
-  {sql_cleaned('text', LICENSE_PREFIXES, LICENSE_MARKERS).split(' AS full_cleaned_text, ', 1)[1]}
+  {sql_cleaned('text', LICENSE_PREFIXES, LICENSE_MARKERS, with_text=False)}
 FROM e"""
 
 
