@@ -105,12 +105,17 @@ def test_distributed_code_table_equals_sorted_classes(spark, sf001):
     assert got == want
 
 
-def test_large_label_sets_use_the_join_path(spark, monkeypatch):
+def test_large_label_sets_use_the_join_path(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(encode, "MAX_INLINE_CLASSES", 1)
     monkeypatch.setattr(encode, "MAX_BROADCAST_CODES", 1)
     df = spark.createDataFrame(LABELS, "split string, c string")
     train, test = df.where("split = 'train'"), df.where("split = 'test'")
     dflt = encode.fit_label_encoder(train, "c", "code", on_unseen="default")
+    assert dflt.classes is None and dflt.n_codes == 3  # fitted distributed
+    dflt.save(spark, str(tmp_path / "big"))
+    back = encode.LabelEncoderModel.load(spark, str(tmp_path / "big"))
+    assert back.classes is None
+    assert sorted(r["code"] for r in back.transform(test).collect()) == [-1, -1, 0]
     assert sorted(r["code"] for r in dflt.transform(test).collect()) == [-1, -1, 0]
     strict = encode.fit_label_encoder(train, "c", "code")
     got = {r["c"]: r["code"] for r in strict.transform(train).collect()}

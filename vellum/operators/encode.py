@@ -65,22 +65,31 @@ def fit_classes_many(df: DataFrame, cols: Sequence[str], multi: set | frozenset
 
 # --- E1 / E2 / E3 -----------------------------------------------------------
 class LabelEncoderModel:
-    """Fitted encoder: label -> position in ``classes`` as an int column.
-
-    The output has no nominal ML metadata, so tree learners treat codes as ordered
-    numbers (as the reference does).  Persisted as a ``(value, code)`` Parquet table.
+    """Fitted encoder: label -> position in the sorted classes, as an int column.
+
+    Small label sets are held as a list and applied inside the task (StringIndexer).
+    Large ones are held as a distributed ``(value, code)`` table and applied by a
+    left join, broadcast only when the table's row count is small - the labels then
+    never pass through the driver.  The output has no nominal ML metadata, so tree
+    learners treat codes as ordered numbers (as the reference does).  Persisted as a
+    ``(value, code)`` Parquet table either way.
     """
 
-    def __init__(self, classes: Sequence[str], col: str, out: str | None = None,
-                 on_unseen: str = "error", default: int = -1):
+    def __init__(self, classes: Sequence[str] | None, col: str, out: str | None = None,
+                 on_unseen: str = "error", default: int = -1, codes: DataFrame | None = None,
+                 n_codes: int | None = None):
         if on_unseen not in ("error", "default"):
             raise ValueError("on_unseen must be 'error' or 'default'")
-        self.classes = list(classes)
+        if classes is None and codes is None:
+            raise ValueError("give classes or a code table")
+        self.classes = list(classes) if classes is not None else None
+        self.codes = codes
+        self.n_codes = len(self.classes) if self.classes is not None else n_codes
         self.col, self.out = col, out or col
         self.on_unseen, self.default = on_unseen, int(default)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if len(self.classes) > MAX_INLINE_CLASSES:
+        if self.classes is None or len(self.classes) > MAX_INLINE_CLASSES:
             return self._transform_by_join(df)
         tmp = f"__{self.out}_idx"
         handle = "error" if self.on_unseen == "error" else "keep"
@@ -91,12 +100,19 @@ class LabelEncoderModel:
             idx = F.when(idx >= len(self.classes), F.lit(self.default)).otherwise(idx)
         return indexer.transform(df).withColumn(self.out, idx.cast("int")).drop(tmp)
 
+    def code_table(self, spark: SparkSession) -> DataFrame:
+        if self.codes is not None:
+            return self.codes.select("value", "code")
+        return code_table(spark, self.classes)
+
     def _transform_by_join(self, df: DataFrame) -> DataFrame:
         """Large label sets: left join to the code table (broadcast only when small)."""
-        codes = code_table(df.sparkSession, self.classes, "__k", "__code")
-        if len(self.classes) <= MAX_BROADCAST_CODES:
+        codes = self.code_table(df.sparkSession).select(
+            F.col("value").alias("__k"), F.col("code").alias("__code"))
+        n = self.n_codes if self.n_codes is not None else codes.count()
+        if n <= MAX_BROADCAST_CODES:
             codes = F.broadcast(codes)
-        joined = df.join(codes, df[self.col] == codes["__k"], "left")
+        joined = df.join(codes, df[self.col].cast("string") == codes["__k"], "left")
         code = F.col("__code")
         if self.on_unseen == "default":
             code = F.coalesce(code, F.lit(self.default))
@@ -108,19 +124,37 @@ class LabelEncoderModel:
 
     def save(self, spark: SparkSession, path: str) -> None:
         meta = f"{self.col}\t{self.out}\t{self.on_unseen}\t{self.default}"
-        (code_table(spark, self.classes).withColumn("meta", F.lit(meta))
+        (self.code_table(spark).withColumn("meta", F.lit(meta))
          .write.mode("overwrite").parquet(path))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LabelEncoderModel:
-        rows = spark.read.parquet(path).orderBy("code").collect()
-        col, out, on_unseen, default = rows[0]["meta"].split("\t") if rows else ("", "", "error", -1)
-        return cls([r["value"] for r in rows], col, out, on_unseen, int(default))
+        table = spark.read.parquet(path)
+        head = table.select("meta").limit(1).collect()
+        col, out, on_unseen, default = (head[0]["meta"].split("\t") if head
+                                        else ("", "", "error", -1))
+        probe = table.select("value", "code").limit(MAX_INLINE_CLASSES + 1).collect()
+        if len(probe) <= MAX_INLINE_CLASSES:
+            classes = [r["value"] for r in sorted(probe, key=lambda r: r["code"])]
+            return cls(classes, col, out, on_unseen, int(default))
+        return cls(None, col, out, on_unseen, int(default), codes=table.select("value", "code"))
 
 
 def fit_label_encoder(df: DataFrame, col: str, out: str | None = None,
                       on_unseen: str = "error", default: int = -1) -> LabelEncoderModel:
-    return LabelEncoderModel(fit_classes(df, col), col, out, on_unseen, default)
+    """A2 + E1 / E3 fit.
+
+    Probes the distinct labels with at most ``MAX_INLINE_CLASSES + 1`` rows: a label
+    set that fits is sorted on the driver; a larger one is coded distributed
+    (``fit_code_table``) and never gathered.  Both paths give the same codes.
+    """
+    probe = (df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull())
+             .distinct().limit(MAX_INLINE_CLASSES + 1).collect())
+    if len(probe) <= MAX_INLINE_CLASSES:
+        return LabelEncoderModel(sorted(r["v"] for r in probe), col, out, on_unseen, default)
+    codes = fit_code_table(df, col)
+    return LabelEncoderModel(None, col, out, on_unseen, default, codes=codes,
+                             n_codes=codes.count())
 
 
 # --- O3 / J3 ----------------------------------------------------------------
