@@ -247,9 +247,10 @@ FROM documents d LEFT JOIN pg ON substr(CAST(d.doc_id AS VARCHAR), 1, 24) = CAST
 
 
 def _articles_from_documents(spark, d) -> DataFrame:
+    """Documents as articles; the entity tagger reads the whole document text."""
     docs = _t(spark, d, "documents")
     return docs.select(F.col("doc_id").cast("string").alias("document_id"),
-                       F.substring_index("text", "\n", 1).alias("title"))
+                       F.col("text").alias("title"))
 
 
 def q_enrich_articles(spark, d):
@@ -270,8 +271,7 @@ def q_enrich_articles(spark, d):
 
 SQL_ENRICH_ARTICLES = f"""
 WITH {SQL_PAGE_FEATURES.strip()},
-ar AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, split_part(text, chr(10), 1) AS title
-       FROM documents),
+ar AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text AS title FROM documents),
 j AS (
   SELECT ar.document_id, ar.title, pf.page_id IS NOT NULL AS found, pf.* EXCLUDE (page_id)
   FROM ar LEFT JOIN pf ON substr(ar.document_id, 1, 24) = CAST(pf.page_id AS VARCHAR)),
@@ -472,7 +472,7 @@ def q_entity_types_inline(spark, d):
 
 
 SQL_ENTITY_TYPES = f"""
-WITH a AS (SELECT doc_id, split_part(text, chr(10), 1) AS title FROM documents),
+WITH a AS (SELECT doc_id, text AS title FROM documents),
 e AS (SELECT doc_id, {sql_entity_list('title')} AS ents FROM a)
 SELECT doc_id, coalesce(array_to_string(ents, ','), '') AS ents, CAST(len(ents) AS BIGINT) AS n_ents
 FROM e"""
