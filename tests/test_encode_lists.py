@@ -106,7 +106,8 @@ def test_distributed_code_table_equals_sorted_classes(spark, sf001):
 
 
 def test_large_label_sets_use_the_join_path(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(encode, "MAX_INLINE_CLASSES", 1)
+    monkeypatch.setattr(encode, "MAX_DRIVER_CLASSES", 1)
+    monkeypatch.setattr(encode, "MAX_INDEXER_CLASSES", 1)
     monkeypatch.setattr(encode, "MAX_BROADCAST_CODES", 1)
     df = spark.createDataFrame(LABELS, "split string, c string")
     train, test = df.where("split = 'train'"), df.where("split = 'test'")

@@ -23,9 +23,13 @@ from pyspark.sql import functions as F
 # Above this many classes a code table is joined without a broadcast hint (AQE may
 # still broadcast it at run time when its measured size is small).
 MAX_BROADCAST_CODES = 1_000_000
-# Up to this many classes the label map travels inside the task (StringIndexerModel);
-# above it the encoder joins a code table instead.
-MAX_INLINE_CLASSES = 100_000
+# A fitted label set larger than this is never gathered on the driver: it is coded and
+# kept as a distributed table.
+MAX_DRIVER_CLASSES = 100_000
+# Up to this many classes the label map travels inside the task (StringIndexerModel,
+# whose labels cross py4j one by one); above it the encoder joins a code table that
+# is shipped to the JVM in one batch.
+MAX_INDEXER_CLASSES = 1_000
 
 
 # --- A2 ---------------------------------------------------------------------
@@ -89,7 +93,7 @@ class LabelEncoderModel:
         self.on_unseen, self.default = on_unseen, int(default)
 
     def transform(self, df: DataFrame) -> DataFrame:
-        if self.classes is None or len(self.classes) > MAX_INLINE_CLASSES:
+        if self.classes is None or len(self.classes) > MAX_INDEXER_CLASSES:
             return self._transform_by_join(df)
         tmp = f"__{self.out}_idx"
         handle = "error" if self.on_unseen == "error" else "keep"
@@ -133,8 +137,8 @@ class LabelEncoderModel:
         head = table.select("meta").limit(1).collect()
         col, out, on_unseen, default = (head[0]["meta"].split("\t") if head
                                         else ("", "", "error", -1))
-        probe = table.select("value", "code").limit(MAX_INLINE_CLASSES + 1).collect()
-        if len(probe) <= MAX_INLINE_CLASSES:
+        probe = table.select("value", "code").limit(MAX_DRIVER_CLASSES + 1).collect()
+        if len(probe) <= MAX_DRIVER_CLASSES:
             classes = [r["value"] for r in sorted(probe, key=lambda r: r["code"])]
             return cls(classes, col, out, on_unseen, int(default))
         return cls(None, col, out, on_unseen, int(default), codes=table.select("value", "code"))
@@ -144,13 +148,13 @@ def fit_label_encoder(df: DataFrame, col: str, out: str | None = None,
                       on_unseen: str = "error", default: int = -1) -> LabelEncoderModel:
     """A2 + E1 / E3 fit.
 
-    Probes the distinct labels with at most ``MAX_INLINE_CLASSES + 1`` rows: a label
+    Probes the distinct labels with at most ``MAX_DRIVER_CLASSES + 1`` rows: a label
     set that fits is sorted on the driver; a larger one is coded distributed
     (``fit_code_table``) and never gathered.  Both paths give the same codes.
     """
     probe = (df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull())
-             .distinct().limit(MAX_INLINE_CLASSES + 1).collect())
-    if len(probe) <= MAX_INLINE_CLASSES:
+             .distinct().limit(MAX_DRIVER_CLASSES + 1).collect())
+    if len(probe) <= MAX_DRIVER_CLASSES:
         return LabelEncoderModel(sorted(r["v"] for r in probe), col, out, on_unseen, default)
     codes = fit_code_table(df, col)
     return LabelEncoderModel(None, col, out, on_unseen, default, codes=codes,

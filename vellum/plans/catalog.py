@@ -248,7 +248,7 @@ FROM documents d LEFT JOIN pg ON substr(CAST(d.doc_id AS VARCHAR), 1, 24) = CAST
 
 def _articles_from_documents(spark, d) -> DataFrame:
     """Documents as articles; the entity tagger reads the whole document text."""
-    docs = _t(spark, d, "documents")
+    docs = spread(_t(spark, d, "documents"))
     return docs.select(F.col("doc_id").cast("string").alias("document_id"),
                        F.col("text").alias("title"))
 
@@ -297,7 +297,7 @@ FROM e"""
 # Dates (D1-D3), cleaning
 # ---------------------------------------------------------------------------
 def q_date_parts(spark, d):
-    ev = _t(spark, d, "events").select(
+    ev = spread(_t(spark, d, "events")).select(
         "event_id", F.date_format("ts", D.PUBLISH_FORMAT).alias("publish_date"))
     ts = D.parse_wall_clock("publish_date")
     parts = D.date_parts(ts)
@@ -624,9 +624,9 @@ def orders_as_articles(spark, d) -> DataFrame:
     (most orders have no page: the failed-fetch defaults).
     """
     o = _t(spark, d, "orders")
-    li = _t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
-                                         "l_extendedprice", "l_quantity", "l_discount",
-                                         "l_returnflag")
+    li = spread(_t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
+                                                "l_extendedprice", "l_quantity", "l_discount",
+                                                "l_returnflag"))
     part = _t(spark, d, "part").select("p_partkey", "p_name")
     lines = li.join(part, li.l_partkey == part.p_partkey, "left")
     per_order = lines.groupBy("l_orderkey").agg(
