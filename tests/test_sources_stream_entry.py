@@ -96,3 +96,28 @@ def test_registered_queries_run_on_smoke_tables(spark, sf001):
         if name in skip:
             continue
         assert fn(spark, sf001).count() >= 1, name
+
+
+def test_stream_resumes_from_checkpoint(spark, tmp_path):
+    src, out, ckpt = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "ckpt")
+    src.mkdir()
+    pages = spark.createDataFrame([(0, "u", "<article><h1>C</h1><p>x</p></article>")],
+                                  "page_id long, url string, html string")
+
+    def land(name, doc_id):
+        (spark.createDataFrame([(doc_id, "t", "2022-01-01 00:00:00", "a", "c", "[]",
+                                 1.0, 1.0, 1.0, 1.0)], A.RAW_ARTICLE_SCHEMA)
+         .coalesce(1).write.option("header", True).csv(str(src / name)))
+
+    def run():
+        stream = read_article_stream(spark, str(src / "*"))
+        q = enrich_stream(stream, pages, out, ckpt, dictionary={"t": "MISC"}, trigger_once=True,
+                          body_selector="article", category_selector="h1")
+        q.awaitTermination(120)
+
+    land("b1", "0")
+    run()
+    land("b2", "5")
+    run()  # restarts from the checkpoint: only the new file is read
+    ids = sorted(r["document_id"] for r in spark.read.parquet(out).collect())
+    assert ids == ["0", "5"]

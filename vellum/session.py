@@ -68,12 +68,16 @@ def ship_package(spark: SparkSession) -> None:
     """Make ``vellum`` importable by Python workers (the ``--py-files`` mechanism).
 
     Called by the operators that run Python on executors.  Idempotent per context;
-    skipped when the package already comes from an installed / shipped archive.
+    skipped when the package already comes from an archive, or when
+    ``spark.vellum.shipPackage=false`` (package installed on the executors).
     """
     sc = spark.sparkContext
     key = id(sc._jsc)  # one shipment per running context
     if key in _SHIPPED:
         return
+    if spark.conf.get("spark.vellum.shipPackage", "true").lower() == "false":
+        _SHIPPED.add(key)  # installed on the executors already
+        return
     pkg_dir = os.path.dirname(os.path.abspath(__file__))
     if not os.path.isdir(pkg_dir):  # imported from a zip: already shipped
         _SHIPPED.add(key)
