@@ -1,10 +1,7 @@
 """S1-S3, S5, S6/J4 dedupe, the streaming enrichment and the driver contract."""
 
 import hashlib
-import os
-import time
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
