@@ -51,3 +51,11 @@ def test_scans_read_only_needed_columns(at_scale, sf001):
 def test_mention_fold_is_partial_aggregate(at_scale, sf001):
     plan = _plan(C.q_entity_types(at_scale, sf001))
     assert "partial_collect_list" in plan
+
+
+def test_colocated_enrichment_moves_only_articles(at_scale, sf001):
+    plan = _plan(C.q_enrich_articles_colocated(at_scale, sf001))
+    assert plan.count("Exchange") == 1, plan
+    assert "SortMergeJoin" in plan
+    join_at = plan.index("SortMergeJoin")
+    assert plan.index("MapInPandas") < join_at  # parsed above (after) the join

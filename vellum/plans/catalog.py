@@ -269,6 +269,27 @@ def q_enrich_articles(spark, d):
         F.round("before_pro_text_ratio", 6).alias("before_pro_text_ratio"))
 
 
+def q_enrich_articles_colocated(spark, d):
+    """The flagship against pages stored bucketed by article id (co-located join)."""
+    import uuid
+
+    from vellum.sources.articles import bucket_pages
+    table = f"vellum_pages_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bucket_pages(_t(spark, d, "pages"), table, buckets, scratch_path(spark, "pages-bucketed"))
+    out = E.enrich_colocated(_articles_from_documents(spark, d), table, key="document_id",
+                             title_col="title", dictionary=ENTITY_DICTIONARY,
+                             prefixes=LICENSE_PREFIXES, markers=LICENSE_MARKERS,
+                             **PAGE_SELECTORS)
+    return out.select(
+        "document_id", *_typed_page_cols(out),
+        F.array_join("ents", ",").alias("ents"), F.size("ents").cast("long").alias("n_ents"),
+        F.col("cleaned_text_length").cast("long").alias("cleaned_text_length"),
+        F.col("cleaned_text_before_pro_length").cast("long")
+        .alias("cleaned_text_before_pro_length"),
+        F.round("before_pro_text_ratio", 6).alias("before_pro_text_ratio"))
+
+
 SQL_ENRICH_ARTICLES = f"""
 WITH {SQL_PAGE_FEATURES.strip()},
 ar AS (SELECT CAST(doc_id AS VARCHAR) AS document_id, text AS title FROM documents),
@@ -691,6 +712,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "html_features": q_html_features,
     "page_join": q_page_join,
     "enrich_articles": q_enrich_articles,
+    "enrich_articles_colocated": q_enrich_articles_colocated,
     "date_parts": q_date_parts,
     "cap_impute": q_cap_impute,
     "rare_bucket": q_rare_bucket,
@@ -721,6 +743,7 @@ ORACLE_SQL: dict[str, str] = {
     "html_features": SQL_HTML_FEATURES,
     "page_join": SQL_PAGE_JOIN,
     "enrich_articles": SQL_ENRICH_ARTICLES,
+    "enrich_articles_colocated": SQL_ENRICH_ARTICLES,
     "date_parts": SQL_DATE_PARTS,
     "cap_impute": SQL_CAP_IMPUTE,
     "rare_bucket": SQL_RARE_BUCKET,
