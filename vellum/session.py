@@ -34,6 +34,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     conf = dict(LOCAL_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or n)
     conf["spark.driver.memory"] = os.environ.get("VELLUM_DRIVER_MEMORY", "16g")
+    # catalog tables (bucketed pages) default to a scratch folder, not the working dir
+    conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="vellum-warehouse-")
     conf.update(extra or {})
     for k, v in conf.items():
         builder = builder.config(k, v)
