@@ -704,6 +704,18 @@ def q_article_chain_r2(spark, d):
     return spark.createDataFrame([row])
 
 
+def q_article_tag_selection(spark, d):
+    """P11 end to end: keep tags with full-reads importance >= 1e-7, retrain, score."""
+    from vellum.plans import score as SC
+    from vellum.plans import train as TR
+    arts, trained = _train_articles(spark, d)
+    keep = TR.select_tags(spark, trained, "full_reads_percent")
+    again = TR.train(arts, params=ARTICLE_FOREST, zone="UTC", allowed=ORDER_PRIORITY_ALLOW,
+                     tag_selection=keep)
+    _, test = split.split(arts, "document_id")
+    return SC.score(test, again, zone="UTC")
+
+
 # ---------------------------------------------------------------------------
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentence_stats": q_sentence_stats,
@@ -734,6 +746,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "pipeline_roundtrip": q_pipeline_roundtrip,
     "article_chain": q_article_chain,
     "article_chain_r2": q_article_chain_r2,
+    "article_tag_selection": q_article_tag_selection,
 }
 
 ORACLE_SQL: dict[str, str] = {
