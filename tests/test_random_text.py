@@ -7,8 +7,8 @@ import pytest
 from test_text import twin_cleaned, twin_sentence_stats
 from vellum.functions import text as T
 
-PIECES = ["word", "x", "Pro", "www", " ", "  ", ". ", ".", "\n", "\n\n", "\t", " ",
-          " ", "　", "\x1c", "Читайте на РБК Pro", "Россия Москва Мир", "Источник:",
+PIECES = ["word", "x", "Pro", "www", " ", "  ", ". ", ".", "\n", "\n\n", "\t", "\xa0",
+          "\u2003", "\u3000", "\x1c", "Читайте на РБК Pro", "Россия Москва Мир", "Источник:",
           "0 (за сутки)", "a b c d e f g h i j k l", "é", "\U0001F600"]
 
 
