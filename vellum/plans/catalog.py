@@ -106,7 +106,7 @@ def _sql_has_class(x: str, cls: str) -> str:
 SQL_PAGE_FEATURES = f"""
 pg AS (
   SELECT page_id, html FROM pages
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url, md5(html)) = 1),
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url NULLS FIRST, md5(html) NULLS FIRST) = 1),
 pb AS (
   SELECT page_id,
     regexp_matches(html, '<article[\\s>]') AS has_body,
@@ -241,7 +241,7 @@ def q_page_join(spark, d):
 SQL_PAGE_JOIN = """
 WITH pg AS (
   SELECT page_id, url FROM pages
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url, md5(html)) = 1)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url NULLS FIRST, md5(html) NULLS FIRST) = 1)
 SELECT CAST(d.doc_id AS VARCHAR) AS document_id, pg.page_id, pg.url
 FROM documents d LEFT JOIN pg ON substr(CAST(d.doc_id AS VARCHAR), 1, 24) = CAST(pg.page_id AS VARCHAR)"""
 
