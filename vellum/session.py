@@ -125,6 +125,8 @@ def spread(df, partitions: int | None = None, max_bytes: int | None = None):
     it is (it is then read as many splits and the shuffle would only cost).  The bound
     is the session setting ``spark.vellum.spread.maxBytes`` (0 disables spreading).
     """
+    if df.isStreaming:  # micro-batches are planned per trigger; nothing to spread here
+        return df
     if max_bytes is None:
         max_bytes = int(df.sparkSession.conf.get(SPREAD_CONF, str(SMALL_INPUT_BYTES)))
     size = estimated_bytes(df)
