@@ -118,3 +118,15 @@ def test_stream_resumes_from_checkpoint(spark, tmp_path):
     run()  # restarts from the checkpoint: only the new file is read
     ids = sorted(r["document_id"] for r in spark.read.parquet(out).collect())
     assert ids == ["0", "5"]
+
+
+def test_pandas_style_enriched_csv(spark, tmp_path):
+    """The reference writes its row index as an unnamed first column."""
+    path = tmp_path / "enriched_train.csv"
+    path.write_text(",document_id,tags,ents,views\n"
+                    "0,a1,\"['t1', 't2']\",\"['LOC']\",10.5\n"
+                    "1,a2,[],[],3.0\n", encoding="utf-8")
+    df = A.read_enriched_csv(spark, str(path))
+    assert df.columns[0] == "row_id"
+    got = {r["document_id"]: (r["row_id"], r["tags"], r["ents"]) for r in df.collect()}
+    assert got == {"a1": ("0", ["t1", "t2"], ["LOC"]), "a2": ("1", [], [])}
