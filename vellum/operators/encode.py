@@ -1,9 +1,11 @@
 """Categorical encoders.
 
-Fitting runs as one distributed ``distinct`` over the label column; only the sorted
-class list (the model, bounded by the label cardinality, never by the row count) comes
-back to the driver, exactly as a fitted label encoder holds its classes.  Applying a
-fitted encoder is a narrow map (hash lookup inside the task) - no join, no shuffle.
+Fitting runs as one distributed ``distinct`` over the label column.  A label set of at
+most ``MAX_DRIVER_CLASSES`` comes back to the driver as the sorted class list (the model,
+as a fitted label encoder holds its classes); a larger one is coded distributed
+(``fit_code_table``) and never gathered.  Applying a small encoder is a narrow map (a
+lookup inside the task); a larger one is a left join to its code table, broadcast only
+when the counted table is small.
 
 Unseen-label policies, one per reference encoder:
 
