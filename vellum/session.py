@@ -1,8 +1,11 @@
 """Session helpers: build a local session for tests / bench and locate shared storage.
 
 On a cluster the session is created by the platform; the library only *reads* its
-settings.  ``checkpoint_root`` honours ``spark.checkpoint.dir`` and only falls back to a
-fresh scratch folder when the setting is absent (local runs and tests).
+settings.  ``ensure_checkpoint_dir`` honours ``spark.checkpoint.dir`` and only falls back
+to a fresh scratch folder when the setting is absent (local runs and tests);
+``scratch_path`` / ``materialize`` write intermediate tables under it.  ``spread``
+round-robins small single-split inputs before CPU-heavy work (size-checked), and
+``ship_package`` makes the package importable by Python workers.
 """
 
 from __future__ import annotations
