@@ -71,8 +71,9 @@ def test_stream_enrichment(spark, tmp_path):
                            A.RAW_ARTICLE_SCHEMA)
      .write.option("header", True).csv(str(src / "batch1")))
     stream = read_article_stream(spark, str(src / "batch1"))
+    dictionary = spark.createDataFrame([("t", "MISC")], "token string, label string")
     q = enrich_stream(stream, pages, str(tmp_path / "out"), str(tmp_path / "ckpt"),
-                      dictionary={"t": "MISC"}, trigger_once=True,
+                      dictionary=dictionary, trigger_once=True,
                       body_selector="article", category_selector="h1")
     q.awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out")).collect()

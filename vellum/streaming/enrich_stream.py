@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.functions import text as T
+from vellum.operators.entities import MAX_INLINE_DICTIONARY
 from vellum.plans.enrich import enrich, page_features
 from vellum.session import scratch_path
 from vellum.sources.articles import RAW_ARTICLE_SCHEMA
@@ -41,6 +42,13 @@ def enrich_stream(articles: DataFrame, pages: DataFrame, out_path: str,
     that stored table instead of re-parsing the pages.
     """
     spark = articles.sparkSession
+    if isinstance(dictionary, DataFrame):
+        # a per-article group-by on the stream would need a watermark in append mode;
+        # a small dictionary (count checked) is inlined instead: no aggregation at all
+        n = dictionary.count()
+        if n > MAX_INLINE_DICTIONARY:
+            raise ValueError("dictionary too large to inline in a stream; pass a mentions table")
+        dictionary = {r[0]: r[1] for r in dictionary.select("token", "label").collect()}
     feats_path = scratch_path(spark, "page-features")
     page_features(pages, **selectors).write.parquet(feats_path)
     feats = spark.read.parquet(feats_path)
