@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from vellum.llm import bpe, packing, simhash
+from vellum.llm import bpe, licenses, packing, quality, simhash
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_simhash": simhash.op5_simhash,
+    "op6_license_scan": licenses.op6_license_scan,
+    "op7_quality_rules": quality.op7_quality_rules,
     "op9_byte_bpe": bpe.op9_byte_bpe,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_license_scan": licenses.ORACLE_SQL,
+    "op7_quality_rules": quality.ORACLE_SQL,
+}

@@ -68,10 +68,14 @@ def decode(raw: bytes | None) -> str:
     return "" if raw is None else raw.decode("utf-8", "replace")
 
 
-def words(text: Column) -> Column:
-    """Words `[^\\x20\\x09-\\x0D]+` of a text as an array (null text: no words)."""
-    parts = F.split(F.coalesce(text, F.lit("")), ASCII_SPACE)
-    return F.filter(parts, lambda w: w != "")
+def words(text: Column, separators: str = " \t\n\x0b\f\r",
+          pattern: str = ASCII_SPACE) -> Column:
+    """The words between separators as an array (null text: no words).
+
+    Separators are trimmed off first, so that splitting leaves no empty word.
+    """
+    body = F.btrim(F.coalesce(text, F.lit("")), F.lit(separators))
+    return F.when(body == "", F.array().cast("array<string>")).otherwise(F.split(body, pattern))
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
