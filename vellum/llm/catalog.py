@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from vellum.llm import bpe, licenses, packing, quality, simhash
+from vellum.llm import bpe, licenses, merkle, packing, quality, simhash, warc
 
 QUERIES = {
     "op3_packing": packing.op3_packing,
     "op5_simhash": simhash.op5_simhash,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality_rules": quality.op7_quality_rules,
+    "op8_fingerprints": merkle.op8_fingerprints,
     "op9_byte_bpe": bpe.op9_byte_bpe,
+    "op10_warc": warc.op10_warc,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": licenses.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
+    "op10_warc": warc.ORACLE_SQL,
 }
