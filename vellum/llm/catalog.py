@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from vellum.llm import bpe, langid, licenses, merkle, packing, quality, simhash, warc
+from vellum.llm import bpe, langid, licenses, main_text, merkle, packing, quality, simhash, warc
 
 QUERIES = {
+    "op1_main_text": main_text.op1_main_text,
     "op2_language_id": langid.op2_language_id,
     "op3_packing": packing.op3_packing,
     "op5_simhash": simhash.op5_simhash,
