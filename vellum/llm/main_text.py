@@ -3,10 +3,12 @@
 Templates are what a site repeats.  A page is read once into its element subtrees; the
 subtrees that could be template (navigation, boxes and notices, never the running text of
 an article) are hashed, and Spark counts on how many different pages of its host each hash
-occurs.  A subtree on at least ``MIN_PAGES`` and ``MIN_SHARE`` of the host's different
-pages is template and is deleted; copies of one page count once, so a page published a
-thousand times is not its own template.  A host has at most (subtrees per page) /
-``MIN_SHARE`` templates, one short array, joined to its pages by host.
+occurs.  A subtree on at least ``MIN_PAGES`` and a share of the host's different pages is
+template and is deleted: ``SITE_SHARE`` for boxes beside the article (a site rotates its
+adverts and menus), ``TEXT_SHARE`` for boxes in an article and, on pages without one, for
+running text.  Copies of one page count once, so a page published a thousand times is not
+its own template.  A host has at most (subtrees per page) / share templates, one bounded
+array, joined to its pages by host.
 
 What is left is read by the meaning of the markup: the largest article (else main, else
 body) without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
@@ -33,7 +35,8 @@ from vellum.llm import common as C
 from vellum.session import materialize
 
 MIN_PAGES = 4
-MIN_SHARE = 0.3
+SITE_SHARE = 0.01
+TEXT_SHARE = 0.3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*)>?|<[!?][^>]*>?""",
                     re.S)
@@ -96,15 +99,15 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
     return False
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, frozenset[int]]], set[int], list[int]]:
-    """Blocks of a page, its candidate subtrees' hashes, and the kinds of its containers.
+def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str], list[int]]:
+    """Blocks of a page, the kinds of its containers, and its candidate subtrees' hashes.
 
     A block is (text, container, candidate subtrees around it by number); container is 0
     outside, else the number of the outermost article or main.  Hashes are listed by
     subtree number.
     """
     blocks: list[tuple[str, int, tuple[int, ...]]] = []
-    hashes: list[int] = []
+    hashes: list[int] = []  # the lowest bit tells boxes beside an article
     kinds: list[str] = [""]
     stack: list[Element] = []
     pieces: list[str] = []      # of the current block
@@ -128,8 +131,9 @@ def parse(page: str) -> tuple[list[tuple[str, int, frozenset[int]]], set[int], l
                 flush()
             dropped -= e.drop
             if e.candidate:
-                hashes[e.hash] = xxhash.xxh64_intdigest(
-                    " ".join([e.head, *stream[e.start:]]).encode("utf-8", "replace"))
+                known = xxhash.xxh64_intdigest(" ".join([e.head, *stream[e.start:]]).encode("utf-8", "replace"))
+                beside = not container and e.tag in _BOXES
+                hashes[e.hash] = (known & ~1 | beside) - (1 << 63)
                 around = around[:-1]
             if e.main:
                 container = 0
@@ -217,14 +221,14 @@ def parse(page: str) -> tuple[list[tuple[str, int, frozenset[int]]], set[int], l
 
 def candidate_hashes(page: str) -> list[int]:
     """Hashes of the subtrees of a page that could be template, each once."""
-    return sorted({h - (1 << 64) if h >> 63 else h for h in parse(page)[2]})
+    return sorted(set(parse(page)[2]))
 
 
 def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
     """The main text of a page without the given template subtrees."""
     blocks, kinds, hashes = parse(page)
     if templates:
-        gone = {i for i, h in enumerate(hashes) if (h - (1 << 64) if h >> 63 else h) in templates}
+        gone = {i for i, h in enumerate(hashes) if h in templates}
         if gone:
             blocks = [b for b in blocks if gone.isdisjoint(b[2])]
     sizes: dict[int, int] = {}
@@ -245,7 +249,8 @@ def host(url):
 
 
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html",
-                   min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
+                   min_pages: int = MIN_PAGES, site_share: float = SITE_SHARE,
+                   text_share: float = TEXT_SHARE) -> DataFrame:
     """(host, templates): hashes of the subtrees that recur on each host's pages."""
     work = pages.select(host(C.col(url_col)).alias("host"), C.text_bytes(html_col).alias("raw"))
 
@@ -263,7 +268,8 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
     sizes = different.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
     seen = (different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash")
             .agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages))
-    common = seen.join(sizes, "host").where(F.col("pages") >= min_share * F.col("n"))
+    share = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 1, site_share).otherwise(text_share)
+    common = seen.join(sizes, "host").where(F.col("pages") >= share * F.col("n"))
     return common.groupBy("host").agg(F.collect_list("hash").alias("templates"))
 
 
