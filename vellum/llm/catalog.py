@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from vellum.llm import bpe, langid, licenses, main_text, merkle, packing, quality, simhash, warc
+from vellum.llm import bpe, langid, licenses, main_text, merkle, packing, quality, secret_scan, simhash, warc
 
 QUERIES = {
     "op1_main_text": main_text.op1_main_text,
     "op2_language_id": langid.op2_language_id,
     "op3_packing": packing.op3_packing,
+    "op4_secret_scan": secret_scan.op4_secret_scan,
     "op5_simhash": simhash.op5_simhash,
     "op6_license_scan": licenses.op6_license_scan,
     "op7_quality_rules": quality.op7_quality_rules,
