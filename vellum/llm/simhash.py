@@ -273,14 +273,20 @@ def near_duplicates(df: DataFrame, shingle: int, max_bits: int, key_col: str = "
     """The carried columns, the key, ``fp`` (long) and component_id of every row."""
     keep = (*carry, *([] if key_col in carry else [key_col]))
     docs = materialize(fingerprints(df, shingle, text_col, keep), "fingerprints")
+    return docs.join(classes(docs, max_bits, key_col).drop("root"), "fp")
+
+
+def classes(docs: DataFrame, max_bits: int, key_col: str) -> DataFrame:
+    """(fp, root, component_id) of every distinct ``fp`` of a stored table.
+
+    root is the component's own smallest fingerprint, component_id its smallest key.
+    """
     unique = materialize(docs.groupBy("fp").agg(F.min(C.col(key_col)).alias("least")), "distinct-fp")
     roots = components(links(unique, max_bits))
     member = unique.join(roots, unique.fp == roots.a, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
-    # the component's smallest key: aggregate, then back to the members
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    table = materialize(member.join(smallest, "root").select("fp", "component_id"), "components")
-    return docs.join(table, "fp")
+    return materialize(member.join(smallest, "root").select("fp", "root", "component_id"), "components")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
