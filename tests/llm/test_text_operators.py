@@ -1,0 +1,409 @@
+"""Operators without a SQL form against brute force, exact round trips or held-out accuracy."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import public_tokenizers
+import pytest
+import regex
+import xxhash
+
+from vellum.llm import bpe, catalog, common, langid, main_text, merkle, packing, secret_scan, simhash
+
+import edge
+
+DOC_QUERIES = ["op2_language_id", "op3_packing", "op4_secret_scan", "op5_simhash", "op8_fingerprints",
+               "op9_byte_bpe"]
+
+
+@pytest.fixture(scope="module")
+def folder(spark, sf001, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("edge"))
+    edge.write_pages(spark, path)
+    return edge.write_documents(spark, path, real=sf001)
+
+
+@pytest.fixture(scope="module")
+def docs(spark, folder):
+    return [(r["doc_id"], r["text"] or "") for r in common.read(spark, folder, "documents").collect()]
+
+
+@pytest.mark.parametrize("name", DOC_QUERIES)
+def test_empty_documents(spark, tmp_path, name):
+    path = edge.write_documents(spark, str(tmp_path), empty=True)
+    assert catalog.QUERIES[name](spark, path).collect() == []
+
+
+def test_empty_pages(spark, tmp_path):
+    path = edge.write_pages(spark, str(tmp_path), empty=True)
+    assert catalog.QUERIES["op1_main_text"](spark, path).collect() == []
+
+
+# ---- 1 main text --------------------------------------------------------------------------
+
+
+def test_main_text_awkward_pages(spark, folder):
+    got = [tuple(r) for r in catalog.QUERIES["op1_main_text"](spark, folder).collect()]
+    assert len(got) == len(edge.page_rows())
+    text = {r[0]: r[2] for r in got if r[0] is not None}
+    assert text[1] == text[2] == edge.PAGE_TEXT
+    assert text[3] == "" and text[4] == "open never closed" and text[5] == "plain <text> with space"
+    assert text[6] == ("long words " * 40_000).strip() and text[9] == "m"
+    assert all(r[3] == len(r[2]) for r in got) and sum(r[0] == 2 for r in got) == 2
+
+
+def test_main_text_equals_simple_reading(spark, sf001):
+    import html
+
+    def simple(page):
+        body = re.search(r"<article>(.*?)(?:</article>|\Z)", page, re.S).group(1)
+        parts = re.split(r"</?(?:p|h1)>", body)
+        lines = [" ".join(html.unescape(re.sub("</?b>", "", x).replace("<br>", " ")).split()) for x in parts]
+        return "\n".join(x for x in lines if x)
+
+    got = {r["page_id"]: r["text"] for r in catalog.QUERIES["op1_main_text"](spark, sf001).collect()}
+    pages = common.read(spark, sf001, "pages").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        assert got[p["page_id"]] == simple(p["html"])
+
+
+def test_recurring_subtrees_go_and_copies_do_not_count(spark):
+    promo = "<div class='x'><p>Every page says this.</p></div>"
+    rows = [(i, "http://site/a", f"<body>{promo}<p>Text number {i}.</p></body>") for i in range(12)]
+    copied = "<body><div><p>Published many times.</p></div></body>"
+    rows += [(100 + i, "http://copies/a", copied) for i in range(40)]
+    rows += [(200 + i, "http://copies/b", f"<body><div><p>Different {i}.</p></div></body>") for i in range(6)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in main_text.extract(df).collect()}
+    assert text[3] == "Text number 3." and text[100] == "Published many times." and text[201] == "Different 1."
+
+
+# ---- 2 language ---------------------------------------------------------------------------
+
+
+def test_language_held_out_accuracy(spark):
+    path = "/root/testdata/sf0.01"
+    got = {r["doc_id"]: r for r in catalog.QUERIES["op2_language_id"](spark, path).collect()}
+    truth = common.read(spark, path, "documents").select("doc_id", "lang").collect()
+    assert len(got) == len(truth)
+    for i, r in got.items():
+        assert r["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2) and 0 <= r["score"] <= 1
+    held = [r for r in truth if got[r["doc_id"]]["held_out"]]
+    right = sum(got[r["doc_id"]]["lang_pred"] == r["lang"] for r in held)
+    assert right / len(held) > 0.97
+
+
+def test_language_awkward_rows_and_rejection(spark, folder, docs):
+    rows = catalog.QUERIES["op2_language_id"](spark, folder).collect()
+    assert len(rows) == len(docs)
+    by = {r["doc_id"]: r for r in rows}
+    for i in (10_001, 10_002, 10_003, 10_013, 10_015):
+        assert by[i]["lang_pred"] == "und" and by[i]["score"] == 0 and by[i]["rejected"]
+    assert by[10_011]["lang_pred"] != "und"
+    model = langid.fit(common.read(spark, folder, "documents"))
+    far = spark.createDataFrame([("zxqv kjqx wvvz qqxz jjkw zzvq",), ("Это русский текст о языке",)], "text string")
+    assert [r["rejected"] for r in langid.predict(far, model).collect()] == [True, True]
+
+
+def test_language_without_labels(spark):
+    df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
+    model = langid.fit(df)
+    assert model is None and langid.predict(df, model).first()["lang_pred"] == "und"
+
+
+def test_gram_counts_do_not_depend_on_slices(monkeypatch):
+    text = edge.long_text(3000).encode()
+    whole = langid.counts(text)
+    monkeypatch.setattr(langid, "SLICE", 1000)
+    assert (langid.counts(text) == whole).all()
+
+
+# ---- 3 packing ----------------------------------------------------------------------------
+
+
+def check_packed(rows, capacity=packing.CAPACITY):
+    at = defaultdict(list)
+    for r in rows:
+        at[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in at.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end and length > 0
+            end += length
+        assert end <= capacity
+    total = sum(r["length"] for r in rows)
+    return len(at), math.ceil(total / capacity)
+
+
+def test_packing_brute_force(spark, folder, docs):
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.encode_special_tokens = True
+    want = []
+    for doc_id, text in docs:
+        ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        for k, a in enumerate(range(0, len(ids), 4096)):
+            part = ids[a:a + 4096]
+            want.append((doc_id, k, a, len(part), zlib.crc32(part.tobytes())))
+    rows = catalog.QUERIES["op3_packing"](spark, folder).collect()
+    assert sorted((tuple(r)[:5] for r in rows), key=repr) == sorted(want, key=repr)
+    used, least = check_packed(rows)
+    assert used <= least + 2
+
+
+def test_packing_in_many_shards_and_clashing_names(spark):
+    rng = np.random.default_rng(3)
+    rows = [(int(x), "own") for x in rng.integers(1, 4097, 900)] + [(7, "own")] * 300
+    df = spark.createDataFrame(rows, "length long, sequence string")
+    from vellum.session import materialize
+    got = packing.pack(materialize(df), shard_pieces=200).collect()
+    assert len(got) == len(rows)
+    used, least = check_packed(got)
+    assert used <= least * 1.05 + 12
+
+
+def test_sum_of_squares_rule():
+    """Each placement has the least sum of squared gap counts of all legal ones."""
+    rng = np.random.default_rng(5)
+    sizes, cap = rng.integers(1, 31, 120), 30
+    seq, off = packing.sum_of_squares(sizes, cap)
+    level = defaultdict(int)
+    for s, b, o in zip(sizes.tolist(), seq.tolist(), off.tolist()):
+        assert level[b] == o
+
+        def cost(levels):
+            n = defaultdict(int)
+            for x in levels.values():
+                if 0 < x < cap:
+                    n[cap - x] += 1
+            return sum(v * v for v in n.values())
+
+        options = [cost({**level, k: v + s}) for k, v in level.items() if v + s <= cap and v]
+        options.append(cost({**level, "new": s}))
+        level[b] += s
+        assert cost(level) == min(options)
+
+
+def test_word_encoder_forgets_and_still_agrees(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_WORDS", 50)
+    enc = packing.WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [edge.long_text(400), "don't, A.'s ,'t", "ÀÉ. ß! ,.", "", "ǅ ﬁ Σ", edge.long_text(50)]
+    for text, ids in zip(texts, enc.encode_all(texts, chars=200)):
+        assert enc._tok.encode(text, add_special_tokens=False).ids == ids.tolist()
+
+
+# ---- 4 secrets ----------------------------------------------------------------------------
+
+PLANTED = re.compile(r"AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = \")[0-9a-f]{40}")
+
+
+def test_secrets_found_and_others_left(spark):
+    path = "/root/testdata/sf0.01"
+    rows = catalog.QUERIES["op4_secret_scan"](spark, path).collect()
+    text = {r["doc_id"]: r["text"] for r in common.read(spark, path, "documents").collect()}
+    want = {(i, m.start()) for i, x in text.items() for m in PLANTED.finditer(x)}
+    got = {(r["doc_id"], r["start"]) for r in rows if r["accepted"]}
+    assert want and want <= got
+    for r in rows:
+        found = text[r["doc_id"]][r["start"]:r["start"] + r["length"]]
+        assert hashlib.sha256(found.encode()).hexdigest() == r["candidate_sha256"]
+        if found.isdigit():
+            assert not r["accepted"]
+
+
+def test_secrets_redacted_and_rest_unchanged(spark, folder):
+    df = common.read(spark, folder, "documents")
+    before = sorted((tuple(r) for r in df.collect()), key=repr)
+    after = sorted((tuple(r) for r in secret_scan.redact(df).collect()), key=repr)
+    assert len(before) == len(after) and secret_scan.redact(df).columns == df.columns
+    text = df.columns.index("text")
+    for a, b in zip(before, after):
+        if a[0] == 10_014:
+            assert b[text] == ('key [SECRET] and password=[SECRET] and token = "[SECRET]" card '
+                               "4041894974608795 end")
+        elif a[text] is None or not PLANTED.search(a[text]):
+            assert a == b
+
+
+def test_secrets_from_given_labels(spark):
+    rows = [("", "x ", f"ZZ{i:012d}", "", 1.0) for i in range(30)] + [("", "x ", f"yy-{i:012d}", "", 0.0) for i in range(30)]
+    labelled = secret_scan.with_features(spark.createDataFrame(
+        rows, "path string, before string, candidate string, after string, label double"))
+    df = spark.createDataFrame([("a ZZ000000000777 b yy-000000000777 c",)], "text string")
+    got = {r["candidate"]: r["accepted"] for r in secret_scan.scan(df, path_col=None, labelled=labelled).collect()}
+    assert got == {"ZZ000000000777": True, "yy-000000000777": False}
+
+
+# ---- 5 SimHash ----------------------------------------------------------------------------
+
+
+def brute_fingerprint(text, k):
+    words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m.group().lower(), text.encode()))
+    if not words:
+        return 0
+    grams = [b" ".join(words[i:i + k]) for i in range(max(1, len(words) - k + 1))]
+    hashes = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints, most):
+    parent = {f: f for f in prints}
+
+    def find(f):
+        while parent[f] != f:
+            f = parent[f]
+        return f
+
+    for a in parent:
+        for b in parent:
+            if a < b and (a ^ b).bit_count() <= most:
+                x, y = find(a), find(b)
+                parent[max(x, y)] = min(x, y)
+    return {f: find(f) for f in parent}
+
+
+def test_simhash_brute_force(spark, folder, docs):
+    prints = [brute_fingerprint(t, 4) for _, t in docs]
+    roots = brute_components(set(prints), 4)
+    least = {}
+    for (i, _), f in zip(docs, prints):
+        if i is not None:
+            least[roots[f]] = min(i, least.get(roots[f], i))
+    want = sorted(((i, f"{f:016x}", least.get(roots[f])) for (i, _), f in zip(docs, prints)), key=repr)
+    got = sorted((tuple(r) for r in catalog.QUERIES["op5_simhash"](spark, folder).collect()), key=repr)
+    assert got == want
+
+
+@pytest.mark.parametrize("hot", [1, 5, 1000])
+def test_links_of_dense_groups(spark, hot):
+    """Components are exact whether values are joined or, being hot, meet at points."""
+    from vellum.session import materialize
+    rng = np.random.default_rng(11)
+    prints = set()
+    for base in rng.integers(0, 1 << 63, 6).tolist():
+        f = base
+        for _ in range(25):  # a chain, and a cloud around its beginning
+            f ^= sum(1 << int(b) for b in rng.choice(64, 3, replace=False))
+            prints |= {f, base ^ sum(1 << int(b) for b in rng.choice(64, int(rng.integers(1, 7)), replace=False))}
+    prints |= set(rng.integers(0, 1 << 63, 200).tolist()) | {0, (1 << 64) - 1}
+    signed = [f - (1 << 64) if f >> 63 else f for f in prints]
+    fps = materialize(spark.createDataFrame([(f,) for f in signed], "fp long"))
+    found = {r["a"]: r["root"] for r in simhash.components(simhash.links(fps, 4, hot_bucket=hot)).collect()}
+    want = brute_components(prints, 4)
+    groups, ours = defaultdict(set), defaultdict(set)
+    for f, s in zip(prints, signed):
+        groups[want[f]].add(s)
+        ours[found.get(s, s)].add(s)
+    assert sorted(map(sorted, groups.values())) == sorted(map(sorted, ours.values()))
+
+
+def test_pigeonhole_plan_covers():
+    """Any four flipped bits leave some part within its threshold."""
+    rng = np.random.default_rng(2)
+    bits = rng.random((500, 64)) < rng.random(64)
+    table = bits.T.astype(float) @ bits
+    for n in (500, 10 ** 5, 10 ** 9):
+        parts = simhash.plan_parts(n, table * (n / 500), 4)
+        assert sorted(b for p, _ in parts for b in p) == sorted({b for p, _ in parts for b in p})
+        for _ in range(2000):
+            flipped = set(rng.choice(64, 4, replace=False).tolist())
+            assert any(len(flipped & set(p)) <= t for p, t in parts)
+
+
+def test_odd_distance_is_refused(spark):
+    with pytest.raises(ValueError):
+        simhash.links(spark.createDataFrame([(1,)], "fp long"), 3)
+
+
+# ---- 8 fingerprints -----------------------------------------------------------------------
+
+
+def test_fingerprints_brute_force(spark, folder, docs):
+    rows = catalog.QUERIES["op8_fingerprints"](spark, folder).collect()
+    order = sorted(docs, key=lambda d: (d[0] is None, -(d[0] or 0), d[1].encode()))
+    assert len(rows) == len(order)
+    want = []
+    for (i, text), (_, after) in zip(order, order[1:] + order[:1]):
+        cut = len(text) // 3
+        want.append((i, len(text), hashlib.sha256((text[:len(text) - cut] + after[:cut]).encode()).hexdigest()))
+    got = sorted(((r["doc_id"], r["n_chars"], r["edited_sha256"]) for r in rows), key=repr)
+    assert got == sorted(want, key=repr)
+    of = dict(zip((x[0] for x in docs), (x[1] for x in docs)))
+    prints = defaultdict(set)
+    for r in rows:
+        if r["doc_id"] is not None:
+            prints[of[r["doc_id"]]].add(r["fingerprint"])
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+        assert (r["fingerprint"] == r["edited_fingerprint"]) == (
+            hashlib.sha256((of.get(r["doc_id"], "") if r["doc_id"] is not None else "").encode()).hexdigest()
+            == r["edited_sha256"]) or r["doc_id"] is None
+    assert all(len(p) == 1 for p in prints.values())
+    assert len({next(iter(p)) for p in prints.values()}) == len(prints)
+    far = [r for r in rows if r["n_chars"] > 200 and r["near_next"] < 0.9]
+    assert sum(r["near_edited"] > r["near_next"] + 0.2 for r in far) > 0.97 * len(far)
+
+
+def test_neighbours_over_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 7)
+    rows = [(i * 3 % 101, f"text number {i * 3 % 101} " * 3) for i in range(101)] + [(50, "again"), (None, "none")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r["doc_id"], r["edited_sha256"]) for r in merkle.compare_edited(df).collect()), key=repr)
+    order = sorted(rows, key=lambda d: (d[0] is None, -(d[0] or 0), d[1]))
+    want = [(i, hashlib.sha256((t[:len(t) - len(t) // 3] + n[:len(t) // 3]).encode()).hexdigest())
+            for (i, t), (_, n) in zip(order, order[1:] + order[:1])]
+    assert got == sorted(want, key=repr)
+
+
+def test_edits_are_located():
+    a = edge.long_text(400).encode()
+    b = a[:900] + b"CHANGED WORDS " + a[950:]
+    x, y = merkle.tree(a), merkle.tree(b)
+    begin, end = merkle.edited_span(x, y)
+    assert begin <= 900 and end >= 950 and end - begin < 400 and x.root != y.root
+    assert merkle.edited_span(x, merkle.tree(a)) == (0, 0)
+    assert merkle.likeness(merkle.fingerprint(x), merkle.fingerprint(y)) > 0.8
+
+
+def test_every_byte_counts():
+    for a, b in ((b"a b", b"a  b"), (b"", b" "), (b"a\n\nb", b"a\nb"), (b"x", b"x\n")):
+        assert merkle.fingerprint(merkle.tree(a)) != merkle.fingerprint(merkle.tree(b))
+
+
+# ---- 9 BPE --------------------------------------------------------------------------------
+
+
+def test_bpe_matches_pattern_pieces(spark, folder, docs):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = bpe.codec(path, public_tokenizers.PATTERN)._enc
+    want = []
+    for i, text in docs:
+        ids = [x for m in regex.finditer(public_tokenizers.PATTERN, text)
+               for x in enc._encode_single_piece(m.group().encode())]
+        want.append((i, len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(),
+                     hashlib.sha256(text.encode()).hexdigest()))
+    got = [tuple(r) for r in catalog.QUERIES["op9_byte_bpe"](spark, folder).collect()]
+    assert sorted(got, key=repr) == sorted(want, key=repr)
+
+
+def test_bpe_pieces_are_safe():
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    enc = bpe.codec(path, public_tokenizers.PATTERN)._enc
+    text = "It's   one's 12,5. \n\n x'll  y9 z. " * 40 + "a" * 300 + " " * 50 + "b"
+    for size in (1, 2, 3, 7, 50, 400):
+        parts = bpe.pieces(text, size)
+        assert "".join(parts) == text
+        assert [i for p in parts for i in enc.encode_ordinary(p)] == enc.encode_ordinary(text)
+
+
+def test_bpe_round_trip_keeps_other_columns(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    df = spark.createDataFrame([("é日", 1, "own"), (None, 2, "own")], "text string, n int, ids string")
+    ids = bpe.encode(df, path, public_tokenizers.PATTERN)
+    assert ids.columns == ["text", "n", "ids"]
+    back = bpe.decode(ids, path, public_tokenizers.PATTERN).orderBy("n").collect()
+    assert [bytes(r["decoded"]).decode() for r in back] == ["é日", ""]

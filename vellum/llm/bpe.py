@@ -7,7 +7,7 @@ the ids of the whole text while no regex call sees an unbounded string.  Ids dec
 raw bytes, never through text, because a token may hold part of a character.
 
 Null text encodes as the empty text (no ids); repeated rows stay; an empty table gives
-an empty result; other columns pass through untouched.
+an empty result; other columns pass through untouched, those of an output's name are replaced.
 """
 
 from __future__ import annotations
@@ -81,19 +81,19 @@ def codec(ranks_path: str, pattern: str) -> Codec:
 
 def _with_columns(df: DataFrame, source: str, outputs: str,
                   make: Callable[[list], list[pa.Array]]) -> DataFrame:
-    """All columns of ``df`` plus those that ``make`` computes from the column ``source``."""
-    (raw,) = C.fresh(df, "__raw")
+    """The columns of ``df`` and those that ``make`` computes from the column ``source``."""
+    made = {f.name.lower() for f in T.StructType.fromDDL(outputs)}
+    keep = [c for c in df.columns if c.lower() not in made]
     text = isinstance(df.schema[source].dataType, T.StringType)
     value = C.text_bytes(source) if text else C.col(source)
-    work = df.withColumn(raw, value)
-    schema = C.schema(df, df.columns, outputs)
+    work = df.select(*[C.col(c) for c in keep], value.alias("__source"))
+    names = [*keep, *T.StructType.fromDDL(outputs).names]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = make(batch.column(batch.num_columns - 1).to_pylist())
-        return pa.RecordBatch.from_arrays(
-            list(batch.columns[:-1]) + made, names=[f.name for f in schema.fields])
+        columns = make(batch.column(batch.num_columns - 1).to_pylist())
+        return pa.RecordBatch.from_arrays(list(batch.columns[:-1]) + columns, names=names)
 
-    return C.map_arrow(work, run, schema)
+    return C.map_arrow(work, run, C.schema(df, keep, outputs))
 
 
 def encode(df: DataFrame, ranks_path: str, pattern: str, text_col: str = "text",

@@ -63,7 +63,7 @@ def words(text: Column) -> Column:
     ``lower`` also maps non-ASCII letters, none of them to an ASCII one but the Kelvin
     sign, which is put aside first; so words of ASCII letters come out as A-Z lower-cased.
     """
-    return C.words(F.lower(F.replace(text, F.lit("K"), F.lit("å"))), _SEPARATORS, SEPARATOR)
+    return C.words(F.lower(F.replace(text, F.lit("\u212a"), F.lit("\u00e5"))), _SEPARATORS, SEPARATOR)
 
 
 def _grams(w: Column) -> Column:
