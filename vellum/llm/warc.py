@@ -157,29 +157,35 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
              pa.int64(), pa.string(), pa.bool_()] + [pa.binary()] * with_payload
     files = (spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
              .select("path", "content"))
-    found = materialize(files.mapInArrow(run, schema), "warc-candidates")
-    chain = reachable(found.select("archive", "offset", "successor"))
-    return found.join(chain, ["archive", "offset"], "left_semi").drop("successor")
+    found = materialize(files.mapInArrow(run, schema).withColumns(
+        {"__a": F.xxhash64("archive"), "__b": F.xxhash64("archive", F.lit("b"))}), "warc-candidates")
+    chain = reachable(found.select("__a", "__b", "offset", "successor"))
+    return found.join(chain, ["__a", "__b", "offset"], "left_semi").drop("successor", "__a", "__b")
 
 
 def reachable(candidate: DataFrame) -> DataFrame:
-    """(archive, offset) of the candidates on the chain from each archive's first byte.
+    """(__a, __b, offset) of the candidates on the chain from each archive's first byte.
 
-    Pointer jumping: after round k the set holds the first 2^k records of every chain and the
-    jumps span 2^k records.  Every round is written to the shared folder.
+    An archive is known by two 64-bit hashes of its path, so that a row is four numbers in
+    memory as on disk, and the planner's idea of a table's size holds.  Pointer jumping:
+    after round k the set holds the first 2^k records of every chain and the jumps span 2^k
+    records.  Every round is written to the shared folder.
     """
+    def met(left: DataFrame, place: str) -> DataFrame:
+        return left.join(ahead, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))
+                         & (F.col(place) == F.col("at")))
+
     jump = candidate
-    chain = candidate.where(F.col("offset") == 0).select("archive", "offset")
+    chain = candidate.where(F.col("offset") == 0).select("__a", "__b", "offset")
     while True:
-        ahead = jump.select(F.col("archive").alias("in"), F.col("offset").alias("at"),
-                            F.col("successor").alias("to"))
-        more = chain.join(ahead, (F.col("archive") == F.col("in")) & (F.col("offset") == F.col("at")))
-        chain = materialize(chain.unionByName(more.select("archive", F.col("to").alias("offset"))),
-                            "warc-chain")
-        twice = jump.join(ahead, (F.col("archive") == F.col("in")) & (F.col("successor") == F.col("at")))
-        jump = materialize(twice.select("archive", "offset", F.col("to").alias("successor")), "warc-jumps")
+        ahead = jump.select(F.col("__a").alias("a"), F.col("__b").alias("b"),
+                            F.col("offset").alias("at"), F.col("successor").alias("to"))
+        more = met(chain, "offset").select("__a", "__b", F.col("to").alias("offset"))
+        chain = materialize(chain.unionByName(more), "warc-chain")
+        jump = materialize(met(jump, "successor").select("__a", "__b", "offset", F.col("to").alias("successor")),
+                           "warc-jumps")
         if not jump.head(1):
-            return chain.join(candidate.select("archive", "offset"), ["archive", "offset"], "left_semi")
+            return chain.join(candidate.select("__a", "__b", "offset"), ["__a", "__b", "offset"], "left_semi")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
