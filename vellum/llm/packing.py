@@ -41,9 +41,9 @@ CAPACITY = 4096
 SEPARATOR = 1
 #: Pieces of one shard, all held by one task (about 100 bytes each).
 SHARD_PIECES = 20_000
-#: Words, and words without the punctuation at their end, that one worker remembers at
-#: most; beyond that its memory starts anew (about 150 MB each).
-CACHE_WORDS = 1_000_000
+#: Words that one worker remembers at most (about 200 bytes each, for as long as the worker
+#: lives); beyond that its memory starts anew.
+CACHE_WORDS = 600_000
 #: Characters that are encoded together (about 30 bytes of memory each, for a moment).
 BATCH_CHARS = 4_000_000
 
@@ -72,26 +72,9 @@ class WordEncoder(dict):
 
     def _reset(self) -> None:
         self.clear()
-        self._cores: dict[str, tuple[int, ...]] = {}
         self._flat, self._start, self._len = array("I"), array("q"), array("q")
 
-    def _ids(self, core: str) -> tuple[int, ...]:
-        if _PLAIN(core):  # one match of the pattern, mapped to itself
-            ids = tuple([t.id for t in self._model.tokenize(core)])
-        else:
-            ids = tuple(self._tok.encode(core, add_special_tokens=False).ids)
-        self._cores[core] = ids
-        return ids
-
-    def __missing__(self, word: str) -> int:
-        core = word.rstrip(_TAIL)
-        ids = self._cores.get(core)
-        if ids is None:
-            ids = self._ids(core)
-        if len(core) < len(word):
-            tail = word[len(core):]
-            more = self._cores.get(tail)
-            ids = ids + (self._ids(tail) if more is None else more)
+    def _add(self, word: str, ids: list[int] | array) -> int:
         index = len(self._start)
         self._start.append(len(self._flat))
         self._len.append(len(ids))
@@ -99,12 +82,25 @@ class WordEncoder(dict):
         self[word] = index
         return index
 
+    def _known(self, word: str) -> array:
+        at = self[word]
+        start = self._start[at]
+        return self._flat[start:start + self._len[at]]
+
+    def __missing__(self, word: str) -> int:
+        core = word.rstrip(_TAIL)
+        if core and len(core) < len(word):  # a word and the punctuation after it
+            return self._add(word, self._known(core) + self._known(word[len(core):]))
+        if _PLAIN(word):  # one match of the pattern, mapped to itself
+            return self._add(word, [t.id for t in self._model.tokenize(word)])
+        return self._add(word, self._tok.encode(word, add_special_tokens=False).ids)
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text as unsigned 32-bit numbers.
 
         Arrow numbers the distinct words of the batch, so Python looks each up once.
         """
-        if len(self) > CACHE_WORDS or len(self._cores) > CACHE_WORDS:
+        if len(self) > CACHE_WORDS:
             self._reset()
         # Lower-casing here only saves distinct words; beyond these letters the
         # normaliser does it (it knows no final sigma).
