@@ -64,6 +64,20 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch],
     return df.mapInArrow(run, schema)
 
 
+def computed(df: DataFrame, value: Column, fn: Callable[[pa.Array], pa.Array], ddl: str) -> Column:
+    """A column that Python computes from one column, by Arrow batches.
+
+    Only that column goes to Python; the rest of a row waits in the JVM.  Marked
+    non-deterministic so that the optimizer never evaluates it twice, once per use.
+    """
+    ship_package(df.sparkSession)
+
+    def run(column: pa.Array) -> pa.Array:
+        return fn(column)
+
+    return F.arrow_udf(run, ddl).asNondeterministic()(value)
+
+
 def decode(raw: bytes | None) -> str:
     return "" if raw is None else raw.decode("utf-8", "replace")
 

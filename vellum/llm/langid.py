@@ -210,33 +210,32 @@ def fit(df: DataFrame, key_col: str = "doc_id", text_col: str = "text", lang_col
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
     """``df`` with lang_pred, score and rejected (replacing columns of these names)."""
     made = ("lang_pred", "score", "rejected")
-    keep = [c for c in df.columns if c.lower() not in made]
-    work = df.select(*[C.col(c) for c in keep], C.text_bytes(text_col).alias("__raw"))
-    schema = C.schema(df, keep, "lang_pred string, score double, rejected boolean")
-    names = [f.name for f in schema.fields]
+    (found,) = C.fresh(df, "__found")
+    kinds = [pa.string(), pa.float64(), pa.bool_()]
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(batch.num_columns - 1)
+    def run(texts: pa.Array) -> pa.Array:
         lang, score, rejected = [], [], []
         for a in range(0, len(texts), BLOCK):
             part = [x.as_py() for x in texts[a:a + BLOCK]]
-            known = np.array([model is not None and has_letter(x) for x in part])
             if model is None:
                 lang += [UNKNOWN] * len(part)
                 score += [0.0] * len(part)
                 rejected += [True] * len(part)
                 continue
+            known = np.array([has_letter(x) for x in part])
             grams = np.stack([counts(x) for x in part])
             best, close = model.nearest(grams)
             far = close < model.floor[best, size_class(grams)]
             lang += [model.langs[b] if k else UNKNOWN for b, k in zip(best, known)]
             score += np.where(known, close, 0.0).tolist()
             rejected += (far | ~known).tolist()
-        return pa.RecordBatch.from_arrays(
-            list(batch.columns[:-1]) + [pa.array(lang, pa.string()), pa.array(score, pa.float64()),
-                                        pa.array(rejected, pa.bool_())], names=names)
+        return pa.StructArray.from_arrays(
+            [pa.array(c, t) for c, t in zip((lang, score, rejected), kinds)], names=list(made))
 
-    return C.map_arrow(work, run, schema)
+    column = C.computed(df, C.text_bytes(text_col), run, "lang_pred string, score double, rejected boolean")
+    keep = [c for c in df.columns if c.lower() not in made]
+    return df.withColumn(found, column).select(
+        *[C.col(c) for c in keep], *[F.col(found).getField(c).alias(c) for c in made])
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

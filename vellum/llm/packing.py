@@ -45,7 +45,7 @@ SHARD_PIECES = 20_000
 #: lives); beyond that its memory starts anew.
 CACHE_WORDS = 600_000
 #: Characters that are encoded together (about 30 bytes of memory each, for a moment).
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 1_500_000
 
 #: Punctuation that, at the end of a word, is a match of its own (no apostrophe).
 _TAIL = ".,;:!?%$&*#"

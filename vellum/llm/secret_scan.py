@@ -173,7 +173,7 @@ def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH,
     pick = F.pmod(F.xxhash64("candidate", "before"), F.lit(1 << 30)) < most / n * (1 << 30)
     rows = labelled.where(pick).select("label", *FEATURES)
     rows = rows.unionByName(seed_findings(spark).select("label", *FEATURES))
-    rows = rows.repartition(4, "length").sortWithinPartitions("label", *FEATURES)
+    rows = rows.repartition(4, "label", *FEATURES).sortWithinPartitions("label", *FEATURES)
     gather = VectorAssembler(inputCols=FEATURES, outputCol="__features", handleInvalid="keep")
     forest = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees,
                                     maxDepth=depth, seed=SEED, probabilityCol="__probability",

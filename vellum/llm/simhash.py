@@ -77,17 +77,11 @@ def fingerprint(text: bytes, shingle: int) -> int:
 def fingerprints(df: DataFrame, shingle: int, text_col: str = "text",
                  carry: tuple[str, ...] = ()) -> DataFrame:
     """The carried columns and the fingerprint (long) of every text, as column ``fp``."""
-    work = df.select(*[C.col(c) for c in carry], C.text_bytes(text_col).alias("__raw"))
-    schema = C.schema(df, carry, "fp long")
-    names = [f.name for f in schema.fields]
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array([fingerprint(x.as_py(), shingle) for x in texts], pa.int64())
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        raw = batch.column(batch.num_columns - 1)
-        fp = [fingerprint(x.as_py() or b"", shingle) for x in raw]
-        return pa.RecordBatch.from_arrays(
-            list(batch.columns[:-1]) + [pa.array(fp, pa.int64())], names=names)
-
-    return C.map_arrow(work, run, schema)
+    fp = C.computed(df, C.text_bytes(text_col), run, "long")
+    return df.select(*[C.col(c) for c in carry], fp.alias("fp"))
 
 
 # ---- plan: parts and thresholds -------------------------------------------------------
