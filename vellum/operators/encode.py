@@ -1,11 +1,13 @@
 """Categorical encoders.
 
-Fitting runs as one distributed ``distinct`` over the label column.  A label set of at
-most ``MAX_DRIVER_CLASSES`` comes back to the driver as the sorted class list (the model,
-as a fitted label encoder holds its classes); a larger one is coded distributed
-(``fit_code_table``) and never gathered.  Applying a small encoder is a narrow map (a
-lookup inside the task); a larger one is a left join to its code table, broadcast only
-when the counted table is small.
+A fitted label encoder is a ``(value, code)`` table, coded distributed (``fit_code_table``)
+and stored in the shared folder; no label passes the driver.  It is applied by one left
+join, whatever its size: the planner knows the stored table's bytes and broadcasts it only
+below ``spark.sql.autoBroadcastJoinThreshold``, else AQE handles hot labels.
+
+Multi-label vocabularies (E4) come in two forms: a fitted ``CountVectorizerModel``, whose
+vocabulary is on the driver and therefore bounded by ``max_classes``, and
+``multi_hot_codes``, sparse slots by a join to a code table of any size.
 
 Unseen-label policies, one per reference encoder:
 
@@ -18,24 +20,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import CountVectorizerModel, StringIndexerModel
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-# Above this many classes a code table is joined without a broadcast hint (AQE may
-# still broadcast it at run time when its measured size is small).
-MAX_BROADCAST_CODES = 1_000_000
-# A fitted label set larger than this is never gathered on the driver: it is coded and
-# kept as a distributed table.
-MAX_DRIVER_CLASSES = 100_000
-# Up to this many classes the label map travels inside the task (StringIndexerModel,
-# whose labels cross py4j one by one); above it the encoder joins a code table that
-# is shipped to the JVM in one batch.
-MAX_INDEXER_CLASSES = 1_000
+from vellum.session import materialize
+
+#: Most classes that are gathered into a driver-side vocabulary; more is an error.
+MAX_CLASSES = 1_000_000
 
 
 # --- A2 ---------------------------------------------------------------------
-def fit_classes(df: DataFrame, col: str, multi: bool = False) -> list[str]:
+def fit_classes(df: DataFrame, col: str, multi: bool = False,
+                max_classes: int = MAX_CLASSES) -> list[str]:
     """Sorted distinct non-null labels (code-point order), or elements when ``multi``.
 
     The distinct runs distributed with a map-side partial aggregate, so a hot label
@@ -43,16 +40,19 @@ def fit_classes(df: DataFrame, col: str, multi: bool = False) -> list[str]:
     the driver, where they are sorted: Python's string order is code-point order,
     the same as Spark's binary (UTF-8) order, so no extra sort job is needed.
     """
-    return fit_classes_many(df, [col], multi={col} if multi else set())[col]
+    return fit_classes_many(df, [col], {col} if multi else set(), max_classes)[col]
 
 
 def _tagged(c: str):
     return lambda x: F.struct(F.lit(c).alias("c"), x.cast("string").alias("v"))
 
 
-def fit_classes_many(df: DataFrame, cols: Sequence[str], multi: set | frozenset = frozenset()
-                     ) -> dict[str, list[str]]:
-    """A2 for several columns in one scan: one ``(column, value)`` array per row, exploded."""
+def fit_classes_many(df: DataFrame, cols: Sequence[str], multi: set | frozenset = frozenset(),
+                     max_classes: int = MAX_CLASSES) -> dict[str, list[str]]:
+    """A2 for several columns in one scan: one ``(column, value)`` array per row, exploded.
+
+    More than ``max_classes`` values in all raise an error that names the code-table form.
+    """
     parts = []
     for c in cols:
         if c in multi:
@@ -62,7 +62,10 @@ def fit_classes_many(df: DataFrame, cols: Sequence[str], multi: set | frozenset
             parts.append(F.array(F.struct(F.lit(c).alias("c"), F.col(c).cast("string").alias("v"))))
     both = parts[0] if len(parts) == 1 else F.concat(*parts)
     u = df.select(F.explode(both).alias("p")).select("p.c", "p.v")
-    rows = u.where(F.col("v").isNotNull()).distinct().collect()
+    rows = u.where(F.col("v").isNotNull()).distinct().limit(max_classes + 1).collect()
+    if len(rows) > max_classes:
+        raise ValueError(f"more than {max_classes} classes in {list(cols)}: use fit_code_table "
+                         "(multi=True) and multi_hot_codes, which keep them distributed")
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         out[r["c"]].append(r["v"])
@@ -73,123 +76,85 @@ def fit_classes_many(df: DataFrame, cols: Sequence[str], multi: set | frozenset
 class LabelEncoderModel:
     """Fitted encoder: label -> position in the sorted classes, as an int column.
 
-    Small label sets are held as a list and applied inside the task (StringIndexer).
-    Large ones are held as a distributed ``(value, code)`` table and applied by a
-    left join, broadcast only when the table's row count is small - the labels then
-    never pass through the driver.  The output has no nominal ML metadata, so tree
-    learners treat codes as ordered numbers (as the reference does).  Persisted as a
-    ``(value, code)`` Parquet table either way.
+    Held as a ``(value, code)`` table, given directly or as a class list, and applied by
+    a left join.  The output has no nominal ML metadata, so tree learners treat codes as
+    ordered numbers (as the reference does).
     """
 
     def __init__(self, classes: Sequence[str] | None, col: str, out: str | None = None,
-                 on_unseen: str = "error", default: int = -1, codes: DataFrame | None = None,
-                 n_codes: int | None = None):
+                 on_unseen: str = "error", default: int = -1, codes: DataFrame | None = None):
         if on_unseen not in ("error", "default"):
             raise ValueError("on_unseen must be 'error' or 'default'")
         if classes is None and codes is None:
             raise ValueError("give classes or a code table")
         self.classes = list(classes) if classes is not None else None
         self.codes = codes
-        self.n_codes = len(self.classes) if self.classes is not None else n_codes
         self.col, self.out = col, out or col
         self.on_unseen, self.default = on_unseen, int(default)
 
-    def transform(self, df: DataFrame) -> DataFrame:
-        if self.classes is None or len(self.classes) > MAX_INDEXER_CLASSES:
-            return self._transform_by_join(df)
-        tmp = f"__{self.out}_idx"
-        handle = "error" if self.on_unseen == "error" else "keep"
-        indexer = StringIndexerModel.from_labels(self.classes, inputCol=self.col,
-                                                 outputCol=tmp, handleInvalid=handle)
-        idx = F.col(tmp)
-        if self.on_unseen == "default":  # "keep" puts unseen and null at len(classes)
-            idx = F.when(idx >= len(self.classes), F.lit(self.default)).otherwise(idx)
-        return indexer.transform(df).withColumn(self.out, idx.cast("int")).drop(tmp)
-
     def code_table(self, spark: SparkSession) -> DataFrame:
         if self.codes is not None:
             return self.codes.select("value", "code")
         return code_table(spark, self.classes)
 
-    def _transform_by_join(self, df: DataFrame) -> DataFrame:
-        """Large label sets: left join to the code table (broadcast only when small)."""
-        codes = self.code_table(df.sparkSession).select(
-            F.col("value").alias("__k"), F.col("code").alias("__code"))
-        n = self.n_codes if self.n_codes is not None else codes.count()
-        if n <= MAX_BROADCAST_CODES:
-            codes = F.broadcast(codes)
-        joined = df.join(codes, df[self.col].cast("string") == codes["__k"], "left")
-        code = F.col("__code")
+    def transform(self, df: DataFrame) -> DataFrame:
+        codes = self.code_table(df.sparkSession)
         if self.on_unseen == "default":
-            code = F.coalesce(code, F.lit(self.default))
-        else:
-            code = F.when(code.isNull(), F.raise_error(F.concat(
-                F.lit(f"unseen or null label in {self.col}: "),
-                F.coalesce(F.col(self.col).cast("string"), F.lit("NULL"))))).otherwise(code)
-        return joined.withColumn(self.out, code.cast("int")).drop("__k", "__code")
+            return lookup_codes(df, codes, self.col, self.out, self.default)
+        label = F.col(self.col).cast("string")
+        code = F.when(F.col("__code").isNull(), F.raise_error(F.concat(
+            F.lit(f"unseen or null label in {self.col}: "),
+            F.coalesce(label, F.lit("NULL"))))).otherwise(F.col("__code"))
+        return _joined(df, codes, self.col).withColumn(self.out, code.cast("int")).drop("__k", "__code")
 
     def save(self, spark: SparkSession, path: str) -> None:
-        meta = f"{self.col}\t{self.out}\t{self.on_unseen}\t{self.default}"
-        (self.code_table(spark).withColumn("meta", F.lit(meta))
-         .write.mode("overwrite").parquet(path))
+        """The code table, and a one-row table of the settings (an encoder may have no class)."""
+        self.code_table(spark).write.mode("overwrite").parquet(f"{path}/codes")
+        spark.createDataFrame([(self.col, self.out, self.on_unseen, self.default)],
+                              "col string, out string, on_unseen string, default int") \
+            .write.mode("overwrite").parquet(f"{path}/settings")
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LabelEncoderModel:
-        table = spark.read.parquet(path)
-        head = table.select("meta").limit(1).collect()
-        col, out, on_unseen, default = (head[0]["meta"].split("\t") if head
-                                        else ("", "", "error", -1))
-        probe = table.select("value", "code").limit(MAX_DRIVER_CLASSES + 1).collect()
-        if len(probe) <= MAX_DRIVER_CLASSES:
-            classes = [r["value"] for r in sorted(probe, key=lambda r: r["code"])]
-            return cls(classes, col, out, on_unseen, int(default))
-        return cls(None, col, out, on_unseen, int(default), codes=table.select("value", "code"))
+        r = spark.read.parquet(f"{path}/settings").first()
+        return cls(None, r["col"], r["out"], r["on_unseen"], r["default"],
+                   codes=spark.read.parquet(f"{path}/codes"))
 
 
 def fit_label_encoder(df: DataFrame, col: str, out: str | None = None,
                       on_unseen: str = "error", default: int = -1) -> LabelEncoderModel:
-    """A2 + E1 / E3 fit.
-
-    Probes the distinct labels with at most ``MAX_DRIVER_CLASSES + 1`` rows: a label
-    set that fits is sorted on the driver; a larger one is coded distributed
-    (``fit_code_table``) and never gathered.  Both paths give the same codes.
-    """
-    probe = (df.select(F.col(col).cast("string").alias("v")).where(F.col("v").isNotNull())
-             .distinct().limit(MAX_DRIVER_CLASSES + 1).collect())
-    if len(probe) <= MAX_DRIVER_CLASSES:
-        return LabelEncoderModel(sorted(r["v"] for r in probe), col, out, on_unseen, default)
-    codes = fit_code_table(df, col)
-    return LabelEncoderModel(None, col, out, on_unseen, default, codes=codes,
-                             n_codes=codes.count())
+    """A2 + E1 / E3 fit: the distinct labels coded distributed, stored once."""
+    return LabelEncoderModel(None, col, out, on_unseen, default, codes=fit_code_table(df, col))
 
 
 # --- O3 / J3 ----------------------------------------------------------------
 def fit_code_table(df: DataFrame, col: str, partitions: int | None = None,
-                   value_col: str = "value", code_col: str = "code") -> DataFrame:
+                   value_col: str = "value", code_col: str = "code", multi: bool = False
+                   ) -> DataFrame:
     """O3 fully distributed: dense codes over the sorted distinct values of ``col``.
 
-    For label sets too large for a driver-side list.  Distinct values are range
+    ``multi`` codes the elements of an array column.  Distinct values are range
     partitioned (partition ``i`` holds only values below those of ``i + 1``), written
     to the shared checkpoint folder so partition ids are fixed, numbered inside their
     partition, and shifted by the number of values in lower partitions - a table with
-    one row per partition.  No step gathers the values into one task.
+    one row per partition.  The final codes are written once; no step gathers the values.
     """
-    from vellum.session import materialize
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    distinct = df.select(F.col(col).cast("string").alias("__v")).where(
+    value = F.explode(F.col(col)) if multi else F.col(col)
+    distinct = df.select(value.alias("__v")).select(F.col("__v").cast("string").alias("__v")).where(
         F.col("__v").isNotNull()).distinct()
     ranged = materialize(distinct.repartitionByRange(n, "__v")
-                         .withColumn("__pid", F.spark_partition_id()), "codes")
+                         .withColumn("__pid", F.spark_partition_id()), "values")
     local = ranged.withColumn(
         "__rn", F.row_number().over(Window.partitionBy("__pid").orderBy("__v")))
     sizes = ranged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
     below = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__pid", F.coalesce(F.sum("__n").over(below), F.lit(0))
-                           .alias("__off"))
-    return (local.join(F.broadcast(offsets), "__pid")
-            .select(F.col("__v").alias(value_col),
-                    (F.col("__off") + F.col("__rn") - 1).cast("int").alias(code_col)))
+                           .alias("__off"))  # one row per partition
+    return materialize(local.join(F.broadcast(offsets), "__pid").select(
+        F.col("__v").alias(value_col),
+        (F.col("__off") + F.col("__rn") - 1).cast("int").alias(code_col)), "codes")
 
 
 def code_table(spark: SparkSession, classes: Sequence[str], value_col: str = "value",
@@ -199,19 +164,18 @@ def code_table(spark: SparkSession, classes: Sequence[str], value_col: str = "va
                                  f"`{value_col}` string, `{code_col}` int")
 
 
-def lookup_codes(df: DataFrame, codes: DataFrame, key: str, out: str, default: int = -1,
-                 value_col: str = "value", code_col: str = "code",
-                 n_codes: int | None = None) -> DataFrame:
-    """Dictionary lookup with a default: left join to a code table + coalesce.
-
-    The code table is broadcast only when its row count is known to be small.
-    """
-    n = n_codes if n_codes is not None else codes.count()
+def _joined(df: DataFrame, codes: DataFrame, key: str, value_col: str = "value",
+            code_col: str = "code") -> DataFrame:
+    """Left join to a code table as ``__k``, ``__code``; the planner picks the join by bytes."""
     right = codes.select(F.col(value_col).alias("__k"), F.col(code_col).alias("__code"))
-    if n <= MAX_BROADCAST_CODES:
-        right = F.broadcast(right)
-    joined = df.join(right, df[key] == right["__k"], "left")
-    return (joined.withColumn(out, F.coalesce(F.col("__code"), F.lit(default)).cast("int"))
+    return df.join(right, df[key].cast("string") == right["__k"], "left")
+
+
+def lookup_codes(df: DataFrame, codes: DataFrame, key: str, out: str, default: int = -1,
+                 value_col: str = "value", code_col: str = "code") -> DataFrame:
+    """Dictionary lookup with a default: left join to a code table + coalesce."""
+    return (_joined(df, codes, key, value_col, code_col)
+            .withColumn(out, F.coalesce(F.col("__code"), F.lit(default)).cast("int"))
             .drop("__k", "__code"))
 
 
@@ -226,6 +190,20 @@ def fit_multi_hot(df: DataFrame, col: str, out: str) -> CountVectorizerModel:
     return multi_hot_encoder(fit_classes(df, col, multi=True), col, out)
 
 
+def multi_hot_codes(df: DataFrame, codes: DataFrame, key: str, col: str, out: str) -> DataFrame:
+    """E4 for vocabularies of any size: the sorted slots of each row's presence vector.
+
+    ``key`` identifies a row.  Elements are joined to the code table and folded by key;
+    unseen elements are ignored, duplicates collapse, a row without any has no slots.
+    """
+    seen = (df.select(F.col(key).alias("__row"), F.explode(F.array_distinct(col)).alias("value"))
+            .join(codes.select("value", "code"), "value")
+            .groupBy("__row").agg(F.sort_array(F.collect_set("code")).alias("__slots")))
+    return (df.join(seen, df[key] == seen["__row"], "left")
+            .withColumn(out, F.coalesce("__slots", F.array().cast("array<int>")))
+            .drop("__row", "__slots"))
+
+
 def feature_names(prefix: str, classes: Sequence[str]) -> list[str]:
     """E5: ``prefix + class`` for every slot, in vector order."""
     return [f"{prefix}{c}" for c in classes]

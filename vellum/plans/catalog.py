@@ -4,9 +4,12 @@ Every query reads whole driver tables (no id subsets, no row caps).  Column name
 and types line up with the oracle: counts are ``bigint``, float results are rounded
 to 6 places, array results are rendered as strings.
 
-The forest queries (``chained_score`` ...) have no SQL twin: their values depend on
-the learner, so only rows are compared; the unit tests check them against manual
-calls instead.
+The forest queries fit one tree of depth 1 without bootstrap on columns of few distinct
+values, so that every threshold is a candidate: split, leaf means, importances and chained
+predictions are then plain SQL (``sql_stump``).  Without bootstrap and with all features
+every tree of a forest is the same, so one tree cuts no work.  The reference's bagged
+forest of 500 trees runs in ``chained_forest`` and ``article_forest``, whose registered
+output is what SQL can know of it.
 """
 
 from __future__ import annotations
@@ -22,8 +25,7 @@ from vellum.functions import lists as L
 from vellum.functions import text as T
 from vellum.operators import clean, encode, entities, metrics, model, split
 from vellum.plans import enrich as E
-from vellum.session import materialize, scratch_path, spread
-from vellum.sources.articles import copy_rank, keep_first
+from vellum.session import materialize, scratch_path
 
 # ---------------------------------------------------------------------------
 # Parameters of the driver-table queries (the driver tables are not news pages, so
@@ -32,19 +34,32 @@ from vellum.sources.articles import copy_rank, keep_first
 PAGE_SELECTORS = {"body_selector": "article", "category_selector": "h1"}
 LICENSE_PREFIXES = (" ", "Licensed", "Released", "This work", "www")
 LICENSE_MARKERS = ("Licensed", "Released")
+LINE_PREFIXES = ("An", "Er", "La", "En", "Es")
+LINE_MARKERS = ("On", "In", "De", "Ge", "Ci", "Th")
 VALUE_CAP = 20.0
 SOURCE_ALLOW = tuple(f"src{i}" for i in range(10))
 ENTITY_DICTIONARY = {"the": "MISC", "de": "LOC", "der": "ORG", "la": "PER", "rewh": "PER",
                      "orre": "LOC", "und": "ORG", "que": "MISC"}
 R2_PRICE_FACTOR = 1500.0
 SPLIT_THRESHOLD = int(split.TEST_FRACTION * 2 ** 32)
-SMALL_FOREST = model.ForestParams(num_trees=5, max_depth=5, max_bins=32)
+STUMP = model.ForestParams(num_trees=1, max_depth=1, max_bins=64, bootstrap=False)
+READ_PARTITIONS = "spark.vellum.read.partitions"
 
 
 def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d.rstrip('/')}/{name}.parquet")
 
 
+def _wide(df: DataFrame) -> DataFrame:
+    """The table, dealt over as many partitions as the session asks for (by default: as read).
+
+    The driver's tables are one row group each, which one task reads; a local session
+    sets ``spark.vellum.read.partitions`` to use its cores.  No result depends on it.
+    """
+    n = df.sparkSession.conf.get(READ_PARTITIONS, None)
+    return df.repartition(int(n)) if n else df
+
+
 def _sql_str(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
@@ -155,7 +170,7 @@ def sql_holdout(key: str, seed: int = split.SEED) -> str:
 # Text (T1-T9, A3, P9)
 # ---------------------------------------------------------------------------
 def q_sentence_stats(spark, d):
-    docs = spread(_t(spark, d, "documents").select("doc_id", "text"))
+    docs = _wide(_t(spark, d, "documents").select("doc_id", "text"))
     out = T.with_sentence_stats(docs, "text")
     return out.select(
         "doc_id", T.text_length("text").cast("long").alias("text_length"),
@@ -173,7 +188,7 @@ FROM s"""
 
 
 def _cleaned(spark, d, prefixes, markers):
-    docs = spread(_t(spark, d, "documents").select("doc_id", "text"))
+    docs = _wide(_t(spark, d, "documents").select("doc_id", "text"))
     out = T.with_cleaned_text(docs, "text", prefixes, markers)
     return out.select(
         "doc_id", "full_cleaned_text",
@@ -191,12 +206,21 @@ def q_boilerplate_license(spark, d):
     return _cleaned(spark, d, LICENSE_PREFIXES, LICENSE_MARKERS)
 
 
+def q_boilerplate_midtext(spark, d):
+    """T6 / T7 / T9 with prefixes and markers that open lines anywhere in a text."""
+    return _cleaned(spark, d, LINE_PREFIXES, LINE_MARKERS)
+
+
 SQL_BOILERPLATE_CLEAN = (f"SELECT doc_id, {sql_cleaned('text', T.BOILERPLATE_PREFIXES, T.SECTION_MARKERS)} "
                          f"FROM documents")
 SQL_BOILERPLATE_LICENSE = (f"SELECT doc_id, {sql_cleaned('text', LICENSE_PREFIXES, LICENSE_MARKERS)} "
                            f"FROM documents")
 
 
+SQL_BOILERPLATE_MIDTEXT = (f"SELECT doc_id, {sql_cleaned('text', LINE_PREFIXES, LINE_MARKERS)} "
+                           f"FROM documents")
+
+
 # ---------------------------------------------------------------------------
 # HTML (H1, A6) and the page join
 # ---------------------------------------------------------------------------
@@ -219,20 +243,85 @@ def _typed_page_cols(df: DataFrame) -> list:
 
 
 def q_html_features(spark, d):
-    feats = E.page_features(_t(spark, d, "pages"), **PAGE_SELECTORS)
+    feats = E.page_features(_wide(_t(spark, d, "pages")), **PAGE_SELECTORS)
     return feats.select(F.col("__aid").cast("long").alias("page_id"), *_typed_page_cols(feats))
 
 
 SQL_HTML_FEATURES = f"WITH {SQL_PAGE_FEATURES.strip()}\nSELECT * FROM pf"
 
 
+PAGE_VARIANTS = {
+    # every link of the page counts; footers and bold text stand for image and video
+    "links": {"body_selector": "body", "category_selector": "h1", "image_selector": "footer",
+              "video_selector": "section"},
+    "no_category": {"body_selector": "nav", "category_selector": "h2", "image_selector": "ul",
+                    "video_selector": "article"},
+    "no_body": {"body_selector": "main", "category_selector": "h1", "image_selector": "footer",
+                "video_selector": "footer"},
+}
+
+
+def q_html_variants(spark, d):
+    """H1 / A6 with selectors that reach the link, image, video, no-body and no-category rows."""
+    pages = _wide(_t(spark, d, "pages"))
+    out = None
+    for name, selectors in PAGE_VARIANTS.items():
+        for independent in (False, True):
+            feats = E.page_features(pages, independent=independent, **selectors)
+            one = feats.select(
+                F.lit(name).alias("variant"), F.lit(independent).alias("independent"),
+                F.col("__aid").cast("long").alias("page_id"), "sub_cat",
+                *[F.col(c).cast("long").alias(c) for c in ("img", "video", "p", "a")], "page_status")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+def _sql_html_variants() -> str:
+    parts = []
+    for name, s in PAGE_VARIANTS.items():
+        body = f"regexp_extract(html, '(?s)<{s['body_selector']}(?:\\s[^>]*)?>(.*?)(?:</{s['body_selector']}>|$)', 1)"
+        for independent in (False, True):
+            has = f"regexp_matches(html, '<{s['body_selector']}[\\s>]')"
+            cat = f"regexp_matches(html, '<{s['category_selector']}[\\s>]')"
+            ok = has if independent else f"({has} AND {cat})"
+
+            def count(pattern: str, flag: bool = False) -> str:
+                n = f"len(regexp_extract_all({body}, '{pattern}'))"
+                n = f"least(1, {n})" if flag else n
+                return f"CAST(CASE WHEN {ok} THEN {n} ELSE 0 END AS BIGINT)"
+
+            sub = (f"CASE WHEN {cat} THEN cat_text ELSE '' END" if independent else
+                   f"CASE WHEN NOT {has} THEN '' WHEN {cat} THEN cat_text END")
+            parts.append(f"""
+SELECT '{name}' AS variant, {independent} AS independent, page_id,
+  {sub} AS sub_cat,
+  {count(f"<{s['image_selector']}[\\s>]", True)} AS img,
+  {count(f"<{s['video_selector']}[\\s>]", True)} AS video,
+  {count('<p[\\s>/]')} AS p, {count('<a[\\s>]')} AS a,
+  CASE WHEN NOT {has} THEN 'no_body' WHEN {cat} THEN 'ok' ELSE 'no_category' END AS page_status
+FROM clean""")
+    h1 = _sql_strip("regexp_extract(html, '(?s)<h1(?:\\s[^>]*)?>(.*?)</h1>', 1)")
+    strip = ("regexp_replace(regexp_replace(html, '(?s)<script[^>]*>.*?</script>', '', 'g'), "
+             "'(?s)<!--.*?-->', '', 'g')")
+    return f"""
+WITH one AS (
+  SELECT page_id, html FROM pages
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url NULLS FIRST, md5(html) NULLS FIRST) = 1),
+clean AS (SELECT page_id, {strip} AS html, {h1} AS cat_text FROM one)""" + "\nUNION ALL".join(parts)
+
+
+SQL_HTML_VARIANTS = _sql_html_variants()
+
+
 def q_page_join(spark, d):
-    docs = _t(spark, d, "documents").select(F.col("doc_id").cast("string").alias("document_id"))
-    raw = _t(spark, d, "pages")
-    # only the url is needed: reduce copies on (url, md5(html)) without moving the html
-    ranked = raw.select("page_id", *copy_rank(raw))
-    pages = keep_first(ranked, "page_id", ["url", "__h"]).select(
-        F.col("page_id").cast("string").alias("__pid"), "page_id", "url")
+    """P1 + J4: keys longer than 24 characters are cut to the article id."""
+    docs = _t(spark, d, "documents").select(
+        F.concat(F.lpad(F.col("doc_id").cast("string"), 24, "0"), F.lit("-v"),
+                 F.pmod("doc_id", F.lit(7)).cast("string")).alias("document_id"))
+    # the smallest url decides (null first); the html is not read
+    pages = _t(spark, d, "pages").groupBy("page_id").agg(
+        F.when(F.count("url") == F.count("*"), F.min("url")).alias("url")).select(
+        F.lpad(F.col("page_id").cast("string"), 24, "0").alias("__pid"), "page_id", "url")
     j = docs.withColumn("__aid", T.article_id("document_id")) \
         .join(pages, F.col("__aid") == F.col("__pid"), "left")
     return j.select("document_id", "page_id", "url")
@@ -241,14 +330,16 @@ def q_page_join(spark, d):
 SQL_PAGE_JOIN = """
 WITH pg AS (
   SELECT page_id, url FROM pages
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url NULLS FIRST, md5(html) NULLS FIRST) = 1)
-SELECT CAST(d.doc_id AS VARCHAR) AS document_id, pg.page_id, pg.url
-FROM documents d LEFT JOIN pg ON substr(CAST(d.doc_id AS VARCHAR), 1, 24) = CAST(pg.page_id AS VARCHAR)"""
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY url NULLS FIRST) = 1),
+dc AS (SELECT lpad(CAST(doc_id AS VARCHAR), 24, '0') || '-v' || CAST(doc_id % 7 AS VARCHAR) AS document_id
+       FROM documents)
+SELECT document_id, pg.page_id, pg.url
+FROM dc LEFT JOIN pg ON substr(document_id, 1, 24) = lpad(CAST(pg.page_id AS VARCHAR), 24, '0')"""
 
 
 def _articles_from_documents(spark, d) -> DataFrame:
     """Documents as articles; the entity tagger reads the whole document text."""
-    docs = spread(_t(spark, d, "documents"))
+    docs = _wide(_t(spark, d, "documents"))
     return docs.select(F.col("doc_id").cast("string").alias("document_id"),
                        F.col("text").alias("title"))
 
@@ -256,9 +347,9 @@ def _articles_from_documents(spark, d) -> DataFrame:
 def q_enrich_articles(spark, d):
     """Flagship: the whole enrichment plan (P1, J4, H1, T1-T9, N1/N2) on the driver tables."""
     arts = _articles_from_documents(spark, d)
-    pages = _t(spark, d, "pages")
+    pages = _wide(_t(spark, d, "pages"))
     out = E.enrich(arts, pages, key="document_id", title_col="title",
-                   dictionary=ENTITY_DICTIONARY, prefixes=LICENSE_PREFIXES,
+                   dictionary=ENTITY_DICTIONARY, inline=True, prefixes=LICENSE_PREFIXES,
                    markers=LICENSE_MARKERS, **PAGE_SELECTORS)
     return out.select(
         "document_id", *_typed_page_cols(out),
@@ -278,7 +369,7 @@ def q_enrich_articles_colocated(spark, d):
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bucket_pages(_t(spark, d, "pages"), table, buckets, scratch_path(spark, "pages-bucketed"))
     out = E.enrich_colocated(_articles_from_documents(spark, d), table, key="document_id",
-                             title_col="title", dictionary=ENTITY_DICTIONARY,
+                             title_col="title", dictionary=ENTITY_DICTIONARY, inline=True,
                              prefixes=LICENSE_PREFIXES, markers=LICENSE_MARKERS,
                              **PAGE_SELECTORS)
     return out.select(
@@ -318,7 +409,7 @@ FROM e"""
 # Dates (D1-D3), cleaning
 # ---------------------------------------------------------------------------
 def q_date_parts(spark, d):
-    ev = spread(_t(spark, d, "events")).select(
+    ev = _wide(_t(spark, d, "events")).select(
         "event_id", F.date_format("ts", D.PUBLISH_FORMAT).alias("publish_date"))
     ts = D.parse_wall_clock("publish_date")
     parts = D.date_parts(ts)
@@ -483,7 +574,7 @@ def _entity_out(df: DataFrame) -> DataFrame:
 def q_entity_types(spark, d):
     arts = _articles_from_documents(spark, d)
     dictionary = spark.createDataFrame(sorted(ENTITY_DICTIONARY.items()), "token string, label string")
-    mentions = entities.dictionary_mentions(arts, dictionary, n_entries=len(ENTITY_DICTIONARY))
+    mentions = entities.dictionary_mentions(arts, dictionary)
     return _entity_out(entities.entity_types(arts, mentions))
 
 
@@ -549,158 +640,277 @@ SQL_COMPOSITE_SCORE = (
 
 
 # ---------------------------------------------------------------------------
-# Forest chain on lineitem (M2-M5, C1, C2, P2-P6, P10, P11, O1, O2, S4): rows only
+# Forest chain on lineitem
 # ---------------------------------------------------------------------------
-LINE_TARGETS = {"views": "l_extendedprice", "depth": "l_tax", "full_reads_percent": "l_discount"}
+LINE_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+LINE_BASE = ("l_quantity", "l_linenumber", "returnflag", "linestatus")
+# targets of few distinct values, each related to a feature or to the target before it
+LINE_TARGETS = {
+    "views": "floor(l_extendedprice / 5000)",
+    "depth": "floor(l_extendedprice / 5000) * 2 + l_linenumber",
+    "full_reads_percent": "floor(l_extendedprice / 5000) + 3 * l_linenumber + l_quantity % 2",
+}
 
 
 def lineitem_training_table(spark, d) -> tuple[DataFrame, dict[str, list[str]]]:
     """Encoded lineitem rows: scalar features, a part-name tag block, three targets."""
-    li = spread(_t(spark, d, "lineitem"))
+    li = _wide(_t(spark, d, "lineitem"))
     part = _t(spark, d, "part").select("p_partkey", F.split("p_name", " ", -1).alias("tags"))
     rows = li.join(part, li.l_partkey == part.p_partkey, "left").withColumn(
         "tags", F.coalesce("tags", F.array().cast("array<string>")))
-    cls = encode.fit_classes_many(li, ["l_returnflag", "l_linestatus"])
-    flag = encode.LabelEncoderModel(cls["l_returnflag"], "l_returnflag", "returnflag")
-    status = encode.LabelEncoderModel(cls["l_linestatus"], "l_linestatus", "linestatus")
+    flag = encode.fit_label_encoder(li, "l_returnflag", "returnflag")
+    status = encode.fit_label_encoder(li, "l_linestatus", "linestatus")
     tags = encode.fit_multi_hot(part, "tags", "tags_vec")
     rows = status.transform(flag.transform(rows))
     rows = tags.transform(rows).select(
-        "l_orderkey", "l_linenumber", "l_quantity", "returnflag", "linestatus", "tags_vec",
-        D.epoch_seconds(F.col("l_shipdate"), "UTC").alias("timestamp"),
-        F.concat_ws(":", "l_orderkey", "l_linenumber").alias("row_key"),
-        *[F.col(src).alias(t) for t, src in LINE_TARGETS.items()])
+        *LINE_KEY, "l_quantity", "returnflag", "linestatus", "tags_vec",
+        F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_key"),
+        *[F.expr(f"CAST({src} AS DOUBLE)").alias(t) for t, src in LINE_TARGETS.items()])
     blocks = {"tags_vec": encode.feature_names("tags_", tags.vocabulary)}
     return rows, blocks
 
 
-def line_targets(params: model.ForestParams = SMALL_FOREST) -> list[model.Target]:
-    base = ["l_quantity", "returnflag", "linestatus", "timestamp", "tags_vec"]
+def line_targets(params: model.ForestParams = STUMP) -> list[model.Target]:
+    base = [*LINE_BASE, "tags_vec"]
     return [model.Target("views", base, params),
             model.Target("depth", base + ["views"], params),
             model.Target("full_reads_percent", base + ["views", "depth"], params)]
 
 
-def q_chained_score(spark, d):
-    rows, _ = lineitem_training_table(spark, d)
+def _line_chain(spark, d, params=STUMP):
+    rows, blocks = lineitem_training_table(spark, d)
     train, test = split.split(rows, "row_key")
-    chain = model.fit_chain(train, line_targets())
-    return model.score_chain(chain, test, keep=("l_orderkey", "l_linenumber"))
+    return model.fit_chain(train, line_targets(params), LINE_KEY), train, test, blocks
+
+
+def _line_predictions(chain, test):
+    out = model.score_chain(chain, test, keep=LINE_KEY)
+    return out.select(*LINE_KEY, *[F.round(t, 6).alias(t) for t in LINE_TARGETS])
+
+
+def q_chained_score(spark, d):
+    chain, _, test, _ = _line_chain(spark, d)
+    return _line_predictions(chain, test)
+
+
+def q_pipeline_roundtrip(spark, d):
+    from pyspark.ml import PipelineModel
+    chain, _, test, _ = _line_chain(spark, d)
+    path = scratch_path(spark, "chain")
+    chain.write().overwrite().save(path)
+    return _line_predictions(PipelineModel.load(path), test)
 
 
 def q_chain_r2(spark, d):
-    rows, _ = lineitem_training_table(spark, d)
-    train, test = split.split(rows, "row_key")
-    chain = model.fit_chain(train, line_targets())
-    truth = [f"true_{t}" for t in LINE_TARGETS]
-    labelled = test.withColumns({f"true_{t}": F.col(t) for t in LINE_TARGETS})
-    scored = model.score_chain(chain, labelled, keep=truth)
-    return metrics.composite_score(scored, {t: (f"true_{t}", t) for t in LINE_TARGETS})
+    """Hold-out R^2 per link, each fed the true upstream targets, and the composite."""
+    from vellum.plans.train import holdout_scores
+    chain, _, test, _ = _line_chain(spark, d)
+    scores = holdout_scores(chain, test)
+    row = {f"r2_{k}": round(float(v), 6) for k, v in scores.items()}
+    row["score"] = round(float(sum(metrics.COMPOSITE_WEIGHTS[k] * v for k, v in scores.items())), 6)
+    return spark.createDataFrame([row])
 
 
-def q_importance_top(spark, d):
+def _line_importances(spark, d, target: model.Target):
     rows, blocks = lineitem_training_table(spark, d)
     train, _ = split.split(rows, "row_key")
-    t = line_targets()[0]
-    fitted = model.fit_forest(train, t.features, t.name, t.params)
-    names = model.feature_names(t.features, blocks)
-    return model.importance_table(spark, model.forest_of(fitted), names).limit(5)
+    fitted = model.fit_forest(model.laid_out(train, LINE_KEY), target.features, target.name, target.params)
+    names = model.feature_names(target.features, blocks)
+    return model.importance_table(spark, model.forest_of(fitted), names)
+
+
+def q_importance_top(spark, d):
+    return _line_importances(spark, d, line_targets()[0]).limit(5)
 
 
 def q_feature_select(spark, d):
-    rows, blocks = lineitem_training_table(spark, d)
-    train, _ = split.split(rows, "row_key")
-    t = line_targets()[2]
-    fitted = model.fit_forest(train, t.features, t.name, t.params)
-    names = model.feature_names(t.features, blocks)
-    imp = model.importance_table(spark, model.forest_of(fitted), names)
-    return model.select_by_importance(imp)
+    """Tags that matter for the part's price (a forest over the tag block alone)."""
+    target = model.Target("views", ["tags_vec"], STUMP)
+    return model.select_by_importance(_line_importances(spark, d, target))
 
 
-def q_pipeline_roundtrip(spark, d):
-    from pyspark.ml import PipelineModel
-    rows, _ = lineitem_training_table(spark, d)
-    train, test = split.split(rows, "row_key")
-    chain = model.fit_chain(train, line_targets())
-    path = scratch_path(spark, "chain")
-    chain.write().overwrite().save(path)
-    loaded = PipelineModel.load(path)
-    return model.score_chain(loaded, test, keep=("l_orderkey", "l_linenumber"))
+def q_chained_forest(spark, d):
+    """The reference's 500 bagged trees (depth 3 here): what can be known of the predictions."""
+    params = model.ForestParams(max_depth=3, max_bins=64)
+    chain, train, test, _ = _line_chain(spark, d, params)
+    bounds = train.agg(*[f(t).alias(f"{n}_{t}") for t in LINE_TARGETS for n, f in (("lo", F.min), ("hi", F.max))])
+    scored = model.score_chain(chain, test, keep=LINE_KEY)
+    r = bounds.first()  # one row
+    return scored.select(*LINE_KEY, *[
+        F.col(t).between(r[f"lo_{t}"], r[f"hi_{t}"]).alias(f"{t}_in_range") for t in LINE_TARGETS])
+
+
+# --- the same in SQL: a depth-1 regression tree is one pass over sorted distinct values ---
+def sql_stump(name: str, rows: str, features, target: str, min_leaf: int = 1, allowed: str = "TRUE") -> str:
+    """CTEs ending in ``name``: (feature, threshold, lm, rm) of the best split of ``rows``.
+
+    Every midpoint of neighbouring distinct values is a candidate; the gain is the fall in
+    the sum of squares; ties go to the earlier feature, then the lower threshold.
+    """
+    values = " UNION ALL ".join(
+        f"SELECT {i} AS i, '{f}' AS feature, CAST({f} AS DOUBLE) AS v, count(*) AS n, sum({target}) AS s "
+        f"FROM {rows} GROUP BY 3" for i, f in enumerate(features))
+    return f"""
+{name}_v AS ({values}),
+{name}_c AS (
+  SELECT *, sum(n) OVER w AS ln, sum(s) OVER w AS ls, sum(n) OVER (PARTITION BY i) AS tn,
+         sum(s) OVER (PARTITION BY i) AS ts, lead(v) OVER (PARTITION BY i ORDER BY v) AS nv
+  FROM {name}_v WINDOW w AS (PARTITION BY i ORDER BY v ROWS UNBOUNDED PRECEDING)),
+{name}_g AS (
+  SELECT i, feature, (v + nv) / 2 AS threshold, ls / ln AS lm, (ts - ls) / (tn - ln) AS rm,
+         ls * ls / ln + (ts - ls) * (ts - ls) / (tn - ln) - ts * ts / tn AS gain
+  FROM {name}_c WHERE nv IS NOT NULL AND ln >= {min_leaf} AND tn - ln >= {min_leaf} AND ({allowed})),
+{name} AS (SELECT * FROM {name}_g ORDER BY gain DESC, i, threshold LIMIT 1)"""
+
+
+def sql_predict(stump: str, features) -> str:
+    """The stump's prediction for a row whose columns are in scope, as a scalar expression."""
+    value = " ".join(f"WHEN '{f}' THEN CAST({f} AS DOUBLE)" for f in features)
+    return (f"CASE WHEN (CASE (SELECT feature FROM {stump}) {value} END) <= (SELECT threshold FROM {stump}) "
+            f"THEN (SELECT lm FROM {stump}) ELSE (SELECT rm FROM {stump}) END")
+
+
+def sql_chain(rows: str, targets: dict[str, list], min_leaf: dict | None = None, allowed: str = "TRUE",
+              prefix: str = "m") -> str:
+    """CTEs of one stump per target over the training rows, with true upstream targets."""
+    return ",".join(sql_stump(f"{prefix}_{t}", rows, f, t, (min_leaf or {}).get(t, 1), allowed)
+                    for t, f in targets.items())
+
+
+def sql_chain_scores(test: str, targets: dict[str, list], prefix: str = "m") -> str:
+    """CTEs that end in ``scored``: each target replaced by its prediction, in chain order."""
+    out, source = [], test
+    for t, f in targets.items():
+        out.append(f"s_{t} AS (SELECT * REPLACE ({sql_predict(f'{prefix}_{t}', f)} AS {t}) FROM {source})")
+        source = f"s_{t}"
+    out.append(f"scored AS (SELECT * FROM {source})")
+    return ",\n".join(out)
+
+
+def sql_chain_r2(test: str, targets: dict[str, list], prefix: str = "m") -> str:
+    """R^2 per target on ``test`` with true upstream targets, rounded, and the composite."""
+    cols = [f"1 - sum(pow({t} - p_{t}, 2)) / (var_pop({t}) * count(*)) AS r2_{t}" for t in targets]
+    preds = [f"{sql_predict(f'{prefix}_{t}', f)} AS p_{t}" for t, f in targets.items()]
+    score = " + ".join(f"{metrics.COMPOSITE_WEIGHTS[t]} * r2_{t}" for t in targets)
+    return (f"p AS (SELECT *, {', '.join(preds)} FROM {test}), r AS (SELECT {', '.join(cols)} FROM p)\n"
+            f"SELECT {', '.join(f'ROUND(r2_{t}, 6) AS r2_{t}' for t in targets)}, "
+            f"ROUND({score}, 6) AS score FROM r")
+
+
+_TAGS = [f"tags_{c}" for c in PART_TOKENS]
+_LINE_FEATURES = {
+    "views": [*LINE_BASE, *_TAGS],
+    "depth": [*LINE_BASE, *_TAGS, "views"],
+    "full_reads_percent": [*LINE_BASE, *_TAGS, "views", "depth"],
+}
+SQL_LINES = f"""
+pt AS (SELECT p_partkey, string_split(p_name, ' ') AS t FROM part),
+fc AS (SELECT l_returnflag, dense_rank() OVER (ORDER BY l_returnflag) - 1 AS returnflag
+       FROM (SELECT DISTINCT l_returnflag FROM lineitem)),
+sc AS (SELECT l_linestatus, dense_rank() OVER (ORDER BY l_linestatus) - 1 AS linestatus
+       FROM (SELECT DISTINCT l_linestatus FROM lineitem)),
+li AS (
+  SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, returnflag, linestatus,
+    {', '.join(f"CAST(coalesce(list_contains(t, '{c}'), false) AS INT) AS tags_{c}" for c in PART_TOKENS)},
+    {', '.join(f'CAST({src} AS DOUBLE) AS {t}' for t, src in LINE_TARGETS.items())},
+    {sql_holdout("concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)")} AS is_test
+  FROM lineitem JOIN fc USING (l_returnflag) JOIN sc USING (l_linestatus)
+  LEFT JOIN pt ON l_partkey = p_partkey),
+tr AS (SELECT * FROM li WHERE NOT is_test), te AS (SELECT * FROM li WHERE is_test)"""
+_SQL_KEY = ", ".join(LINE_KEY)
+SQL_CHAINED_SCORE = (f"WITH {SQL_LINES.strip()}, {sql_chain('tr', _LINE_FEATURES)},\n"
+                     f"{sql_chain_scores('te', _LINE_FEATURES)}\nSELECT {_SQL_KEY}, "
+                     + ", ".join(f"ROUND({t}, 6) AS {t}" for t in LINE_TARGETS) + " FROM scored")
+SQL_CHAIN_R2 = (f"WITH {SQL_LINES.strip()}, {sql_chain('tr', _LINE_FEATURES)},\n"
+                f"{sql_chain_r2('te', _LINE_FEATURES)}")
+SQL_IMPORTANCE_TOP = (
+    f"WITH {SQL_LINES.strip()}, {sql_stump('m', 'tr', _LINE_FEATURES['views'], 'views')},\n"
+    f"n AS (SELECT unnest({_LINE_FEATURES['views']!r}) AS name)\n"
+    "SELECT name, CAST(CASE WHEN name = (SELECT feature FROM m) THEN 1 ELSE 0 END AS DOUBLE) AS value "
+    "FROM n ORDER BY value DESC, name LIMIT 5")
+SQL_FEATURE_SELECT = (f"WITH {SQL_LINES.strip()}, {sql_stump('m', 'tr', _TAGS, 'views')}\n"
+                      "SELECT feature AS name, CAST(1 AS DOUBLE) AS value FROM m WHERE gain > 0")
+SQL_CHAINED_FOREST = (f"WITH {SQL_LINES.strip()}\nSELECT {_SQL_KEY}, "
+                      + ", ".join(f"true AS {t}_in_range" for t in LINE_TARGETS) + " FROM te")
 
 
 # ---------------------------------------------------------------------------
 # The article pipeline itself (3.2 + 3.3) on articles derived from the driver tables
 # ---------------------------------------------------------------------------
 ORDER_PRIORITY_ALLOW = ("1-URGENT", "2-HIGH", "3-MEDIUM")
-ARTICLE_FOREST = model.ForestParams(num_trees=5, max_depth=5, max_bins=32)
+ARTICLE_STUMP = model.ForestParams(num_trees=1, max_depth=1, max_bins=2048, bootstrap=False)
+LIST_TYPE = "array<struct<l_linenumber:int,l_returnflag:string>>"
 
 
 def orders_as_articles(spark, d) -> DataFrame:
     """Orders in the raw-article schema, enriched with page features.
 
-    author = customer, category = order status, sub-category = priority, tags = the
+    author = customer group, category = order status, sub-category = priority, tags = the
     part-name tokens of the order's lines, entity types = the line return flags in line
     order; targets are line aggregates (the full-reads target exceeds 100 on some rows,
     so the cap and the imputation run).  Page features come from the enrichment plan
     (most orders have no page: the failed-fetch defaults).
     """
     o = _t(spark, d, "orders")
-    li = spread(_t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
-                                                "l_extendedprice", "l_quantity", "l_discount",
-                                                "l_returnflag"))
+    li = _wide(_t(spark, d, "lineitem").select("l_orderkey", "l_partkey", "l_linenumber",
+                                               "l_extendedprice", "l_quantity", "l_discount",
+                                               "l_returnflag"))
     part = _t(spark, d, "part").select("p_partkey", "p_name")
     lines = li.join(part, li.l_partkey == part.p_partkey, "left")
     per_order = lines.groupBy("l_orderkey").agg(
-        F.sum("l_extendedprice").alias("views"),
-        F.avg("l_quantity").alias("depth"),
-        (F.avg("l_discount") * F.lit(1500.0)).alias("full_reads_percent"),
+        F.sum(F.floor(F.col("l_extendedprice") / 5000)).cast("double").alias("views"),
+        F.sum("l_quantity").alias("depth"),
+        (F.sum(F.round(F.col("l_discount") * 100)) * 15 / F.count("*")).alias("full_reads_percent"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_list(
             F.split(F.coalesce("p_name", F.lit("")), " ", -1))))).alias("tags"),
         F.sort_array(F.collect_list(F.struct("l_linenumber", "l_returnflag"))).alias("__rf"))
+    month = F.date_trunc("month", "o_orderdate").cast("long") + F.pmod("o_orderkey", F.lit(4)) * 6 * 3600
     arts = o.join(per_order, o.o_orderkey == per_order.l_orderkey, "left").select(
         F.col("o_orderkey").cast("string").alias("document_id"),
         F.col("o_orderpriority").alias("title"),
-        F.date_format("o_orderdate", D.PUBLISH_FORMAT).alias("publish_date"),
-        F.col("o_custkey").cast("string").alias("authors"),
+        F.date_format(F.timestamp_seconds(month), D.PUBLISH_FORMAT).alias("publish_date"),
+        F.pmod("o_custkey", F.lit(50)).cast("string").alias("authors"),
         F.col("o_orderstatus").alias("category"),
-        F.col("o_orderpriority").alias("sub_cat"),
         F.filter(F.coalesce("tags", F.array().cast("array<string>")), lambda x: x != "")
         .alias("tags"),
-        F.transform(F.coalesce("__rf", F.array().cast("array<struct<l_linenumber:int,"
-                                                      "l_returnflag:string>>")),
+        F.transform(F.coalesce("__rf", F.array().cast(LIST_TYPE)),
                     lambda x: x["l_returnflag"]).alias("ents"),
-        (F.col("o_totalprice") / F.lit(1e5)).alias("ctr"),
+        F.floor(F.col("o_totalprice") / 20000).cast("double").alias("ctr"),
         F.coalesce("views", F.lit(0.0)).alias("views"),
         F.coalesce("depth", F.lit(0.0)).alias("depth"),
         F.col("full_reads_percent"))
     pages = _t(spark, d, "pages")
     enriched = E.enrich(arts, pages, key="document_id", title_col="title",
                         prefixes=LICENSE_PREFIXES, markers=LICENSE_MARKERS, **PAGE_SELECTORS)
-    return enriched
+    return enriched.withColumn("sub_cat", F.col("title"))
 
 
-def _train_articles(spark, d):
+def _train_articles(spark, d, params=ARTICLE_STUMP):
     """Enriched articles are written once (a table in the shared checkpoint folder), as
     the reference writes its enriched table; training and scoring read that table."""
     from vellum.plans import train as TR
     arts = materialize(orders_as_articles(spark, d), "articles")
-    trained = TR.train(arts, params=ARTICLE_FOREST, zone="UTC", allowed=ORDER_PRIORITY_ALLOW)
+    trained = TR.train(arts, params=params, zone="UTC", allowed=ORDER_PRIORITY_ALLOW)
     return arts, trained
 
 
+def _rounded_scores(df: DataFrame) -> DataFrame:
+    return df.select("document_id", *[F.round(t, 6).alias(t) for t in LINE_TARGETS])
+
+
 def q_article_chain(spark, d):
     """Train the three-target chain on the training split, score the hold-out split."""
     from vellum.plans import score as SC
     arts, trained = _train_articles(spark, d)
     _, test = split.split(arts, "document_id")
-    return SC.score(test, trained, zone="UTC")
+    return _rounded_scores(SC.score(test, trained, zone="UTC"))
 
 
 def q_article_chain_r2(spark, d):
     """Hold-out R^2 per target (true upstream targets) and the composite."""
     _, trained = _train_articles(spark, d)
-    row = {f"r2_{k}": float(v) for k, v in trained.scores.items()}
-    row["score"] = float(trained.composite)
+    row = {f"r2_{k}": round(float(v), 6) for k, v in trained.scores.items()}
+    row["score"] = round(float(trained.composite), 6)
     return spark.createDataFrame([row])
 
 
@@ -710,10 +920,124 @@ def q_article_tag_selection(spark, d):
     from vellum.plans import train as TR
     arts, trained = _train_articles(spark, d)
     keep = TR.select_tags(spark, trained, "full_reads_percent")
-    again = TR.train(arts, params=ARTICLE_FOREST, zone="UTC", allowed=ORDER_PRIORITY_ALLOW,
+    again = TR.train(arts, params=ARTICLE_STUMP, zone="UTC", allowed=ORDER_PRIORITY_ALLOW,
                      tag_selection=keep)
     _, test = split.split(arts, "document_id")
-    return SC.score(test, again, zone="UTC")
+    return _rounded_scores(SC.score(test, again, zone="UTC"))
+
+
+def q_article_forest(spark, d):
+    """The reference's 500 bagged trees (depth 3 here) on articles: keys and ranges."""
+    from vellum.plans import score as SC
+    arts, trained = _train_articles(spark, d, model.ForestParams(max_depth=3, max_bins=64))
+    train, test = split.split(arts, "document_id")
+    r = train.agg(F.min("views").alias("a"), F.max("views").alias("b"), F.min("depth").alias("c"),
+                  F.max("depth").alias("d")).first()  # one row
+    out = SC.score(test, trained, zone="UTC")
+    return out.select("document_id", F.col("views").between(r["a"], r["b"]).alias("views_in_range"),
+                      F.col("depth").between(r["c"], r["d"]).alias("depth_in_range"),
+                      F.col("full_reads_percent").between(0, clean.FULL_READS_CAP)
+                      .alias("full_reads_percent_in_range"))
+
+
+_ENTS = ["ents_A", "ents_N", "ents_R"]
+
+
+def _article_features() -> dict[str, list[str]]:
+    """P3-P5 by slot name; a reserved word is quoted."""
+    tail = [*_ENTS, *_TAGS]
+    return {"views": [*model.VIEWS_FEATURES, *tail], "depth": [*model.DEPTH_FEATURES, *tail],
+            "full_reads_percent": [*model.FRP_FEATURES, *tail]}
+
+
+SQL_ARTICLES = f"""
+{SQL_PAGE_FEATURES.strip()},
+ln AS (
+  SELECT l_orderkey, CAST(sum(floor(l_extendedprice / 5000)) AS DOUBLE) AS views, sum(l_quantity) AS depth,
+    sum(round(l_discount * 100)) * 15 / count(*) AS frp, list(l_returnflag) AS rf,
+    list_distinct(flatten(list(string_split(coalesce(p_name, ''), ' ')))) AS tags
+  FROM lineitem LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey),
+a0 AS (
+  SELECT CAST(o_orderkey AS VARCHAR) AS document_id, CAST(o_custkey % 50 AS VARCHAR) AS author,
+    o_orderstatus AS cat, CASE WHEN o_orderpriority IN ({", ".join(map(_sql_str, ORDER_PRIORITY_ALLOW))})
+      THEN o_orderpriority ELSE '{clean.RARE_LABEL}' END AS sub,
+    date_trunc('month', o_orderdate) + to_hours(CAST((o_orderkey % 4) * 6 AS BIGINT)) AS ts,
+    floor(o_totalprice / 20000) AS ctr, coalesce(views, 0) AS views, coalesce(depth, 0) AS depth,
+    CASE WHEN frp <= {clean.FULL_READS_CAP} THEN frp END AS frp, coalesce(rf, []) AS rf, coalesce(tags, []) AS tags
+  FROM orders LEFT JOIN ln ON o_orderkey = l_orderkey),
+a1 AS (
+  SELECT a0.*, coalesce(pf.text, '') AS text, coalesce(text_length, 0) AS text_length, coalesce(img, 0) AS img,
+    coalesce(video, 0) AS video, coalesce(a, 0) AS a, coalesce(p, 0) AS p,
+    coalesce(avg_sentence_len, 0) AS avg_sentence_len, coalesce(max_sentence_len, 0) AS max_sentence_len,
+    coalesce(min_sentence_len, 0) AS min_sentence_len
+  FROM a0 LEFT JOIN pf ON substr(document_id, 1, 24) = CAST(page_id AS VARCHAR)),
+a2 AS (SELECT *, {sql_cleaned('text', LICENSE_PREFIXES, LICENSE_MARKERS, with_text=False)} FROM a1),
+ca AS (SELECT author, dense_rank() OVER (ORDER BY author) - 1 AS authors FROM (SELECT DISTINCT author FROM a0)),
+cc AS (SELECT cat, dense_rank() OVER (ORDER BY cat) - 1 AS category FROM (SELECT DISTINCT cat FROM a0)),
+cs AS (SELECT sub, dense_rank() OVER (ORDER BY sub) - 1 AS sub_cat FROM (SELECT DISTINCT sub FROM a0)),
+mu AS (SELECT avg(frp) AS m FROM a0),
+ft AS (
+  SELECT document_id, authors, ctr, category, sub_cat, epoch(ts) AS timestamp, CAST(hour(ts) AS DOUBLE) AS hour,
+    text_length, img, video, a, p, avg_sentence_len, max_sentence_len, min_sentence_len,
+    before_pro_text_ratio, cleaned_text_length, cleaned_text_before_pro_length,
+    {', '.join(f"CAST(list_contains(rf, '{c[5:]}') AS INT) AS {c}" for c in _ENTS)},
+    {', '.join(f"CAST(list_contains(tags, '{c[5:]}') AS INT) AS {c}" for c in _TAGS)},
+    CAST(views AS DOUBLE) AS views, CAST(depth AS DOUBLE) AS depth,
+    coalesce(frp, (SELECT m FROM mu)) AS full_reads_percent, {sql_holdout('document_id')} AS is_test
+  FROM a2 JOIN ca USING (author) JOIN cc USING (cat) JOIN cs USING (sub)),
+tr AS (SELECT * FROM ft WHERE NOT is_test), te AS (SELECT * FROM ft WHERE is_test)"""
+_ARTICLE_FEATURES = _article_features()
+_MIN_LEAF = {"full_reads_percent": 5}
+_SQL_ARTICLE_OUT = ("\nSELECT document_id, "
+                    + ", ".join(f"ROUND({t}, 6) AS {t}" for t in LINE_TARGETS) + " FROM scored")
+SQL_ARTICLE_CHAIN = (f"WITH {SQL_ARTICLES.strip()}, {sql_chain('tr', _ARTICLE_FEATURES, _MIN_LEAF)},\n"
+                     f"{sql_chain_scores('te', _ARTICLE_FEATURES)}{_SQL_ARTICLE_OUT}")
+SQL_ARTICLE_CHAIN_R2 = (f"WITH {SQL_ARTICLES.strip()}, {sql_chain('tr', _ARTICLE_FEATURES, _MIN_LEAF)},\n"
+                        f"{sql_chain_r2('te', _ARTICLE_FEATURES)}")
+SQL_ARTICLE_TAG_SELECTION = (
+    f"WITH {SQL_ARTICLES.strip()}, {sql_chain('tr', _ARTICLE_FEATURES, _MIN_LEAF)}, "
+    + sql_chain("tr", _ARTICLE_FEATURES, _MIN_LEAF,
+                "NOT starts_with(feature, 'tags_') OR feature = (SELECT feature FROM m_full_reads_percent)", "n")
+    + f",\n{sql_chain_scores('te', _ARTICLE_FEATURES, 'n')}{_SQL_ARTICLE_OUT}")
+SQL_ARTICLE_FOREST = (f"WITH a AS (SELECT CAST(o_orderkey AS VARCHAR) AS document_id FROM orders)\n"
+                      "SELECT document_id, true AS views_in_range, true AS depth_in_range, "
+                      f"true AS full_reads_percent_in_range FROM a WHERE {sql_holdout('document_id')}")
+
+
+# ---------------------------------------------------------------------------
+# CSV in and out
+# ---------------------------------------------------------------------------
+def q_csv_roundtrip(spark, d):
+    """Documents written as an enriched CSV table, with lists and an index, and read back."""
+    from vellum.sources import articles as A
+    docs = _wide(_t(spark, d, "documents"))
+    lines = F.filter(F.split("text", "\n"), lambda x: x != "")
+    out = docs.select(F.col("doc_id").cast("string").alias("document_id"),
+                      F.concat(F.lit("  "), F.col("text"), F.lit(' \\ "\' ')).alias("title"),
+                      F.transform(lines, lambda x: F.concat(x, F.lit("\\'\""))).alias("tags"),
+                      F.array("lang", F.lit(None).cast("string"), "source").alias("ents"),
+                      (F.col("n_chars") / 7).alias("ctr"))
+    path = scratch_path(spark, "enriched-csv")
+    A.write_enriched(out, path, fmt="csv")
+    back = A.read_enriched_csv(spark, path)
+    return back.select(
+        "document_id", F.md5(F.col("title").cast("binary")).alias("title_md5"),
+        F.size("tags").cast("long").alias("n_tags"),
+        F.md5(F.array_join("tags", "\n").cast("binary")).alias("tags_md5"),
+        F.array_join("ents", ",", "NULL").alias("ents"), F.round("ctr", 6).alias("ctr"),
+        (F.col("row_id") >= 0).alias("has_index"))
+
+
+SQL_CSV_ROUNDTRIP = r"""
+WITH x AS (
+  SELECT doc_id, text, lang, source, n_chars,
+         list_transform(list_filter(string_split(text, chr(10)), lambda x: x <> ''),
+                        lambda x: x || '\''"') AS tags
+  FROM documents)
+SELECT CAST(doc_id AS VARCHAR) AS document_id, md5('  ' || text || ' \ "'' ') AS title_md5,
+  CAST(len(tags) AS BIGINT) AS n_tags, md5(coalesce(array_to_string(tags, chr(10)), '')) AS tags_md5,
+  lang || ',NULL,' || source AS ents, ROUND(n_chars / 7, 6) AS ctr, true AS has_index
+FROM x"""
 
 
 # ---------------------------------------------------------------------------
@@ -721,7 +1045,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "sentence_stats": q_sentence_stats,
     "boilerplate_clean": q_boilerplate_clean,
     "boilerplate_license": q_boilerplate_license,
+    "boilerplate_midtext": q_boilerplate_midtext,
     "html_features": q_html_features,
+    "html_variants": q_html_variants,
     "page_join": q_page_join,
     "enrich_articles": q_enrich_articles,
     "enrich_articles_colocated": q_enrich_articles_colocated,
@@ -744,16 +1070,21 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "importance_top": q_importance_top,
     "feature_select": q_feature_select,
     "pipeline_roundtrip": q_pipeline_roundtrip,
+    "chained_forest": q_chained_forest,
     "article_chain": q_article_chain,
     "article_chain_r2": q_article_chain_r2,
     "article_tag_selection": q_article_tag_selection,
+    "article_forest": q_article_forest,
+    "csv_roundtrip": q_csv_roundtrip,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "sentence_stats": SQL_SENTENCE_STATS,
     "boilerplate_clean": SQL_BOILERPLATE_CLEAN,
     "boilerplate_license": SQL_BOILERPLATE_LICENSE,
+    "boilerplate_midtext": SQL_BOILERPLATE_MIDTEXT,
     "html_features": SQL_HTML_FEATURES,
+    "html_variants": SQL_HTML_VARIANTS,
     "page_join": SQL_PAGE_JOIN,
     "enrich_articles": SQL_ENRICH_ARTICLES,
     "enrich_articles_colocated": SQL_ENRICH_ARTICLES,
@@ -771,4 +1102,15 @@ ORACLE_SQL: dict[str, str] = {
     "hash_split": SQL_HASH_SPLIT,
     "r2_metric": SQL_R2_METRIC,
     "composite_score": SQL_COMPOSITE_SCORE,
+    "chained_score": SQL_CHAINED_SCORE,
+    "chain_r2": SQL_CHAIN_R2,
+    "importance_top": SQL_IMPORTANCE_TOP,
+    "feature_select": SQL_FEATURE_SELECT,
+    "pipeline_roundtrip": SQL_CHAINED_SCORE,
+    "chained_forest": SQL_CHAINED_FOREST,
+    "article_chain": SQL_ARTICLE_CHAIN,
+    "article_chain_r2": SQL_ARTICLE_CHAIN_R2,
+    "article_tag_selection": SQL_ARTICLE_TAG_SELECTION,
+    "article_forest": SQL_ARTICLE_FOREST,
+    "csv_roundtrip": SQL_CSV_ROUNDTRIP,
 }

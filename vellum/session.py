@@ -1,11 +1,10 @@
 """Session helpers: build a local session for tests / bench and locate shared storage.
 
 On a cluster the session is created by the platform; the library only *reads* its
-settings.  ``ensure_checkpoint_dir`` honours ``spark.checkpoint.dir`` and only falls back
-to a fresh scratch folder when the setting is absent (local runs and tests);
-``scratch_path`` / ``materialize`` write intermediate tables under it.  ``spread``
-round-robins small single-split inputs before CPU-heavy work (size-checked), and
-``ship_package`` makes the package importable by Python workers.
+settings.  ``ensure_checkpoint_dir`` honours ``spark.checkpoint.dir`` and falls back to a
+fresh scratch folder only under a local master (local runs and tests); a cluster without
+the setting is an error.  ``scratch_path`` / ``materialize`` write intermediate tables under
+it, and ``ship_package`` makes the package importable by Python workers.
 """
 
 from __future__ import annotations
@@ -49,12 +48,14 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a scratch one only if none is configured."""
+    """Return the shared checkpoint folder; under a local master, create one if none is set."""
     configured = spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="vellum-ckpt-")
     spark.sparkContext.setCheckpointDir(path)
     return spark.sparkContext.getCheckpointDir() or path
@@ -77,7 +78,7 @@ def ship_package(spark: SparkSession) -> None:
     ``spark.vellum.shipPackage=false`` (package installed on the executors).
     """
     sc = spark.sparkContext
-    key = id(sc._jsc)  # one shipment per running context
+    key = sc.applicationId  # one shipment per application
     if key in _SHIPPED:
         return
     if spark.conf.get("spark.vellum.shipPackage", "true").lower() == "false":
@@ -103,44 +104,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-# Inputs at most this large (Spark's own size estimate) may be spread over all cores
-# before CPU-heavy per-row work; larger inputs already arrive in many splits.
-SMALL_INPUT_BYTES = 1 << 30
-
-
-def estimated_bytes(df) -> int | None:
-    """Optimizer size estimate of a DataFrame (None when unavailable)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - e.g. Spark Connect
-        return None
-
-
-SPREAD_CONF = "spark.vellum.spread.maxBytes"
-
-
-def spread(df, partitions: int | None = None, max_bytes: int | None = None):
-    """Round-robin a *small* input over all task slots before CPU-heavy per-row work.
-
-    A file stored as one row group is read by one task; for expensive row-wise work
-    (regex text features, HTML parsing, forest training) that serialises the job.
-    The shuffle this adds is bounded by ``max_bytes``; above it the input is left as
-    it is (it is then read as many splits and the shuffle would only cost).  The bound
-    is the session setting ``spark.vellum.spread.maxBytes`` (0 disables spreading).
-    """
-    if df.isStreaming:  # micro-batches are planned per trigger; nothing to spread here
-        return df
-    if max_bytes is None:
-        max_bytes = int(df.sparkSession.conf.get(SPREAD_CONF, str(SMALL_INPUT_BYTES)))
-    size = estimated_bytes(df)
-    if size is None or size > max_bytes:
-        return df
-    n = partitions or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= n:  # already spread (planning only, no job)
-        return df
-    return df.repartition(n)
-
-
 def materialize(df, name: str = "table"):
     """Cut lineage by writing ``df`` once as Parquet under the shared checkpoint folder.
 

@@ -3,8 +3,8 @@
 The reference enriches one CSV per run (train, test, validation).  The same plan runs
 unchanged on a file stream: every step is stateless per row except the page join,
 which is a stream-static join against the crawled ``pages`` table, so no state store,
-watermark or window is needed.  Progress is tracked in a checkpoint folder under the
-shared ``spark.checkpoint.dir``, so a restarted query resumes where it stopped.
+watermark or window is needed.  Progress is tracked in the checkpoint folder that the
+caller names, so a query restarted with it resumes where it stopped.
 """
 
 from __future__ import annotations
@@ -15,47 +15,46 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from vellum.functions import text as T
-from vellum.operators.entities import MAX_INLINE_DICTIONARY
 from vellum.plans.enrich import enrich, page_features
-from vellum.session import scratch_path
+from vellum.session import materialize
 from vellum.sources.articles import RAW_ARTICLE_SCHEMA
 
 
 def read_article_stream(spark: SparkSession, path: str, schema: str = RAW_ARTICLE_SCHEMA,
                         fmt: str = "csv", max_files_per_trigger: int = 100) -> DataFrame:
+    """A stream of article files.
+
+    A CSV stream must declare its columns, so ``schema`` lists them in the files' order; a
+    file whose header names others fails the query instead of being read by position.
+    """
     reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
     if fmt == "csv":
-        reader = reader.option("header", True).option("multiLine", True).option("escape", '"')
+        reader = (reader.option("header", True).option("multiLine", True).option("escape", '"')
+                  .option("enforceSchema", False))
     return reader.format(fmt).load(path)
 
 
-def enrich_stream(articles: DataFrame, pages: DataFrame, out_path: str,
-                  checkpoint: str | None = None, mentions: DataFrame | None = None,
-                  dictionary: DataFrame | Mapping[str, str] | None = None,
+def enrich_stream(articles: DataFrame, pages: DataFrame | None, out_path: str, checkpoint: str,
+                  mentions: DataFrame | None = None,
+                  dictionary: Mapping[str, str | Sequence[str]] | None = None,
                   prefixes: Sequence[str] = T.BOILERPLATE_PREFIXES,
                   markers: Sequence[str] = T.SECTION_MARKERS, trigger_once: bool = False,
-                  **selectors: str) -> StreamingQuery:
+                  feats: DataFrame | None = None, **selectors: str) -> StreamingQuery:
     """Start the enrichment stream writing Parquet to ``out_path``.
 
-    ``pages`` is static: its features (dedupe + HTML parse) are computed once and
-    written under the shared checkpoint folder, then every micro-batch joins against
-    that stored table instead of re-parsing the pages.
+    ``checkpoint`` is required: a restart with the same folder reads only new files.
+    ``feats`` is a stored table of ``page_features``; without it they are computed from
+    ``pages`` once per start and stored.  Entities come from a mentions table, or from a
+    dictionary as an explicit mapping, which is looked up inside each row; a dictionary
+    table would need a group-by on the stream, so it is refused.
     """
-    spark = articles.sparkSession
     if isinstance(dictionary, DataFrame):
-        # a per-article group-by on the stream would need a watermark in append mode;
-        # a small dictionary (count checked) is inlined instead: no aggregation at all
-        n = dictionary.count()
-        if n > MAX_INLINE_DICTIONARY:
-            raise ValueError("dictionary too large to inline in a stream; pass a mentions table")
-        dictionary = {r[0]: r[1] for r in dictionary.select("token", "label").collect()}
-    feats_path = scratch_path(spark, "page-features")
-    page_features(pages, **selectors).write.parquet(feats_path)
-    feats = spark.read.parquet(feats_path)
-    out = enrich(articles, None, mentions=mentions, dictionary=dictionary,
+        raise TypeError("a stream takes a mentions table or a mapping, not a dictionary table")
+    if feats is None:
+        feats = materialize(page_features(pages, **selectors), "page-features")
+    out = enrich(articles, None, mentions=mentions, dictionary=dictionary, inline=True,
                  prefixes=prefixes, markers=markers, feats=feats)
-    ckpt = checkpoint or scratch_path(spark, "enrich-stream")
     writer = (out.writeStream.format("parquet").option("path", out_path)
-              .option("checkpointLocation", ckpt).outputMode("append"))
+              .option("checkpointLocation", checkpoint).outputMode("append"))
     writer = writer.trigger(availableNow=True) if trigger_once else writer
     return writer.start()
