@@ -56,8 +56,26 @@ def test_label_encoder_roundtrip(spark, tmp_path):
     enc = encode.fit_label_encoder(df.where("split = 'train'"), "c", "code", on_unseen="default")
     enc.save(spark, str(tmp_path / "enc"))
     back = encode.LabelEncoderModel.load(spark, str(tmp_path / "enc"))
-    assert (back.classes, back.col, back.out, back.on_unseen, back.default) == \
-        (enc.classes, enc.col, enc.out, enc.on_unseen, enc.default)
+    assert (back.col, back.out, back.on_unseen, back.default) == (enc.col, enc.out, enc.on_unseen, enc.default)
+    table = sorted(tuple(r) for r in back.code_table(spark).collect())
+    assert table == sorted(tuple(r) for r in enc.code_table(spark).collect()) and len(table) == 3
+
+
+def test_encoder_without_classes_keeps_its_settings(spark, tmp_path):
+    empty = spark.createDataFrame([], "c string")
+    encode.fit_label_encoder(empty, "c", "code", on_unseen="default", default=-7).save(spark, str(tmp_path / "e"))
+    back = encode.LabelEncoderModel.load(spark, str(tmp_path / "e"))
+    assert (back.col, back.out, back.on_unseen, back.default) == ("c", "code", "default", -7)
+    assert back.transform(spark.createDataFrame([("x",)], "c string")).first()["code"] == -7
+
+
+def test_vocabulary_bound_is_an_error_and_the_join_form_has_none(spark):
+    df = spark.createDataFrame([(1, ["b", "a", "b"]), (2, ["c", None]), (3, []), (4, None)], "id int, t array<string>")
+    with pytest.raises(ValueError, match="fit_code_table"):
+        encode.fit_classes(df, "t", multi=True, max_classes=2)
+    codes = encode.fit_code_table(df.where("id < 2"), "t", multi=True)
+    got = {r["id"]: r["s"] for r in encode.multi_hot_codes(df, codes, "id", "t", "s").collect()}
+    assert got == {1: [0, 1], 2: [], 3: [], 4: []}
 
 
 def test_multi_hot_ignores_unseen_and_collapses_duplicates(spark):
@@ -105,21 +123,16 @@ def test_distributed_code_table_equals_sorted_classes(spark, sf001):
     assert got == want
 
 
-def test_large_label_sets_use_the_join_path(spark, monkeypatch, tmp_path):
-    monkeypatch.setattr(encode, "MAX_DRIVER_CLASSES", 1)
-    monkeypatch.setattr(encode, "MAX_INDEXER_CLASSES", 1)
-    monkeypatch.setattr(encode, "MAX_BROADCAST_CODES", 1)
-    df = spark.createDataFrame(LABELS, "split string, c string")
-    train, test = df.where("split = 'train'"), df.where("split = 'test'")
-    dflt = encode.fit_label_encoder(train, "c", "code", on_unseen="default")
-    assert dflt.classes is None and dflt.n_codes == 3  # fitted distributed
-    dflt.save(spark, str(tmp_path / "big"))
-    back = encode.LabelEncoderModel.load(spark, str(tmp_path / "big"))
-    assert back.classes is None
-    assert sorted(r["code"] for r in back.transform(test).collect()) == [-1, -1, 0]
-    assert sorted(r["code"] for r in dflt.transform(test).collect()) == [-1, -1, 0]
-    strict = encode.fit_label_encoder(train, "c", "code")
-    got = {r["c"]: r["code"] for r in strict.transform(train).collect()}
-    assert got == {"a": 0, "b": 1, "c": 2}
-    with pytest.raises(Exception):
-        strict.transform(test).collect()
+def test_list_literal_strict_reads_the_whole_value(spark):
+    import ast
+    good = ["[]", " [ 'a' , \"b\" ,] ", r'''['it\'s', "say \"x\"", 'tab\there', 'b\\s']''', r"['\xa0x', '\u00e9']",
+            "['a', None]", "['[x, y]', ',']", "['None', '\"']", "['" + "long " * 20_000 + "']",
+            "[" + ", ".join(f"'{i}'" for i in range(5000)) + "]"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(good)], "id int, v string")
+    got = [r[0] for r in df.orderBy("id").select(L.parse_list_literal("v")).collect()]
+    assert got == [ast.literal_eval(s.strip()) for s in good]
+    for bad in ["", "['a'] junk", "['a' 'b']", "x", "['a',, 'b']", "[,]", "'a'", "['a'"]:
+        one = spark.createDataFrame([(bad,)], "v string")
+        with pytest.raises(Exception):
+            one.select(L.parse_list_literal("v")).collect()
+        assert one.select(L.parse_list_literal("v", strict=False)).first()[0] is None

@@ -1,11 +1,12 @@
-"""Hot keys (a third of all rows on one key) and the size-checked spread."""
+"""Hot keys: a third of all rows on one key, most articles on one page or without an id."""
 
 import random
 
 from pyspark.sql import functions as F
 
 from vellum.operators import encode
-from vellum.session import spread
+from vellum.plans import enrich as E
+from vellum.session import materialize
 from vellum.sources.articles import keep_first
 
 
@@ -38,12 +39,50 @@ def test_code_table_with_hot_label(spark):
     assert got == want
 
 
-def test_spread_is_size_checked(spark):
-    small = spark.range(100).coalesce(1)
-    assert spread(small).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    assert spread(small, max_bytes=0).rdd.getNumPartitions() == 1
-    wide = spark.range(100).repartition(spark.sparkContext.defaultParallelism)
-    assert spread(wide) is wide
+def _final_plan(df) -> str:
+    df.write.format("noop").mode("overwrite").save()  # runs df's own plan only through AQE
+    rows = df.collect()
+    assert rows
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_article_id_is_split(spark):
+    """90 % of the articles on one page: the final join splits the hot partition."""
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1k",
+            "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+            "spark.sql.adaptive.advisoryPartitionSizeInBytes": "2k",
+            "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k, None) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
+    try:
+        pages = spark.createDataFrame([(i, "u", f"<article><h1>C</h1><p>{i}</p></article>") for i in range(200)],
+                                      "page_id long, url string, html string")
+        feats = materialize(E.page_features(pages, body_selector="article", category_selector="h1"), "feats")
+        rows = [(str(7 if i % 10 else i % 200), f"title {i}" * 20) for i in range(8000)]
+        arts = spark.createDataFrame(rows, "document_id string, title string").repartition(8)
+        out = E.join_page_features(arts, feats)
+        plan = _final_plan(out)
+        assert "skew=true" in plan, plan
+        assert out.count() == 8000
+    finally:
+        for k, v in old.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_articles_without_id_are_spread_and_get_defaults(spark):
+    feats = E.page_features(spark.createDataFrame([(1, "u", "<article><h1>C</h1></article>")],
+                                                  "page_id long, url string, html string"),
+                            body_selector="article", category_selector="h1")
+    arts = spark.createDataFrame([(None, f"t{i}") for i in range(300)] + [("1", "x")],
+                                 "document_id string, title string")
+    out = E.join_page_features(arts, feats)
+    by = out.groupBy("page_status").count().collect()
+    assert {r["page_status"]: r["count"] for r in by} == {"missing": 300, "ok": 1}
+    left = arts.withColumn("k", F.coalesce("document_id", F.concat(
+        F.lit("\0"), F.monotonically_increasing_id().cast("string"))))
+    assert left.select("k").distinct().count() == 301
 
 
 def test_recomputation_is_deterministic(spark, sf001):
