@@ -35,6 +35,8 @@ def local_session(cores: int | str = "*", shuffle_partitions: int | None = None,
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)
     conf = dict(LOCAL_CONF)
     conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions or n)
+    # the test tables are one row group each: deal them over the cores (plans.catalog._wide)
+    conf["spark.vellum.read.partitions"] = str(n)
     conf["spark.driver.memory"] = os.environ.get("VELLUM_DRIVER_MEMORY", "16g")
     # catalog tables (bucketed pages) default to a scratch folder, not the working dir
     conf["spark.sql.warehouse.dir"] = tempfile.mkdtemp(prefix="vellum-warehouse-")
