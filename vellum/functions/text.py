@@ -94,10 +94,8 @@ def long_sentence_lengths(text: str | Column, min_words: int = MIN_SENTENCE_WORD
     return F.filter(counts, lambda n: n > F.lit(min_words))
 
 
-def sentence_stats(text: str | Column, min_words: int = MIN_SENTENCE_WORDS,
-                   pattern: str = SENTENCE_SPLIT) -> dict[str, Column]:
-    """avg / max / min words of long sentences; every value is 0 when there is none."""
-    lens = long_sentence_lengths(text, min_words, pattern)
+def _length_stats(lens: Column) -> dict[str, Column]:
+    """avg / max / min and count of an array of lengths; 0 when it is empty."""
     n = F.size(lens)
     total = F.aggregate(lens, F.lit(0).cast("long"), lambda acc, x: acc + x)
     return {
@@ -108,6 +106,12 @@ def sentence_stats(text: str | Column, min_words: int = MIN_SENTENCE_WORDS,
     }
 
 
+def sentence_stats(text: str | Column, min_words: int = MIN_SENTENCE_WORDS,
+                   pattern: str = SENTENCE_SPLIT) -> dict[str, Column]:
+    """avg / max / min words of long sentences; every value is 0 when there is none."""
+    return _length_stats(long_sentence_lengths(text, min_words, pattern))
+
+
 # --- P9 / T5 - T9 -----------------------------------------------------------
 def starts_with_any(line: Column, prefixes: Sequence[str]) -> Column:
     """OR of ``startswith`` over a prefix list (false for an empty list)."""
@@ -160,15 +164,7 @@ def with_sentence_stats(df, text_col: str = "text", min_words: int = MIN_SENTENC
     """
     lens = "__lens"
     out = df.withColumn(lens, long_sentence_lengths(text_col, min_words, pattern))
-    arr = F.col(lens)
-    n = F.size(arr)
-    total = F.aggregate(arr, F.lit(0).cast("long"), lambda acc, x: acc + x)
-    return out.withColumns({
-        "avg_sentence_len": F.when(n > 0, total / n).otherwise(F.lit(0.0)),
-        "max_sentence_len": F.coalesce(F.array_max(arr), F.lit(0)),
-        "min_sentence_len": F.coalesce(F.array_min(arr), F.lit(0)),
-        "n_long_sentences": n.cast("long"),
-    }).drop(lens)
+    return out.withColumns(_length_stats(F.col(lens))).drop(lens)
 
 
 def with_cleaned_text(df, text_col: str = "text",

@@ -344,13 +344,7 @@ def _articles_from_documents(spark, d) -> DataFrame:
                        F.col("text").alias("title"))
 
 
-def q_enrich_articles(spark, d):
-    """Flagship: the whole enrichment plan (P1, J4, H1, T1-T9, N1/N2) on the driver tables."""
-    arts = _articles_from_documents(spark, d)
-    pages = _wide(_t(spark, d, "pages"))
-    out = E.enrich(arts, pages, key="document_id", title_col="title",
-                   dictionary=ENTITY_DICTIONARY, inline=True, prefixes=LICENSE_PREFIXES,
-                   markers=LICENSE_MARKERS, **PAGE_SELECTORS)
+def _enriched_out(out: DataFrame) -> DataFrame:
     return out.select(
         "document_id", *_typed_page_cols(out),
         F.array_join("ents", ",").alias("ents"), F.size("ents").cast("long").alias("n_ents"),
@@ -360,6 +354,16 @@ def q_enrich_articles(spark, d):
         F.round("before_pro_text_ratio", 6).alias("before_pro_text_ratio"))
 
 
+def q_enrich_articles(spark, d):
+    """Flagship: the whole enrichment plan (P1, J4, H1, T1-T9, N1/N2) on the driver tables."""
+    arts = _articles_from_documents(spark, d)
+    pages = _wide(_t(spark, d, "pages"))
+    out = E.enrich(arts, pages, key="document_id", title_col="title",
+                   dictionary=ENTITY_DICTIONARY, inline=True, prefixes=LICENSE_PREFIXES,
+                   markers=LICENSE_MARKERS, **PAGE_SELECTORS)
+    return _enriched_out(out)
+
+
 def q_enrich_articles_colocated(spark, d):
     """The flagship against pages stored bucketed by article id (co-located join)."""
     import uuid
@@ -372,13 +376,8 @@ def q_enrich_articles_colocated(spark, d):
                              title_col="title", dictionary=ENTITY_DICTIONARY, inline=True,
                              prefixes=LICENSE_PREFIXES, markers=LICENSE_MARKERS,
                              **PAGE_SELECTORS)
-    return out.select(
-        "document_id", *_typed_page_cols(out),
-        F.array_join("ents", ",").alias("ents"), F.size("ents").cast("long").alias("n_ents"),
-        F.col("cleaned_text_length").cast("long").alias("cleaned_text_length"),
-        F.col("cleaned_text_before_pro_length").cast("long")
-        .alias("cleaned_text_before_pro_length"),
-        F.round("before_pro_text_ratio", 6).alias("before_pro_text_ratio"))
+    spark.sql(f"DROP TABLE {table}")  # the plan holds the files; only the name goes
+    return _enriched_out(out)
 
 
 SQL_ENRICH_ARTICLES = f"""
