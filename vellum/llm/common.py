@@ -82,6 +82,12 @@ def decode(raw: bytes | None) -> str:
     return "" if raw is None else raw.decode("utf-8", "replace")
 
 
+def row_hash(df: DataFrame) -> tuple[Column, Column]:
+    """Two hashes (64 and 32 bits) of all columns of a row; nulls count by their place."""
+    parts = [x for c in df.columns for x in (col(c), col(c).isNull())]
+    return F.xxhash64(*parts), F.hash(F.lit(1), *parts)
+
+
 def words(text: Column, separators: str = " \t\n\x0b\f\r",
           pattern: str = ASCII_SPACE) -> Column:
     """The words between separators as an array (null text: no words).

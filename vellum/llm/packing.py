@@ -43,7 +43,7 @@ SEPARATOR = 1
 SHARD_PIECES = 20_000
 #: Words that one worker remembers at most (about 200 bytes each, for as long as the worker
 #: lives); beyond that its memory starts anew.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 400_000
 #: Characters that are encoded together (about 30 bytes of memory each, for a moment).
 BATCH_CHARS = 1_500_000
 

@@ -101,26 +101,43 @@ def host_rates(counted: DataFrame, host_col: str) -> DataFrame:
     return hosts.withColumn("rate", (F.col("failed") + m * weight) / (F.col("docs") + weight))
 
 
+def rejected_hosts(counted: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
+    """(__host) of the hosts whose shrunk rate reaches ``max_rate``; stored, so the planner
+    knows its size and rows are not moved to join it where it is small.
+    """
+    rates = host_rates(counted.select(C.col(host_col), "base_failed"), host_col)
+    return materialize(rates.where(F.col("rate") >= max_rate).select(F.col("host").alias("__host")),
+                       "rejected-hosts")
+
+
+def with_verdict(counted: DataFrame, bad: DataFrame, host_col: str = "source") -> DataFrame:
+    """Rows with rule counts, and host_rejected and kept."""
+    host, flag = C.fresh(counted, "__rejected_host", "__rejected")
+    table = bad.select(F.col("__host").alias(host), F.lit(True).alias(flag))
+    out = counted.join(table, C.col(host_col) == F.col(host), "left")
+    return out.withColumn("host_rejected", F.coalesce(F.col(flag), F.lit(False))).withColumn(
+        "kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop(host, flag)
+
+
 def verdicts(counted: DataFrame, host_col: str = "source", max_rate: float = MAX_RATE) -> DataFrame:
     """Rows with rule counts, and host_rejected and kept.
 
     The counted rows are written once to the shared folder: counting is the dear part and
-    both the host sums and the verdict need it.  Only rejected hosts are joined back, as a
-    stored table whose size the planner knows.
+    both the host sums and the verdict need it.
     """
     stored = materialize(counted, "rule-counts")
-    host, flag = C.fresh(stored, "__host", "__rejected")
-    bad = materialize(host_rates(stored, host_col).where(F.col("rate") >= max_rate)
-                      .select(F.col("host").alias(host), F.lit(True).alias(flag)), "rejected-hosts")
-    out = stored.join(bad, C.col(host_col) == F.col(host), "left")
-    return out.withColumn("host_rejected", F.coalesce(F.col(flag), F.lit(False))).withColumn(
-        "kept", ~F.col("base_failed") & ~F.col("host_rejected")).drop(host, flag)
+    return with_verdict(stored, rejected_hosts(stored, host_col, max_rate), host_col)
 
 
 def judge(df: DataFrame, host_col: str = "source", text_col: str = "text",
           max_rate: float = MAX_RATE) -> DataFrame:
-    """``df`` with rule counts, base_failed, host_rejected and kept for every document."""
-    return verdicts(rule_counts(df, text_col), host_col, max_rate)
+    """``df`` with rule counts, base_failed, host_rejected and kept for every document.
+
+    Nothing but the rejected hosts is stored: the texts are counted twice, once for the hosts
+    and once for the result, which is cheaper than keeping a copy of the corpus.
+    """
+    counted = rule_counts(df, text_col)
+    return with_verdict(counted, rejected_hosts(counted, host_col, max_rate), host_col)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,7 @@
 """The operators as stages over ``documents``: rows in, rows of the same columns out.
 
-A stage's own columns never meet the table's: the row travels as one struct, so extra
-columns of any name pass unchanged.  Every stage reads all rows of its input; rows leave
+A stage's own columns never meet the table's (the row travels as one struct, or their names
+are chosen apart), so extra columns of any name pass unchanged.  Every stage reads all rows of its input; rows leave
 only by the stage's own decision.
 """
 
@@ -37,27 +37,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules themselves and whose host is not rejected."""
-    counted = quality.rule_counts(_row(docs, "text", "source")).drop("text")
-    return _back(quality.verdicts(counted).where("kept"), docs.columns)
+    return _back(quality.judge(_row(docs, "text", "source")).where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each SimHash component: the smallest doc_id (null last).
 
-    Rows that tie for it (repeated rows) are told apart by their number in a stored table,
-    which holds the rows with their fingerprints; only the rows that go are joined to it.
+    Rows are known by a hash of all their columns (96 bits).  Only these hashes, keys and
+    fingerprints are stored; the rows that go are anti-joined.  Among rows that tie for the
+    smallest doc_id the smallest hash stays, and of rows equal in every column one.
     """
-    named = _row(docs, "doc_id", "text")
-    stored = materialize(
-        simhash.fingerprints(named, SHINGLE, carry=("__row", "doc_id"))
-        .withColumn("__n", F.monotonically_increasing_id()), "fingerprinted")
-    classes = simhash.classes(stored.select("fp", "doc_id"), MAX_BITS, "doc_id")
-    placed = stored.select("__n", "doc_id", "fp").join(classes, "fp")
-    first = placed.groupBy("root").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "__n")).alias("first"))
-    gone = materialize(placed.join(first, "root").where(F.col("__n") != F.col("first.__n"))
-                       .select("__n"), "near-duplicates")
-    return _back(stored.join(gone, "__n", "left_anti"), docs.columns)
+    a, b = C.fresh(docs, "__a", "__b")
+    keyed = docs.withColumns(dict(zip((a, b), C.row_hash(docs))))
+    prints = materialize(simhash.fingerprints(keyed, SHINGLE, carry=(a, b, "doc_id")), "row-fingerprints")
+    rows = prints.groupBy(a, b).agg(F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"),
+                                    F.count("*").alias("__n"))
+    placed = materialize(rows.join(simhash.classes(prints, MAX_BITS, "doc_id"), "fp"), "placed")
+    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", a, b)
+    first = placed.groupBy("root").agg(F.min(order).alias("first"))
+    stays = (F.col(a) == F.col(f"first.{a}")) & (F.col(b) == F.col(f"first.{b}"))
+    # what is not simply kept: rows that go, and rows of which equal ones go
+    marked = materialize(placed.join(first, "root").where(~stays | (F.col("__n") > 1))
+                         .select(a, b, stays.alias("__repeated")), "near-duplicates")
+    joined = keyed.join(marked, [a, b], "left")
+    kept = joined.where(F.col("__repeated").isNull()).select(*[C.col(c) for c in docs.columns])
+    if not marked.where("__repeated").head(1):
+        return kept
+    once = joined.where("__repeated").dropDuplicates([a, b]).select(*[C.col(c) for c in docs.columns])
+    return kept.unionByName(once)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
