@@ -407,3 +407,11 @@ def test_bpe_round_trip_keeps_other_columns(spark):
     assert ids.columns == ["text", "n", "ids"]
     back = bpe.decode(ids, path, public_tokenizers.PATTERN).orderBy("n").collect()
     assert [bytes(r["decoded"]).decode() for r in back] == ["é日", ""]
+
+
+def test_points_within_a_radius(spark):
+    fps = spark.createDataFrame([(5,), (-1,)], "fp long")
+    for radius, n in ((0, 1), (1, 65), (2, 2081)):
+        rows = simhash.within(fps, radius).collect()
+        assert len(rows) == len(set(rows)) == 2 * n
+        assert all(((r["fp"] ^ r["point"]) & ((1 << 64) - 1)).bit_count() <= radius for r in rows)

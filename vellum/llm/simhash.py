@@ -189,6 +189,20 @@ def _exploded(fps: DataFrame, parts: list[tuple[list[int], int]], probe: bool) -
         "fp", "k.part", F.col("fp").bitwiseAND(F.col("k.mask")).bitwiseXOR(F.col("k.flip")).alias("value"))
 
 
+def within(fps: DataFrame, radius: int) -> DataFrame:
+    """(fp, point) for every point within ``radius`` bits of each fingerprint, each once.
+
+    Bits are flipped in rising order; number 64 stands for no further flip.
+    """
+    out = fps.select("fp", F.col("fp").alias("point"), F.lit(0).alias("low"))
+    for _ in range(radius):
+        flip = out.select("fp", "point", F.explode(F.sequence("low", F.lit(BITS))).alias("bit"))
+        mask = F.when(F.col("bit") < BITS, F.expr("shiftleft(1L, bit)")).otherwise(F.lit(0).cast("long"))
+        out = flip.select("fp", F.col("point").bitwiseXOR(mask).alias("point"),
+                          F.least(F.col("bit") + 1, F.lit(BITS)).alias("low"))
+    return out.select("fp", "point")
+
+
 def links(fps: DataFrame, max_bits: int, hot_bucket: int = HOT_BUCKET) -> DataFrame:
     """Edges (a, b) whose connected components are those of all links of ``fps.fp``.
 
@@ -217,9 +231,7 @@ def links(fps: DataFrame, max_bits: int, hot_bucket: int = HOT_BUCKET) -> DataFr
     if not any_hot:
         return pairs
     dense = materialize(probes.join(hot, ["part", "value"], "left_semi").select("fp").distinct(), "dense")
-    around = F.array(*[F.lit(x) for x in flips(list(range(BITS)), max_bits // 2)])
-    points = dense.select("fp", F.explode(around).alias("x")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("x")).alias("point"))
+    points = within(dense, max_bits // 2)
     least = (points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top"))
              .where(F.col("b") < F.col("top")).select("point", "b"))
     met = (points.join(least, "point").where(F.col("fp") > F.col("b"))
