@@ -68,9 +68,9 @@ class WordEncoder(dict):
         self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
         self._model = self._tok.model
         self._cores: dict[str, list[int]] = {}
-        self._reset()
+        self.forget()
 
-    def _reset(self) -> None:
+    def forget(self) -> None:
         self.clear()
         self._flat, self._start, self._len = array("I"), array("q"), array("q")
 
@@ -101,7 +101,7 @@ class WordEncoder(dict):
         Arrow numbers the distinct words of the batch, so Python looks each up once.
         """
         if len(self) > CACHE_WORDS:
-            self._reset()
+            self.forget()
         # Lower-casing here only saves distinct words; beyond these letters the
         # normaliser does it (it knows no final sigma).
         texts = [x.lower() if x.isascii() or max(x) < "ɐ" else x for x in texts]
@@ -139,9 +139,10 @@ def word_encoder(path: str) -> WordEncoder:
 
 def token_pieces(df: DataFrame, tokenizer_path: str, text_col: str = "text",
                  carry: tuple[str, ...] = (), capacity: int = CAPACITY,
-                 separator: int = SEPARATOR, with_ids: bool = False) -> DataFrame:
+                 separator: int = SEPARATOR, with_ids: bool = False, remember: bool = True) -> DataFrame:
     """One row per piece: the carried columns, piece, start, length, ids_crc32 (and ids).
 
+    With ``remember`` a worker keeps the words it has seen for its next task (about 100 MB).
     ``ids_crc32`` is the CRC-32 of the ids as little-endian unsigned 32-bit numbers.
     """
     ship_package(df.sparkSession)
@@ -174,6 +175,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, text_col: str = "text",
             if with_ids:
                 cols.append(pa.array(out, pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        if not remember:
+            enc.forget()
 
     return work.mapInArrow(run, schema)
 
@@ -232,13 +235,15 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
 
 
 def pack_documents(df: DataFrame, tokenizer_path: str, text_col: str = "text",
-                   carry: tuple[str, ...] = (), capacity: int = CAPACITY) -> DataFrame:
+                   carry: tuple[str, ...] = (), capacity: int = CAPACITY,
+                   remember: bool = True) -> DataFrame:
     """Tokenise, cut and pack: one row per piece with its sequence and offset.
 
     Tokenising is the dear part, so the pieces (a few numbers each) are written once to
     the shared folder and packed from there.
     """
-    stored = materialize(token_pieces(df, tokenizer_path, text_col, carry, capacity), "pieces")
+    stored = materialize(token_pieces(df, tokenizer_path, text_col, carry, capacity,
+                                      remember=remember), "pieces")
     return pack(stored, capacity=capacity)
 
 

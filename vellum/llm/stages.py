@@ -59,7 +59,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     # what is not simply kept: rows that go, and rows of which equal ones go
     marked = materialize(placed.join(first, "root").where(~stays | (F.col("__n") > 1))
                          .select(a, b, stays.alias("__repeated")), "near-duplicates")
-    joined = keyed.join(marked, [a, b], "left")
+    # always by a shuffle: the marked rows grow with the corpus
+    joined = keyed.join(marked.hint("merge"), [a, b], "left")
     kept = joined.where(F.col("__repeated").isNull()).select(*[C.col(c) for c in docs.columns])
     if not marked.where("__repeated").head(1):
         return kept
@@ -78,5 +79,9 @@ def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their sequences and offsets."""
-    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("doc_id",))
+    """The pieces of all documents with their sequences and offsets.
+
+    The workers also serve the other stages, so they do not keep the words they have seen.
+    """
+    return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"), carry=("doc_id",),
+                                  remember=False)
