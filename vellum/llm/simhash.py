@@ -264,7 +264,7 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(
             F.col("a").alias("u"), F.least("a", "m").alias("m"))
         large = (both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u"))
-                 .select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
+                 .select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small-star: a's neighbours are all smaller than a here
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(low, "a").where(F.col("b") != F.col("m"))
