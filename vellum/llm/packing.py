@@ -43,9 +43,9 @@ SEPARATOR = 1
 SHARD_PIECES = 20_000
 #: Words that one worker remembers at most (about 200 bytes each, for as long as the worker
 #: lives); beyond that its memory starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 #: Characters that are encoded together (about 30 bytes of memory each, for a moment).
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 4_000_000
 
 #: Punctuation that, at the end of a word, is a match of its own (no apostrophe).
 _TAIL = ".,;:!?%$&*#"
@@ -142,7 +142,8 @@ def token_pieces(df: DataFrame, tokenizer_path: str, text_col: str = "text",
                  separator: int = SEPARATOR, with_ids: bool = False, remember: bool = True) -> DataFrame:
     """One row per piece: the carried columns, piece, start, length, ids_crc32 (and ids).
 
-    With ``remember`` a worker keeps the words it has seen for its next task (about 100 MB).
+    With ``remember`` a worker keeps the words it has seen for its next task (about 100 MB);
+    without, it also encodes in smaller batches.
     ``ids_crc32`` is the CRC-32 of the ids as little-endian unsigned 32-bit numbers.
     """
     ship_package(df.sparkSession)
@@ -157,7 +158,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, text_col: str = "text",
         for batch in batches:
             row, piece, start, length, crc, out = [], [], [], [], [], []
             texts = (C.decode(x.as_py()) for x in batch.column(batch.num_columns - 1))
-            for i, ids in enumerate(enc.encode_all(texts)):
+            for i, ids in enumerate(enc.encode_all(texts, BATCH_CHARS if remember else BATCH_CHARS // 3)):
                 ids = np.concatenate([ids, end]).astype("<u4", copy=False)
                 for k, a in enumerate(range(0, len(ids), capacity)):
                     part = ids[a:a + capacity]
