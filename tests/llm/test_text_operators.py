@@ -197,6 +197,19 @@ def test_word_encoder_forgets_and_still_agrees(monkeypatch):
         assert enc._tok.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_word_encoder_equals_the_library():
+    """Runs of punctuation stay whole, also after a bracket, quote or symbol; every document of sf0.01."""
+    import pyarrow.parquet as pq
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok, enc = Tokenizer.from_file(path), packing.WordEncoder(path)
+    words = ["foo).", "foo),", 'foo",', "dogs'.", "(foo):", "£!", '"a".', '"ab12"###', "dog's.", "é.", "x²!", "İ. ω",
+             "a\u0301.", "a..!", "...", "\t."]
+    texts = words + pq.read_table("/root/testdata/sf0.01/documents.parquet").column("text").to_pylist()
+    for text, ids in zip(texts, enc.encode_batch(texts)):
+        assert ids.tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 # ---- 4 secrets ----------------------------------------------------------------------------
 
 PLANTED = re.compile(r"AKIA[0-9A-Z]{16}|(?<=password=)[0-9a-f]{18}|(?<=token = \")[0-9a-f]{40}")

@@ -47,7 +47,8 @@ CACHE_WORDS = 600_000
 #: Characters that are encoded together (about 30 bytes of memory each, for a moment).
 BATCH_CHARS = 4_000_000
 
-#: Punctuation that, at the end of a word, is a match of its own (no apostrophe).
+#: Punctuation that, after a letter or digit at the end of a word, is a match of its own
+#: (no apostrophe).
 _TAIL = ".,;:!?%$&*#"
 _PLAIN = re.compile("[a-z]+").fullmatch
 
@@ -89,7 +90,9 @@ class WordEncoder(dict):
 
     def __missing__(self, word: str) -> int:
         core = word.rstrip(_TAIL)
-        if core and len(core) < len(word):  # a word and the punctuation after it
+        # A word and the punctuation after it.  The pattern takes a whole run of other
+        # characters at once, so the word must end in what stays a letter or digit.
+        if core and len(core) < len(word) and core[-1] < "Ā" and core[-1].isalnum():
             return self._add(word, self._known(core) + self._known(word[len(core):]))
         if _PLAIN(word):  # one match of the pattern, mapped to itself
             return self._add(word, [t.id for t in self._model.tokenize(word)])
