@@ -83,6 +83,39 @@ def test_recurring_subtrees_go_and_copies_do_not_count(spark):
     assert text[3] == "Text number 3." and text[100] == "Published many times." and text[201] == "Different 1."
 
 
+def test_near_copies_are_not_templates(spark):
+    """Pages that differ only in an advert, menu or title count once; what is most of a page stays."""
+    post = "".join(f"<p>The post says thing number {k}, at some length.</p>" for k in range(5))
+    words = "\n".join(f"The post says thing number {k}, at some length." for k in range(5))
+    items = "<ul>" + "".join(f"<li>item {k}</li>" for k in range(6)) + "</ul>"
+    listed = "\n".join(f"item {k}" for k in range(6))
+    box = "<div class='x'><p>On every page.</p></div>"
+    rows = []
+
+    def add(key, host, page):
+        rows.append((key, f"http://{host}/{key}", f"<body>{box}{page}</body>"))
+
+    for host, first in (("wrapped", 1000), ("listed", 2000), ("full", 4000)):
+        for i in range(60):
+            add(first + i, host, f"<p>An own and rather long text of the page with number {i}, and more.</p>")
+    for i in range(4):
+        add(i, "wrapped", f"<div class='y'>Buy {i}!</div><div>{post}</div>")
+        add(10 + i, "listed", f"<div class='y'>Buy {i}!</div>{items}<section><p>{words}</p></section>")
+        add(20 + i, "alone", f"<div class='y'>Buy {i}!</div><div>{post}</div>")
+        add(40 + i, "full", f"<p>{'Overview number %d of the whole site and everything. ' % i * 8}</p><div>{post}</div>")
+        rows.append((30 + i, "http://art/a", f"<article><h1>T{i}</h1><div>{post}</div></article>"))
+    add(50, "full", f"<div>{post}</div>")
+    rows += [(3000 + i, "http://art/b", f"<article><p>Other article {i}.</p></article>") for i in range(9)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    text = {r["page_id"]: r["text"] for r in main_text.extract(df).collect()}
+    for i in range(4):
+        assert text[i] == f"Buy {i}!\n{words}" and text[30 + i] == f"T{i}\n{words}"
+        assert text[10 + i] == f"Buy {i}!\n{listed}\n" + " ".join(words.split("\n"))
+        assert words in text[20 + i]
+    assert words in text[50]
+    assert text[1007] == "An own and rather long text of the page with number 7, and more."
+
+
 # ---- 2 language ---------------------------------------------------------------------------
 
 

@@ -6,9 +6,14 @@ an article) are hashed, and Spark counts on how many different pages of its host
 occurs.  A subtree on at least ``MIN_PAGES`` and a share of the host's different pages is
 template and is deleted: ``SITE_SHARE`` for boxes beside the article (a site rotates its
 adverts and menus), ``TEXT_SHARE`` for boxes in an article and, on pages without one, for
-running text.  Copies of one page count once, so a page published a thousand times is not
-its own template.  A host has at most (subtrees per page) / share templates, one bounded
-array, joined to its pages by host.
+running text.  Templates are arrays joined to the pages by host.
+
+Pages count as different for a subtree if the longest blocks of their main text outside it
+differ.  So copies of a page count once, also near copies with another advert, menu or
+title, and a page published a thousand times is not its own template.  A page does not
+count for a subtree with more than half of its main text, nor is the subtree deleted
+there, unless it recurs on ``MOST_PAGES`` of the host's different pages; for that, pages
+count up to ``MOST_TEXT`` of the text.
 
 What is left is read by the meaning of the markup: the largest article (else main, else
 body) without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
@@ -37,6 +42,10 @@ from vellum.session import materialize
 MIN_PAGES = 4
 SITE_SHARE = 0.01
 TEXT_SHARE = 0.3
+#: Share of a host's pages from which a subtree may be the larger part of a page's text, and
+#: the share of text up to which a page speaks for that.
+MOST_PAGES = 0.5
+MOST_TEXT = 2 / 3
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"<]*"|'[^'<]*'|["'])*)>?|<[!?][^>]*>?""",
                     re.S)
@@ -219,18 +228,11 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
     return blocks, kinds, hashes
 
 
-def candidate_hashes(page: str) -> list[int]:
-    """Hashes of the subtrees of a page that could be template, each once."""
-    return sorted(set(parse(page)[2]))
+Block = tuple[str, int, tuple[int, ...]]
 
 
-def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
-    """The main text of a page without the given template subtrees."""
-    blocks, kinds, hashes = parse(page)
-    if templates:
-        gone = {i for i, h in enumerate(hashes) if h in templates}
-        if gone:
-            blocks = [b for b in blocks if gone.isdisjoint(b[2])]
+def _main_blocks(blocks: list[Block], kinds: list[str]) -> list[Block]:
+    """The blocks of the largest article, else of the largest main, else all."""
     sizes: dict[int, int] = {}
     for text, container, _ in blocks:
         sizes[container] = sizes.get(container, 0) + len(text)
@@ -238,8 +240,65 @@ def main_text(page: str, templates: frozenset[int] = frozenset()) -> str:
         of = [c for c in sizes if c and kinds[c] == kind]
         if of:
             best = max(of, key=lambda c: (sizes[c], -c))
-            return "\n".join(t for t, c, _ in blocks if c == best)
-    return "\n".join(t for t, _, _ in blocks)
+            return [b for b in blocks if b[1] == best]
+    return blocks
+
+
+def _held(blocks: list[Block], n: int) -> tuple[int, list[int]]:
+    """Characters of the blocks, and those inside each of ``n`` candidate subtrees."""
+    held = [0] * n
+    for text, _, around in blocks:
+        for i in around:
+            held[i] += len(text)
+    return sum(len(b[0]) for b in blocks), held
+
+
+def recurrence(page: str) -> tuple[list[int], list[int]]:
+    """Hashes of the subtrees of a page that could be template, and for each a hash of the
+    page's longest block outside it, whose lowest bit tells subtrees with at most half of the text.
+
+    Each pair comes once.  The hash 0 stands for no subtree.
+    """
+    blocks, kinds, hashes = parse(page)
+    main = _main_blocks(blocks, kinds)
+    total, held = _held(main, len(hashes))
+    speaks = [i for i, h in enumerate(held) if h <= MOST_TEXT * total]
+    by_size = sorted(main, key=lambda b: (-len(b[0]), b[0]))
+    rest = dict.fromkeys(speaks, "")
+    left = set(speaks)
+    for text, _, around in by_size:
+        for i in left.difference(around):
+            rest[i] = text
+        left.intersection_update(around)
+        if not left:
+            break
+    known: dict[str, int] = {}
+
+    def key(text: str, small: bool) -> int:
+        if text not in known:
+            known[text] = xxhash.xxh64_intdigest(text.encode("utf-8", "replace")) & ~1
+        return (known[text] | small) - (1 << 63)
+
+    pairs = {(hashes[i], key(rest[i], 2 * held[i] <= total)) for i in speaks}
+    pairs.add((0, key(by_size[0][0] if by_size else "", True)))
+    ordered = sorted(pairs)
+    return [h for h, _ in ordered], [r for _, r in ordered]
+
+
+def main_text(page: str, templates: frozenset[int] = frozenset(),
+              everywhere: frozenset[int] = frozenset()) -> str:
+    """The main text of a page without the given template subtrees.
+
+    One with more than half of the text goes only if it is also among ``everywhere``.
+    """
+    blocks, kinds, hashes = parse(page)
+    if templates:
+        gone = {i for i, h in enumerate(hashes) if h in templates}
+        if gone:
+            total, held = _held(_main_blocks(blocks, kinds), len(hashes))
+            gone = {i for i in gone if 2 * held[i] <= total or hashes[i] in everywhere}
+            blocks = [b for b in blocks if gone.isdisjoint(b[2])]
+    return "\n".join(b[0] for b in _main_blocks(blocks, kinds))
 
 
 def host(url):
@@ -251,26 +310,36 @@ def host(url):
 def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html",
                    min_pages: int = MIN_PAGES, site_share: float = SITE_SHARE,
                    text_share: float = TEXT_SHARE) -> DataFrame:
-    """(host, templates): hashes of the subtrees that recur on each host's pages."""
+    """(host, templates, everywhere): hashes of the subtrees that recur on each host's pages,
+    and those of them that recur on most."""
     work = pages.select(host(C.col(url_col)).alias("host"), C.text_bytes(html_col).alias("raw"))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = batch.column(1).to_pylist()
+        found = [recurrence(C.decode(x)) for x in raw]
         return pa.RecordBatch.from_arrays(
             [batch.column(0), pa.array([xxhash.xxh64_intdigest(x) - (1 << 63) for x in raw], pa.int64()),
-             pa.array([candidate_hashes(C.decode(x)) for x in raw], pa.list_(pa.int64()))],
-            names=["host", "page", "hashes"])
+             pa.array([x[0] for x in found], pa.list_(pa.int64())),
+             pa.array([x[1] for x in found], pa.list_(pa.int64()))],
+            names=["host", "page", "hashes", "rests"])
 
-    read = C.map_arrow(work, run, "host string, page long, hashes array<long>")
+    read = C.map_arrow(work, run, "host string, page long, hashes array<long>, rests array<long>")
     # copies of a page count once; what is stored is a few numbers per different page
-    different = materialize(read.groupBy("host", "page").agg(F.first("hashes").alias("hashes")),
+    different = materialize(read.groupBy("host", "page").agg(F.first(F.struct("hashes", "rests")).alias("f")),
                             "page-subtrees")
-    sizes = different.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages)
-    seen = (different.select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash")
-            .agg(F.count("*").alias("pages")).where(F.col("pages") >= min_pages))
+    pairs = (different.select("host", F.explode(F.arrays_zip("f.hashes", "f.rests")).alias("p"))
+             .groupBy("host", F.col("p.hashes").alias("hash"), F.shiftright("p.rests", 1).alias("rest"))
+             .agg(F.max(F.col("p.rests").bitwiseAND(F.lit(1))).alias("small")))
+    seen = (pairs.groupBy("host", "hash").agg(F.count("*").alias("pages"), F.sum("small").alias("small"))
+            .where(F.col("pages") >= min_pages))
+    # a host has as many different pages as differ outside some subtree, or outside none
+    sizes = seen.groupBy("host").agg(F.max("pages").alias("n"))
     share = F.when(F.col("hash").bitwiseAND(F.lit(1)) == 1, site_share).otherwise(text_share)
-    common = seen.join(sizes, "host").where(F.col("pages") >= share * F.col("n"))
-    return common.groupBy("host").agg(F.collect_list("hash").alias("templates"))
+    most = F.col("pages") >= F.greatest(share, F.lit(MOST_PAGES)) * F.col("n")
+    some = (F.col("small") >= min_pages) & (F.col("small") >= share * F.col("n"))
+    common = seen.where(F.col("hash") != 0).join(sizes, "host").where(most | some)
+    return common.groupBy("host").agg(F.collect_list("hash").alias("templates"),
+                                      F.collect_list(F.when(most, F.col("hash"))).alias("everywhere"))
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
@@ -278,11 +347,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
     """The carried columns, text and n_chars of every page."""
     keep = [c for c in carry if c.lower() not in ("text", "n_chars")]
     templates = materialize(site_templates(pages, url_col, html_col, **limits)
-                            .select(F.col("host").alias("__host"), "templates"), "templates")
+                            .select(F.col("host").alias("__host"), "templates", "everywhere"), "templates")
     work = (pages.select(*[C.col(c) for c in keep], host(C.col(url_col)).alias("__of"),
                          C.text_bytes(html_col).alias("__raw"))
             .join(templates, F.col("__of") == F.col("__host"), "left")
-            .select(*[C.col(c) for c in keep], "templates", "__raw"))
+            .select(*[C.col(c) for c in keep], "templates", "everywhere", "__raw"))
     schema = C.schema(pages, keep, "text string, n_chars long")
     names = [f.name for f in schema.fields]
 
@@ -290,13 +359,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
         n = batch.num_columns
         known: dict[tuple, frozenset[int]] = {}
         out = []
-        for hashes, raw in zip(batch.column(n - 2).to_pylist(), batch.column(n - 1).to_pylist()):
-            key = tuple(hashes or ())
-            if key not in known:
-                known[key] = frozenset(key)
-            out.append(main_text(C.decode(raw), known[key]))
+        for *lists, raw in zip(*(batch.column(n - k).to_pylist() for k in (3, 2, 1))):
+            keys = [tuple(x or ()) for x in lists]
+            out.append(main_text(C.decode(raw), *(known.setdefault(k, frozenset(k)) for k in keys)))
         return pa.RecordBatch.from_arrays(
-            list(batch.columns[:-2]) + [pa.array(out, pa.string()),
+            list(batch.columns[:-3]) + [pa.array(out, pa.string()),
                                         pa.array(list(map(len, out)), pa.int64())], names=names)
 
     return C.map_arrow(work, run, schema)
