@@ -116,6 +116,25 @@ def test_near_copies_are_not_templates(spark):
     assert text[1007] == "An own and rather long text of the page with number 7, and more."
 
 
+@pytest.mark.parametrize("page", [
+    '<body><div class="content-sidebar-wrap"><main><p>{t}</p></main><div class="sidebar">side</div></div></body>',
+    '<body><div id="page-with-sidebar"><article><p>{t}</p></article><div id="sidebar">side</div></div></body>',
+    '<body><div class="post share-enabled"><p>{t}</p></div><div class="share">Share</div></body>',
+    '<body><section class="notice-text"><p>{t}</p></section></body>',
+    '<body class="header-fixed"><div class="header-layout"><p>{t}</p></div><div class="header">Site</div></body>',
+    '<body><article><div class="entry related-off"><p>{t}</p><span class="share">Share</span></div></article>'
+    '<div>' + 'an unnamed menu ' * 30 + '</div></body>',
+    '<body><main><p>{t}</p><div id="comments"><article>' + 'a long reply ' * 30 + '</article></div></main></body>',
+    '<body><div class="related"><article>Teaser</article></div><main><p>{t}</p></main></body>',
+    '<body><p>{t}</p><section id="comments"><p>' + 'a long reply ' * 30 + '</p></section></body>',
+    '<body><div class="comments-open"><p>{t}</p><ol><li class="comment">me too</li></ol></div></body>',
+    '<body><article><p>{t}</p><div class="newsletter">Subscribe now</div></article></body>',
+])
+def test_a_name_alone_does_not_drop_the_content(page):
+    text = "The text of the page, and it has a few words."
+    assert main_text.main_text(page.replace("{t}", text)) == text
+
+
 # ---- 2 language ---------------------------------------------------------------------------
 
 

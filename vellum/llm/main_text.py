@@ -17,7 +17,8 @@ count up to ``MOST_TEXT`` of the text.
 
 What is left is read by the meaning of the markup: the largest article (else main, else
 body) without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments.  Character references are decoded, white space inside a block becomes
+and reader comments.  A class or id that only names such a part does not drop the page's
+content: see ``_without_named``.  Character references are decoded, white space inside a block becomes
 one space, blocks are joined by one line feed.
 
 Defined results: null or empty html gives empty text; broken markup never fails (an element
@@ -71,6 +72,7 @@ _DROP_WORDS = frozenset("""ad ads advert adverts advertisement advertising adsen
     promotion cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription
     signup login sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments
     disqus respond replies related recommended share sharing social widget toolbar pagination pager paywall""".split())
+_REPLY_WORDS = frozenset("comment comments disqus respond replies".split())
 #: an element that closes an open one of these when it begins
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
            "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -80,11 +82,23 @@ _BOXES = frozenset("div section aside header footer nav ul ol dl form table figu
 
 
 class Element:
-    __slots__ = ("tag", "drop", "candidate", "start", "main", "hash", "head")
+    __slots__ = ("tag", "drop", "candidate", "start", "main", "hash", "head", "named", "outer")
 
-    def __init__(self, tag: str, drop: bool, candidate: bool, start: int, main: int, head: str):
+    def __init__(self, tag: str, drop: bool, candidate: bool, start: int, main: int, head: str,
+                 named: bool, outer: int):
         self.tag, self.drop, self.candidate, self.start = tag, drop, candidate, start
-        self.main, self.head, self.hash = main, head, 0
+        self.main, self.head, self.hash, self.named, self.outer = main, head, 0, named, outer
+
+
+class Named:
+    """An element that its class or id names as no content, and what tells whether it is."""
+
+    __slots__ = ("reply", "exact", "outer")
+
+    def __init__(self, words: set[str], attrs: str, outer: int):
+        self.reply, self.outer = bool(words & _REPLY_WORDS), outer
+        self.exact = any(x in _REPLY_WORDS for name, value in _ATTR.findall(attrs) if name.lower() != "role"
+                         for x in value.lower().strip("\"'").split())
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
@@ -94,18 +108,60 @@ def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
         return False
     if _HIDDEN.search(_ATTR.sub("", attrs)):
         return True
-    for name, value in _ATTR.findall(attrs):
-        found = set(_TOKENS.findall(value.lower()))
-        if name.lower() == "role":
-            if found & _DROP_ROLES:
-                return True
-        elif found & _DROP_WORDS and tag not in ("html", "body", "main", "article"):
-            return True
-        elif tag == "article" and found & {"comment", "comments", "related", "teaser", "promo", "ad"}:
-            return True
-        elif not inside and found & {"header"}:
-            return True
-    return False
+    return any(name.lower() == "role" and not _DROP_ROLES.isdisjoint(_TOKENS.findall(value.lower()))
+               for name, value in _ATTR.findall(attrs))
+
+
+def _named(tag: str, attrs: str, inside: bool) -> set[str]:
+    """The words of a class or id that name a part without running text."""
+    if not attrs or tag in ("html", "body", "main"):
+        return set()
+    found = {x for name, value in _ATTR.findall(attrs) if name.lower() != "role"
+             for x in _TOKENS.findall(value.lower())}
+    if tag == "article":
+        return found & {"comment", "comments", "related", "teaser", "promo", "ad"}
+    return found & (_DROP_WORDS if inside else _DROP_WORDS | {"header"})
+
+
+def _without_named(blocks: list[tuple], named: list[Named], parents: list[int], own: set[int]) -> list[tuple]:
+    """The blocks without those in elements that a class or id names as no content.
+
+    A name is only a hint (``content-sidebar-wrap``, ``post share-enabled``): an element stays
+    if it holds more than half of the text of the page (or of the article or main around
+    it), or a larger article or main than there is outside of such elements.  One that names
+    reader comments stays only on a page without an article or main outside; if a whole
+    class or id is the word, it must also leave no text outside.
+    """
+    n = len(named)
+    inside = [0] * n
+    sizes = [0] * len(parents)                      # by container, with what is nested in it
+    outside = [0] * len(parents)                    # by container, outside all named elements
+    held: list[dict[int, int]] = [{} for _ in range(n)]  # by container that begins in the element
+    total = 0
+    for text, container, _, names in blocks:
+        size = len(text)
+        total += size
+        c = container
+        while c:
+            sizes[c] += size
+            c = parents[c]
+        if container and not names:
+            outside[container] += size
+        for i in names:
+            inside[i] += size
+            if container and container != named[i].outer and container not in own:
+                held[i][container] = held[i].get(container, 0) + size
+    largest = max(outside)
+    gone = set()
+    for i, e in enumerate(named):
+        most = 2 * inside[i] > (sizes[e.outer] if e.outer else total)
+        content = max(held[i].values(), default=0)
+        stays = most or content > 0 and content >= largest
+        if e.reply and (largest or e.exact and inside[i] < total):
+            stays = False
+        if not stays:
+            gone.add(i)
+    return [b for b in blocks if gone.isdisjoint(b[3])]
 
 
 def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str], list[int]]:
@@ -115,28 +171,32 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
     outside, else the number of the outermost article or main.  Hashes are listed by
     subtree number.
     """
-    blocks: list[tuple[str, int, tuple[int, ...]]] = []
+    blocks: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
     hashes: list[int] = []  # the lowest bit tells boxes beside an article
     kinds: list[str] = [""]
+    parents: list[int] = [0]    # the container around each container
+    named: list[Named] = []
+    own: set[int] = set()       # containers that are named elements themselves
     stack: list[Element] = []
     pieces: list[str] = []      # of the current block
     stream: list[str] = []      # tags and texts so far, what subtrees are hashed from
     dropped = 0
     around: tuple[int, ...] = ()
+    names: tuple[int, ...] = ()
     container = 0
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                blocks.append((text, container, around))
+                blocks.append((text, container, around, names))
             pieces.clear()
 
     def close(depth: int) -> None:
-        nonlocal dropped, around, container
+        nonlocal dropped, around, names, container
         while len(stack) > depth:
             e = stack.pop()
-            if e.tag in _BLOCK or e.drop:
+            if e.tag in _BLOCK or e.drop or e.named:
                 flush()
             dropped -= e.drop
             if e.candidate:
@@ -144,8 +204,10 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
                 beside = not container and e.tag in _BOXES
                 hashes[e.hash] = (known & ~1 | beside) - (1 << 63)
                 around = around[:-1]
+            if e.named:
+                names = names[:-1]
             if e.main:
-                container = 0
+                container = e.outer
 
     def text(data: str) -> None:
         if data:
@@ -199,17 +261,25 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
         if tag in _VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
         drop = _boilerplate(tag, attrs, bool(container))
+        words = set() if drop or dropped else _named(tag, attrs, bool(container))
+        outer = container
         main = 0
         if tag in ("article", "main") and not drop and not dropped:
             flush()
             if not container or kinds[container] == "main" and tag == "article":
                 kinds.append(tag)
+                parents.append(outer)
                 main = container = len(kinds) - 1
+                if words:
+                    own.add(main)
         box = tag in _BLOCK and tag not in ("html", "body", "article", "main") and not main
         candidate = box and (tag in _BOXES if container else True)
-        if drop and not dropped:
+        if (drop or words) and not dropped:
             flush()
-        e = Element(tag, drop, candidate, len(stream), main, tag + attrs if candidate else "")
+        e = Element(tag, drop, candidate, len(stream), main, tag + attrs if candidate else "", bool(words), outer)
+        if words:
+            names = (*names, len(named))
+            named.append(Named(words, attrs, outer))
         if candidate:
             flush()
             e.hash = len(hashes)
@@ -225,7 +295,9 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
             at = end.start() if end else size
     close(0)
     flush()
-    return blocks, kinds, hashes
+    if named:
+        blocks = _without_named(blocks, named, parents, own)
+    return [b[:3] for b in blocks], kinds, hashes
 
 
 Block = tuple[str, int, tuple[int, ...]]
