@@ -105,3 +105,20 @@ def test_warc_small_payloads_are_all_responses(spark):
     warc.write_archives(df, path, min_revisit_bytes=5)
     kinds = {r["key"]: r["record_type"] for r in warc.read_archives(spark, path).collect()}
     assert kinds == {"1": "response", "2": "response", "3": "response", "4": "revisit"}
+
+
+def test_warc_archives_are_bounded_by_bytes(spark):
+    pages = [(i, f"http://h/{i}", f"{i} " * (2_000 if i % 3 else 10)) for i in range(300)]
+    pages[150] = (150, "http://h/150", "long " * 40_000)
+    path = scratch_path(spark, "warc-test")
+    df = spark.createDataFrame(pages, "page_id long, url string, html string").coalesce(2)
+    warc.write_archives(df, path, bytes_per_file=50_000, records_per_file=20)
+    sizes = sorted(r["length"] for r in spark.read.format("binaryFile").option("pathGlobFilter", "part-*")
+                   .load(path).select("length").collect())
+    assert sizes[-2] <= 50_000 + 9_000 and sizes[-1] <= 50_000 + 201_000
+    assert len(sizes) <= 2 * sum(sizes) / 50_000 + 300 / 20
+    back = {int(r["key"]): r for r in warc.read_archives(spark, path).collect()}
+    assert len(back) == len(pages)
+    assert all(back[k]["digest_ok"] and bytes(back[k]["payload"]).decode() == body for k, _, body in pages)
+    counts = spark.createDataFrame([(r["archive"],) for r in back.values()], "archive string").groupBy("archive").count()
+    assert max(r["count"] for r in counts.collect()) <= 20

@@ -2,10 +2,13 @@
 
 Writing.  Every page becomes one WARC/1.1 record in uncompressed archives, written by Spark's
 text writer (a record ends in CRLF CRLF, of which the second is the writer's line end).
+An archive is bounded by records and by bytes: a task's records are counted in units of
+``bytes_per_file / records_per_file`` bytes, at least one each, and the running number of
+units chooses the archive.  It has at most ``bytes_per_file`` bytes and one record more.
 Pages of equal payload are grouped by digest: the smallest key's record is a response
 with the payload, the others are revisits of it without one.
 
-Reading.  A task takes an archive (bounded by ``records_per_file``), looks for the record
+Reading.  A task takes an archive, looks for the record
 magic anywhere, also inside payloads, and emits each candidate with the offset where
 its record would end.  Pointer jumping from offset 0 of each archive, in log2(records)
 joins, keeps the reachable candidates; a magic inside a payload is on no chain.
@@ -31,8 +34,9 @@ from vellum.llm import common as C
 from vellum.session import materialize, scratch_path, ship_package
 
 CRLF = "\r\n"
-#: Bounds an archive, which one task reads whole.
+#: Bound an archive, which one task reads whole.
 RECORDS_PER_FILE = 2000
+BYTES_PER_FILE = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
@@ -54,7 +58,8 @@ def base32_sha1(data: Column) -> Column:
 
 def write_archives(df: DataFrame, path: str, key_col: str = "page_id", url_col: str = "url",
                    payload_col: str = "html", min_revisit_bytes: int = 0,
-                   records_per_file: int = RECORDS_PER_FILE, date: str = DATE) -> None:
+                   records_per_file: int = RECORDS_PER_FILE, date: str = DATE,
+                   bytes_per_file: int = BYTES_PER_FILE) -> None:
     """Write a record per row under ``path`` (any folder that Spark can write)."""
     body = F.coalesce(C.col(payload_col).cast("string"), F.lit(""))
     rows = df.select(C.col(key_col).alias("key"), C.col(url_col).alias("url"), body.alias("body")
@@ -89,8 +94,15 @@ def write_archives(df: DataFrame, path: str, key_col: str = "page_id", url_col:
         F.concat(F.lit("Content-Length: "), F.octet_length(block).cast("string")),
     ]
     record = F.concat(F.concat_ws(CRLF, *fields), F.lit(CRLF + CRLF), block, F.lit(CRLF))
-    (rows.select(record.alias("value")).write.option("lineSep", CRLF)
-     .option("maxRecordsPerFile", records_per_file).text(path))
+    # a row per unit, of which the last one has the record; the rows' numbers in their
+    # partition (the lower 33 bits) are then the running sum
+    unit = max(1, bytes_per_file // records_per_file)
+    units = F.ceil(F.octet_length("value") / F.lit(unit)).cast("int")
+    rows = rows.select(record.alias("value")).select(F.explode_outer(F.transform(
+        F.sequence(F.lit(1), units), lambda k: F.when(k == units, F.col("value")))).alias("value"))
+    number = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    (rows.select(F.floor(number / F.lit(records_per_file)).alias("archive"), "value").where("value IS NOT NULL")
+     .write.partitionBy("archive").option("lineSep", CRLF).text(path))
 
 
 def candidates(data: bytes) -> Iterator[tuple[int, int, dict[str, str], int, int]]:
@@ -134,8 +146,8 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for where, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rows = []
+            for where, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows, data = [], content.as_py()
                 for offset, successor, head, begin, end in candidates(data):
                     kind = head.get("warc-type", "")
                     said = head.get("warc-payload-digest", "").removeprefix("sha1:")
