@@ -304,6 +304,28 @@ def test_secrets_from_given_labels(spark):
     assert got == {"ZZ000000000777": True, "yy-000000000777": False}
 
 
+def test_secrets_inside_addresses_and_without_digits(spark):
+    token, word, bearer = "04dbeb71c9a8e2f6035d4b17", "k9Qz7Lw2Xv5pTr8m", "mFqBxfzjJqMZxkqkQvTabcdz"
+    texts = [(f"see https://api.example.com/v1?user=7&token={token}&x=1 now", token),
+             (f"see api.example.com/v1?token={token}&user=7", token),
+             (f"db: postgres://bob:{word}@host/x and more", word),
+             (f"env:TOKEN={token} end", token),
+             (f"Authorization: Bearer {bearer}", bearer), (f"key {bearer} there", bearer)]
+    df = spark.createDataFrame([(i, x, "src/app.py") for i, (x, _) in enumerate(texts)],
+                               "doc_id long, text string, source string")
+    rows = secret_scan.scan(df, carry=("doc_id",)).collect()
+    for r in rows:
+        text = texts[r["doc_id"]][0]
+        assert text[r["start"]:r["start"] + len(r["candidate"])] == r["candidate"]
+        assert text[:r["start"]].endswith(r["before"]) and text[r["start"] + len(r["candidate"]):].startswith(r["after"])
+    found = {(r["doc_id"], r["candidate"]) for r in rows}
+    assert found >= {(i, x) for i, (_, x) in enumerate(texts)} and len(found) == len(rows)
+    out = {r["doc_id"]: r["text"] for r in secret_scan.redact(df).collect()}
+    assert out[0] == "see https://api.example.com/v1?user=7&token=[SECRET]&x=1 now"
+    for i in (1, 3, 4):  # a run that is accepted as a whole is masked as a whole
+        assert "[SECRET]" in out[i] and texts[i][1] not in out[i]
+
+
 # ---- 5 SimHash ----------------------------------------------------------------------------
 
 

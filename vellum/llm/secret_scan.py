@@ -2,7 +2,9 @@
 
 All in DataFrame functions and pyspark.ml stages; no Python runs on executors.
 
-Candidates are strings after an assignment sign and long strings with a digit.  A random
+Candidates are strings after an assignment sign or the word bearer or basic, and long
+strings with a digit or with mixed case.  A run such as an address also gives its parts as
+candidates (``INNER``): values of a query, a password before a host.  A random
 forest judges each by its length, character transitions, dictionary coverage, the path of
 its document and the neighbouring words, so that account numbers, addresses, identifiers
 and prose are not reported.  It is trained from labelled findings: a table given by the
@@ -39,9 +41,17 @@ THRESHOLD = 0.5
 CONTEXT = 48
 MASK = "[SECRET]"
 
-#: after an assignment sign (with a blank or a quote between), or long and with a digit
+_LONG = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}"
+#: after an assignment sign (with a blank or a quote between) or bearer, or long and with a
+#: digit, or long and twice from lower to upper case
 CANDIDATE = (r"""(?<=[=:]|[=:] |[=:]["']|[=:] ["'])[^\s"'<>,;]{8,}"""
-             r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*[0-9])[A-Za-z0-9+/_-]{12,}={0,2}""")
+             r"""|(?<=\b(?i:bearer|basic) )[^\s"'<>,;]{8,}"""
+             rf"""|{_LONG}"""
+             r"""|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{16})"""
+             r"""(?=[A-Za-z+/_-]{0,200}?[a-z][A-Z][A-Za-z+/_-]{0,200}?[a-z][A-Z])[A-Za-z+/_-]{16,}={0,2}""")
+#: inside a candidate: its head before a separator, what follows a sign, and long strings with a digit
+INNER = (r"^(?!//)[^&#=:?@]{8,}+={0,2}+(?=[&#=:?@])|(?<==)[^&#=:]{8,}={0,2}|(?<=:)(?!//)[^&#=:?@]{8,}={0,2}"
+         rf"|{_LONG}")
 
 #: Words that stand before secrets, and before strings that only look like one.
 SECRET_WORDS = ("password passwd pwd passphrase secret token apikey api_key access_key secret_key "
@@ -67,6 +77,11 @@ SEED_FINDINGS = [
     ("notes", "secret=", "Tr0ub4dor.3kPz91", " in", 1),
     ("deploy.yml", "client_secret: '", "h8Jq2.xV0pLr7sWt5bNc", "'", 1),
     ("mail", "bearer ", "mF9B5f41JqMZx83kQ2vT", " sent", 1),
+    ("src/api.py", "Authorization: Bearer ", "mFqBxfzjJqMZxkqkQvTabcdz", "", 1),
+    ("notes", "//api.example.com/v1?user=7&token=", "04dbeb71c9a8e2f6035d", "&x=1", 1),
+    ("deploy.yml", "db: postgres://app:", "z4Rt9Wq1Lm6Xc3Vb", "@db/x", 1),
+    ("readme", "bearer ", "certificates", " of", 0),
+    ("src/a.js", "call ", "getElementByClassName", " to", 0),
     ("readme", "card ", "4041894974608795", " on file", 0),
     ("readme", "call ", "004915112345678", " now", 0),
     ("readme", "order ", "20240117-000123456", " shipped", 0),
@@ -121,26 +136,54 @@ def with_features(found: DataFrame) -> DataFrame:
                               else v.cast("double") for k, v in features.items()})
 
 
+def _strings(text: Column, pattern: str, before: Column, after: Column) -> Column:
+    """What ``pattern`` finds: candidate, its neighbours in the text, and the gap before it."""
+    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+
+    def one(x: Column, i: Column) -> Column:
+        near = F.concat(F.coalesce(F.get(found, i - 1), before), F.get(gaps, i))
+        then = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), after))
+        return F.struct(x.alias("candidate"), F.right(near, F.lit(CONTEXT)).alias("before"),
+                        F.left(then, F.lit(CONTEXT)).alias("after"), F.length(F.get(gaps, i)).alias("gap"))
+
+    return F.transform(found, one)
+
+
+def _code(number: Column, part: Column) -> Column:
+    return number.cast("long") * F.lit(1 << 32) + part.cast("long")
+
+
 def candidates(df: DataFrame, text_col: str = "text", path_col: str | None = "source",
                carry: tuple[str, ...] = ()) -> DataFrame:
-    """A row per candidate: the carried columns, path, number (from 0), start (characters),
-    before, candidate, after.  Stored, since training and judging both read it.
+    """A row per candidate: the carried columns, path, number (from 0), part (0, or from 1
+    for parts of the candidate), start (characters), before, candidate, after.  Stored,
+    since training and judging both read it.
     """
     text = F.coalesce(C.col(text_col), F.lit(""))
     path = F.coalesce(C.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
-    base = df.where(text.rlike(CANDIDATE)).select(
-        F.monotonically_increasing_id().alias("__row"), *[C.col(c) for c in carry],
-        path.alias("path"), F.split(text, CANDIDATE).alias("gaps"),
-        F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    one = F.transform("found", lambda x, i: F.struct(
-        x.alias("candidate"), F.right(F.get("gaps", i), F.lit(CONTEXT)).alias("before"),
-        F.left(F.get("gaps", i + 1), F.lit(CONTEXT)).alias("after"),
-        F.length(F.get("gaps", i)).alias("gap")))
-    rows = base.select("__row", *[C.col(c) for c in carry], "path", F.posexplode(one).alias("number", "f"))
-    rows = rows.select("__row", *[C.col(c) for c in carry], "path", "number", "f.*")
-    so_far = Window.partitionBy("__row").orderBy("number")
-    start = (F.sum(F.col("gap") + F.length("candidate")).over(so_far) - F.length("candidate")).cast("long")
-    return materialize(rows.withColumn("start", start).drop("__row", "gap"), "secret-candidates")
+    kept = [C.col(c) for c in carry]
+    rows = df.where(text.rlike(CANDIDATE)).select(
+        F.monotonically_increasing_id().alias("__row"), *kept, path.alias("path"),
+        _strings(text, CANDIDATE, F.lit(""), F.lit("")).alias("found"))
+    rows = rows.select("__row", *kept, "path", F.posexplode("found").alias("number", "f"))
+    rows = rows.select("__row", *kept, "path", "number", "f.*")
+    length = F.length("candidate")
+
+    def place(*order: str) -> Column:
+        """Where a string begins behind the gaps and strings before it."""
+        so_far = Window.partitionBy("__row", *order[:-1]).orderBy(order[-1])
+        return (F.sum(F.col("gap") + length).over(so_far) - length).cast("long")
+
+    rows = rows.withColumn("start", place("number"))
+    whole = F.struct("candidate", "before", "after", F.lit(0).alias("gap"))
+    parts = _strings(F.col("candidate"), INNER, F.col("before"), F.col("after"))
+    rows = rows.select("__row", *kept, "path", "number", "start", length.alias("__whole"),
+                       F.posexplode(F.concat(F.array(whole), parts)).alias("part", "f"))
+    rows = rows.select("__row", *kept, "path", "number", "part", "start", "__whole", "f.*")
+    # part 0 is the whole, which the parts do not lie behind
+    inside = place("number", "part") - F.when(F.col("part") > 0, F.col("__whole")).otherwise(F.lit(0))
+    rows = rows.withColumn("start", F.col("start") + inside).where((F.col("part") == 0) | (length < F.col("__whole")))
+    return materialize(rows.drop("__row", "__whole", "gap"), "secret-candidates")
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
@@ -201,7 +244,8 @@ def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "source
            labelled: DataFrame | None = None, mask: str = MASK) -> DataFrame:
     """``df`` with every accepted secret in the text replaced by ``mask``.
 
-    Texts without a secret come back unchanged.  Only texts with one are joined, by a
+    Texts without a secret come back unchanged.  A candidate accepted as a whole is masked
+    whole, else its accepted parts are.  Only texts with one are joined, by a
     128-bit hash of path and text, to the numbers of their secrets.
     """
     key, verdict = C.fresh(df, "__key", "__accepted")
@@ -210,11 +254,20 @@ def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "source
     keyed = df.withColumn(key, F.md5(F.concat_ws("\0", path, F.coalesce(text, F.lit(""))).cast("binary")))
     judged = scan(keyed, text_col, path_col, (key,), labelled).where("accepted")
     secrets = materialize(judged.groupBy(C.col(key).alias("__of"))
-                          .agg(F.array_sort(F.collect_set("number")).alias(verdict)), "secrets")
+                          .agg(F.array_sort(F.collect_set(_code(F.col("number"), F.col("part")))).alias(verdict)),
+                          "secrets")
     joined = keyed.join(secrets, F.col(key) == F.col("__of"), "left")
-    gaps, found = F.split(text, CANDIDATE), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
-    kept = F.transform(found, lambda x, i: F.when(F.array_contains(F.col(verdict), i), F.lit(mask)).otherwise(x))
-    rebuilt = F.array_join(F.flatten(F.zip_with(gaps, kept, lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))), "")
+
+    def masked(string: Column, pattern: str, put) -> Column:
+        gaps, found = F.split(string, pattern), F.regexp_extract_all(string, F.lit(pattern), F.lit(0))
+        pieces = F.zip_with(gaps, F.transform(found, put), lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))
+        return F.array_join(F.flatten(pieces), "")
+
+    def put(number: Column, part: Column, otherwise: Column) -> Column:
+        return F.when(F.array_contains(F.col(verdict), _code(number, part)), F.lit(mask)).otherwise(otherwise)
+
+    rebuilt = masked(text, CANDIDATE, lambda x, i: put(
+        i, F.lit(0), masked(x, INNER, lambda y, k: put(i, k + 1, y))))
     return joined.withColumn(text_col, F.when(F.col(verdict).isNull(), text).otherwise(rebuilt)).select(
         *[C.col(c) for c in df.columns])
 
