@@ -502,3 +502,16 @@ def test_points_within_a_radius(spark):
         rows = simhash.within(fps, radius).collect()
         assert len(rows) == len(set(rows)) == 2 * n
         assert all(((r["fp"] ^ r["point"]) & ((1 << 64) - 1)).bit_count() <= radius for r in rows)
+
+
+def test_growing_tables_are_not_broadcast(spark):
+    """Under the session's default threshold no join of exploded fingerprints is a broadcast."""
+    rng = np.random.default_rng(3)
+    near = [int(x) for x in {0} | {(1 << int(a)) | (1 << int(b)) for a, b in rng.integers(0, 62, (400, 2))}]
+    far = [int(x) for x in rng.integers(-2**62, 2**62, 400)]
+    from vellum.session import materialize
+    fps = materialize(spark.createDataFrame([(x,) for x in set(near + far)], "fp long"), "fps")
+    edges = simhash.links(fps, 4, hot_bucket=50)
+    plan = edges._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert edges.count() > 0

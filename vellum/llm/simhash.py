@@ -21,6 +21,10 @@ value emits instead the points within max_bits // 2 bits of itself; two fingerpr
 such a point exactly if they differ in at most max_bits bits (max_bits even).  That is
 linear in the group, exact, and no fingerprint is capped or dropped.
 
+Every join of a table that grows with the corpus asks for a sort-merge join: the planner's
+size estimate ignores the fan-out of ``explode`` and the width of stored tables in memory,
+so it would broadcast them.
+
 Only distinct fingerprints are joined; copies ride on their fingerprint.  Components come
 from alternating large-star / small-star rounds on tables in the shared folder.
 
@@ -220,21 +224,21 @@ def links(fps: DataFrame, max_bits: int, hot_bucket: int = HOT_BUCKET) -> DataFr
     any_hot = bool(hot.head(1))
     probes = _exploded(fps, parts, probe=True)
     if any_hot:
-        index = index.join(hot, ["part", "value"], "left_anti")
+        index = index.join(hot.hint("merge"), ["part", "value"], "left_anti")
     i, q = index.alias("i"), probes.alias("q")
     near = (F.bit_count(F.col("i.fp").bitwiseXOR(F.col("q.fp"))) <= max_bits)
-    pairs = (q.join(i, (F.col("q.part") == F.col("i.part")) & (F.col("q.value") == F.col("i.value"))
+    pairs = (q.join(i.hint("merge"), (F.col("q.part") == F.col("i.part")) & (F.col("q.value") == F.col("i.value"))
                     & (F.col("i.fp") < F.col("q.fp")) & near)
              .select(F.col("q.fp").alias("a"), F.col("i.fp").alias("b")))
     # the pair may meet with the larger one probing or the smaller one: flips are symmetric,
     # so the larger one's probes reach the smaller one's exact value in either case
     if not any_hot:
         return pairs
-    dense = materialize(probes.join(hot, ["part", "value"], "left_semi").select("fp").distinct(), "dense")
+    dense = materialize(probes.join(hot.hint("merge"), ["part", "value"], "left_semi").select("fp").distinct(), "dense")
     points = within(dense, max_bits // 2)
     least = (points.groupBy("point").agg(F.min("fp").alias("b"), F.max("fp").alias("top"))
              .where(F.col("b") < F.col("top")).select("point", "b"))
-    met = (points.join(least, "point").where(F.col("fp") > F.col("b"))
+    met = (points.join(least.hint("merge"), "point").where(F.col("fp") > F.col("b"))
            .select(F.col("fp").alias("a"), "b").distinct())
     return pairs.unionByName(met)
 
@@ -261,13 +265,14 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         if not inner.agg(F.max(mixed)).first()[0]:
             return current.select("a", F.col("b").alias("root"))
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(
-            F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = (both.where(F.col("b") > F.col("a")).join(least, F.col("a") == F.col("u"))
+        # stored, so that both sides of the join are shuffles and a large star's edges are split
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(
+            F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
+        large = (both.where(F.col("b") > F.col("a")).join(least.hint("merge"), F.col("a") == F.col("u"))
                  .select(F.col("b").alias("a"), F.col("m").alias("b")))
         # small-star: a's neighbours are all smaller than a here
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = (large.join(low, "a").where(F.col("b") != F.col("m"))
+        small = (large.join(low.hint("merge"), "a").where(F.col("b") != F.col("m"))
                  .select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         current = materialize(small, "edges")
@@ -279,7 +284,7 @@ def near_duplicates(df: DataFrame, shingle: int, max_bits: int, key_col: str = "
     """The carried columns, the key, ``fp`` (long) and component_id of every row."""
     keep = (*carry, *([] if key_col in carry else [key_col]))
     docs = materialize(fingerprints(df, shingle, text_col, keep), "fingerprints")
-    return docs.join(classes(docs, max_bits, key_col).drop("root"), "fp")
+    return docs.join(classes(docs, max_bits, key_col).drop("root").hint("merge"), "fp")
 
 
 def classes(docs: DataFrame, max_bits: int, key_col: str) -> DataFrame:
@@ -289,10 +294,10 @@ def classes(docs: DataFrame, max_bits: int, key_col: str) -> DataFrame:
     """
     unique = materialize(docs.groupBy("fp").agg(F.min(C.col(key_col)).alias("least")), "distinct-fp")
     roots = components(links(unique, max_bits))
-    member = unique.join(roots, unique.fp == roots.a, "left").select(
+    member = unique.join(roots.hint("merge"), unique.fp == roots.a, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    return materialize(member.join(smallest, "root").select("fp", "root", "component_id"), "components")
+    return materialize(member.join(smallest.hint("merge"), "root").select("fp", "root", "component_id"), "components")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,12 +52,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     prints = materialize(simhash.fingerprints(keyed, SHINGLE, carry=(a, b, "doc_id")), "row-fingerprints")
     rows = prints.groupBy(a, b).agg(F.first("doc_id").alias("doc_id"), F.first("fp").alias("fp"),
                                     F.count("*").alias("__n"))
-    placed = materialize(rows.join(simhash.classes(prints, MAX_BITS, "doc_id"), "fp"), "placed")
+    placed = materialize(rows.join(simhash.classes(prints, MAX_BITS, "doc_id").hint("merge"), "fp"), "placed")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", a, b)
     first = placed.groupBy("root").agg(F.min(order).alias("first"))
     stays = (F.col(a) == F.col(f"first.{a}")) & (F.col(b) == F.col(f"first.{b}"))
     # what is not simply kept: rows that go, and rows of which equal ones go
-    marked = materialize(placed.join(first, "root").where(~stays | (F.col("__n") > 1))
+    marked = materialize(placed.join(first.hint("merge"), "root").where(~stays | (F.col("__n") > 1))
                          .select(a, b, stays.alias("__repeated")), "near-duplicates")
     # always by a shuffle: the marked rows grow with the corpus
     joined = keyed.join(marked.hint("merge"), [a, b], "left")
