@@ -122,3 +122,14 @@ def test_warc_archives_are_bounded_by_bytes(spark):
     assert all(back[k]["digest_ok"] and bytes(back[k]["payload"]).decode() == body for k, _, body in pages)
     counts = spark.createDataFrame([(r["archive"],) for r in back.values()], "archive string").groupBy("archive").count()
     assert max(r["count"] for r in counts.collect()) <= 20
+
+
+def test_license_scan_is_linear_in_words(spark):
+    """A million words in one text, with a phrase at either end."""
+    import time
+    n = 1_000_000
+    text = "under the mit license " + " ".join(f"w{i % 9973}" for i in range(n)) + " cc by nc"
+    t0 = time.perf_counter()
+    r = licenses.scan(spark.createDataFrame([(text,)], "text string")).first()
+    assert time.perf_counter() - t0 < 60
+    assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (n + 7, 2, 0, n + 4)

@@ -515,3 +515,34 @@ def test_growing_tables_are_not_broadcast(spark):
     plan = edges._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
     assert edges.count() > 0
+
+
+def test_secret_scan_is_linear_in_candidates(spark):
+    """One text of 2,000 and one of 16,000 assignments: found, placed and masked within seconds."""
+    import time
+    took = {}
+    for n in (2_000, 16_000):
+        text = " ".join(f"password={hashlib.md5(str(i).encode()).hexdigest()[:18]}" for i in range(n))
+        df = spark.createDataFrame([(n, text, "src/app.py")], "doc_id long, text string, source string")
+        t0 = time.perf_counter()
+        rows = secret_scan.scan(df, carry=("doc_id",)).select("start", "candidate", "part").collect()
+        masked = secret_scan.redact(df).first()["text"]
+        took[n] = time.perf_counter() - t0
+        assert sum(r["part"] == 0 for r in rows) == n
+        assert all(text[r["start"]:].startswith(r["candidate"]) for r in rows)
+        assert masked.count("password=[SECRET]") > 0.9 * n
+    assert took[16_000] < 60
+
+
+def test_no_text_of_a_candidate_is_stored(spark, tmp_path):
+    from vellum.session import ensure_checkpoint_dir
+    import glob
+    import os
+    secret = "q7Zk2VtB9xLw4RnD8sJf0001"
+    df = spark.createDataFrame([(1, f"password={secret} end", "src/app.py")], "doc_id long, text string, source string")
+    root = ensure_checkpoint_dir(spark).removeprefix("file:")
+    before = set(glob.glob(f"{root}/*"))
+    assert secret not in secret_scan.redact(df).first()["text"]
+    for path in set(glob.glob(f"{root}/*")) - before:
+        for f in glob.glob(f"{path}/*.parquet"):
+            assert secret not in repr(spark.read.parquet(f).collect()), os.path.basename(path)

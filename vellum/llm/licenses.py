@@ -67,12 +67,15 @@ def words(text: Column) -> Column:
 
 
 def _grams(w: Column) -> Column:
-    """Hash of the K words from each position on."""
-    def runs(h: Column) -> Column:
-        return F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]))
+    """Hash of the K words from each position on, and these words."""
+    def runs(b: Column) -> Column:
+        h = F.slice(b["h"], 1, F.greatest(F.size(b["h"]) - (K - 1), F.lit(0)))
+        return F.transform(h, lambda x, i: F.struct(
+            F.xxhash64(x, *[F.get(b["h"], i + j) for j in range(1, K)]).alias("hash"),
+            F.slice(b["w"], i + 1, K).alias("gram")))
 
-    return F.slice(C.let(F.transform(w, lambda x: F.xxhash64(x)), runs), 1,
-                   F.greatest(F.size(w) - (K - 1), F.lit(0)))
+    hashed = C.let(w, lambda x: F.struct(x.alias("w"), F.transform(x, lambda y: F.xxhash64(y)).alias("h")))
+    return C.let(hashed, runs)
 
 
 def template_table(spark: SparkSession, phrases: dict[str, str],
@@ -88,7 +91,7 @@ def template_table(spark: SparkSession, phrases: dict[str, str],
             rows += [(f"{'p' if exact else 's'}:{label}", label, exact, n, t, w[t:t + K]) for t in range(n)]
     table = spark.createDataFrame(rows, "template string, label string, phrase boolean, size int, "
                                         "t int, gram array<string>")
-    return table.withColumn("hash", C.let(F.col("gram"), _grams)[0])
+    return table.withColumn("hash", _grams(F.col("gram"))[0]["hash"])
 
 
 #: A hash that stands for the document itself, so that each one passes the join once.
@@ -106,15 +109,17 @@ def matches(df: DataFrame, templates: DataFrame, text_col: str, carry: tuple[str
         *[F.lit(None).cast(f.dataType).alias(f.name) for f in templates.schema if f.name != "hash"],
         F.xxhash64(F.lit(_SELF)).alias("hash"))
     table = templates.unionByName(own)
+    # a row carries the words of its own run only, so a text costs what it is long
+    itself = F.struct(F.xxhash64(F.lit(_SELF)).alias("hash"), F.lit(None).cast("array<string>").alias("gram"))
     base = df.select(F.monotonically_increasing_id().alias("__doc"), *[C.col(c) for c in carry],
-                     words(C.col(text_col)).alias("__w"))
-    runs = base.select("__doc", *[C.col(c) for c in carry], "__w", F.posexplode(
-        F.concat(_grams(F.col("__w")), F.array(F.xxhash64(F.lit(_SELF))))).alias("p", "__h"))
+                     _grams(words(C.col(text_col))).alias("__g"), F.size(words(C.col(text_col))).alias("__n"))
+    runs = base.select("__doc", *[C.col(c) for c in carry], "__n", F.posexplode(
+        F.concat(F.array(itself), F.col("__g"))).alias("p", "__run"))
+    runs = runs.select("__doc", *[C.col(c) for c in carry], "__n", (F.col("p") - 1).alias("p"),
+                       F.col("__run.hash").alias("__h"), F.col("__run.gram").alias("__words"))
     met = runs.join(F.broadcast(table), F.col("__h") == F.col("hash"))
-    same = F.col("gram").isNull() | (F.slice("__w", F.col("p") + 1, K) == F.col("gram"))
-    itself = F.col("gram").isNull() & (F.col("p") < F.size("__w") - (K - 1))
-    return met.where(same & ~itself).select(
-        "__doc", *[C.col(c) for c in carry], F.size("__w").cast("long").alias("n_words"),
+    return met.where(F.col("gram").eqNullSafe(F.col("__words"))).select(
+        "__doc", *[C.col(c) for c in carry], F.col("__n").cast("long").alias("n_words"),
         "template", "label", "phrase", "size", "t", "p")
 
 

@@ -9,11 +9,13 @@ forest judges each by its length, character transitions, dictionary coverage, th
 its document and the neighbouring words, so that account numbers, addresses, identifiers
 and prose are not reported.  It is trained from labelled findings: a table given by the
 caller, or by default candidates of the scanned table whose form or assignment settles
-the label, together with the built-in ``SEED_FINDINGS``.  At most about ``MAX_TRAINING``
-labelled findings train it, chosen by a hash of the candidate.
+the label, together with the built-in ``SEED_FINDINGS``.  Findings with equal features and
+label train it as one row, weighted by how many they are (at most ``MAX_WEIGHT``); at most
+about ``MAX_TRAINING`` such rows, chosen by a hash, are used.  No string of a text is stored:
+training keeps features and labels only, and judging reads the texts again.
 
-``redact`` replaces accepted secrets in the texts.  Equal texts on equal paths are scanned
-once there, by a 128-bit key, so large groups of copies cost one scan.
+``redact`` replaces accepted secrets in the texts.  The verdicts of equal texts on equal paths
+are one row there, by a 128-bit key.  All work on a text is linear in its candidates.
 
 Defined results: null text has no findings; a null path counts as ''; repeated rows give
 repeated findings; an empty table gives an empty result (the forest is then trained from
@@ -36,6 +38,8 @@ TREES = 20
 DEPTH = 6
 SEED = 7
 MAX_TRAINING = 20_000
+#: Weight of a training row at most, so that a passage repeated everywhere does not decide alone.
+MAX_WEIGHT = 10
 THRESHOLD = 0.5
 #: Characters kept on either side of a candidate, for the neighbouring words.
 CONTEXT = 48
@@ -137,27 +141,31 @@ def with_features(found: DataFrame) -> DataFrame:
 
 
 def _strings(text: Column, pattern: str, before: Column, after: Column) -> Column:
-    """What ``pattern`` finds: candidate, its neighbours in the text, and the gap before it."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern)
+    """What ``pattern`` finds: candidate, its neighbours in the text, and the gap before it.
 
-    def one(x: Column, i: Column) -> Column:
-        near = F.concat(F.coalesce(F.get(found, i - 1), before), F.get(gaps, i))
-        then = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), after))
-        return F.struct(x.alias("candidate"), F.right(near, F.lit(CONTEXT)).alias("before"),
-                        F.left(then, F.lit(CONTEXT)).alias("after"), F.length(F.get(gaps, i)).alias("gap"))
+    What is found is bound once for the text, not searched again for each candidate.
+    """
+    both = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found"),
+                    F.split(text, pattern).alias("gaps"))
+
+    def every(b: Column) -> Column:
+        found, gaps = b["found"], b["gaps"]
 
-    return F.transform(found, one)
+        def one(x: Column, i: Column) -> Column:
+            near = F.concat(F.coalesce(F.get(found, i - 1), before), F.get(gaps, i))
+            then = F.concat(F.get(gaps, i + 1), F.coalesce(F.get(found, i + 1), after))
+            return F.struct(x.alias("candidate"), F.right(near, F.lit(CONTEXT)).alias("before"),
+                            F.left(then, F.lit(CONTEXT)).alias("after"), F.length(F.get(gaps, i)).alias("gap"))
 
+        return F.transform(found, one)
 
-def _code(number: Column, part: Column) -> Column:
-    return number.cast("long") * F.lit(1 << 32) + part.cast("long")
+    return C.let(both, every)
 
 
 def candidates(df: DataFrame, text_col: str = "text", path_col: str | None = "source",
                carry: tuple[str, ...] = ()) -> DataFrame:
     """A row per candidate: the carried columns, path, number (from 0), part (0, or from 1
-    for parts of the candidate), start (characters), before, candidate, after.  Stored,
-    since training and judging both read it.
+    for parts of the candidate), start (characters), before, candidate, after.
     """
     text = F.coalesce(C.col(text_col), F.lit(""))
     path = F.coalesce(C.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
@@ -183,7 +191,7 @@ def candidates(df: DataFrame, text_col: str = "text", path_col: str | None = "so
     # part 0 is the whole, which the parts do not lie behind
     inside = place("number", "part") - F.when(F.col("part") > 0, F.col("__whole")).otherwise(F.lit(0))
     rows = rows.withColumn("start", F.col("start") + inside).where((F.col("part") == 0) | (length < F.col("__whole")))
-    return materialize(rows.drop("__row", "__whole", "gap"), "secret-candidates")
+    return rows.drop("__row", "__whole", "gap")
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
@@ -206,19 +214,21 @@ def seed_findings(spark: SparkSession) -> DataFrame:
 
 def train(labelled: DataFrame, trees: int = TREES, depth: int = DEPTH,
           most: int = MAX_TRAINING) -> PipelineModel:
-    """Fit the forest to labelled findings (columns ``FEATURES``, candidate and label).
+    """Fit the forest to labelled findings (columns ``FEATURES`` and label).
 
-    The sample is bounded by ``most`` and laid out by a hash, so that the same findings give
-    the same forest whatever their partitions were.
+    Findings with equal features and label are one weighted row.  The sample of these rows is
+    bounded by ``most`` and laid out by a hash, so that the same findings give the same forest
+    whatever their partitions were.
     """
     spark = labelled.sparkSession
-    n = max(1, labelled.count())
-    pick = F.pmod(F.xxhash64("candidate", "before"), F.lit(1 << 30)) < most / n * (1 << 30)
-    rows = labelled.where(pick).select("label", *FEATURES)
-    rows = rows.unionByName(seed_findings(spark).select("label", *FEATURES))
+    rows = labelled.select("label", *FEATURES).unionByName(seed_findings(spark).select("label", *FEATURES))
+    rows = materialize(rows.groupBy("label", *FEATURES).agg(
+        F.least(F.count("*"), F.lit(MAX_WEIGHT)).cast("double").alias("__weight")), "secret-training")
+    n = max(1, rows.count())
+    rows = rows.where(F.pmod(F.xxhash64("label", *FEATURES), F.lit(1 << 30)) < most / n * (1 << 30))
     rows = rows.repartition(4, "label", *FEATURES).sortWithinPartitions("label", *FEATURES)
     gather = VectorAssembler(inputCols=FEATURES, outputCol="__features", handleInvalid="keep")
-    forest = RandomForestClassifier(featuresCol="__features", labelCol="label", numTrees=trees,
+    forest = RandomForestClassifier(featuresCol="__features", labelCol="label", weightCol="__weight", numTrees=trees,
                                     maxDepth=depth, seed=SEED, probabilityCol="__probability",
                                     predictionCol="__prediction", rawPredictionCol="__raw")
     model = forest.fit(gather.transform(rows))
@@ -236,6 +246,7 @@ def scan(df: DataFrame, text_col: str = "text", path_col: str | None = "source",
          carry: tuple[str, ...] = (), labelled: DataFrame | None = None) -> DataFrame:
     """Judged candidates of every whole text."""
     found = with_features(candidates(df, text_col, path_col, carry))
+    # training stores features and labels only; judging searches the texts again
     model = train(weak_labels(found) if labelled is None else labelled)
     return judge(found, model)
 
@@ -246,28 +257,35 @@ def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "source
 
     Texts without a secret come back unchanged.  A candidate accepted as a whole is masked
     whole, else its accepted parts are.  Only texts with one are joined, by a
-    128-bit hash of path and text, to the numbers of their secrets.
+    128-bit hash of path and text, to the verdicts on their candidates: an array with the
+    accepted parts of each, in the candidates' order, so that each is looked up by its place.
     """
     key, verdict = C.fresh(df, "__key", "__accepted")
     path = F.coalesce(C.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     text = C.col(text_col)
     keyed = df.withColumn(key, F.md5(F.concat_ws("\0", path, F.coalesce(text, F.lit(""))).cast("binary")))
-    judged = scan(keyed, text_col, path_col, (key,), labelled).where("accepted")
-    secrets = materialize(judged.groupBy(C.col(key).alias("__of"))
-                          .agg(F.array_sort(F.collect_set(_code(F.col("number"), F.col("part")))).alias(verdict)),
-                          "secrets")
-    joined = keyed.join(secrets, F.col(key) == F.col("__of"), "left")
+    judged = scan(keyed, text_col, path_col, (key,), labelled).select(
+        C.col(key).alias("__of"), "number", F.when(F.col("accepted"), F.col("part")).alias("part"))
+    each = judged.groupBy("__of", "number").agg(F.collect_set("part").alias("parts"))
+    one = each.groupBy("__of").agg(F.array_sort(F.collect_list(F.struct("number", "parts"))).alias(verdict))
+    secrets = materialize(one.where(F.exists(verdict, lambda v: F.size(v["parts"]) > 0))
+                          .withColumn(verdict, F.col(verdict)["parts"]), "secrets")
+    joined = keyed.join(secrets.hint("merge"), F.col(key) == F.col("__of"), "left")
 
     def masked(string: Column, pattern: str, put) -> Column:
         gaps, found = F.split(string, pattern), F.regexp_extract_all(string, F.lit(pattern), F.lit(0))
         pieces = F.zip_with(gaps, F.transform(found, put), lambda g, x: F.array(g, F.coalesce(x, F.lit(""))))
         return F.array_join(F.flatten(pieces), "")
 
-    def put(number: Column, part: Column, otherwise: Column) -> Column:
-        return F.when(F.array_contains(F.col(verdict), _code(number, part)), F.lit(mask)).otherwise(otherwise)
+    def put(parts: Column, part: Column, otherwise: Column) -> Column:
+        return F.when(F.array_contains(parts, part), F.lit(mask)).otherwise(otherwise)
+
+    def candidate(x: Column, i: Column) -> Column:
+        parts = F.get(C.col(verdict), i)
+        inner = masked(x, INNER, lambda y, k: put(parts, k + 1, y))
+        return F.when(F.size(parts) == 0, x).otherwise(put(parts, F.lit(0), inner))
 
-    rebuilt = masked(text, CANDIDATE, lambda x, i: put(
-        i, F.lit(0), masked(x, INNER, lambda y, k: put(i, k + 1, y))))
+    rebuilt = masked(text, CANDIDATE, candidate)
     return joined.withColumn(text_col, F.when(F.col(verdict).isNull(), text).otherwise(rebuilt)).select(
         *[C.col(c) for c in df.columns])
 
