@@ -11,8 +11,8 @@ and prose are not reported.  It is trained from labelled findings: a table given
 caller, or by default candidates of the scanned table whose form or assignment settles
 the label, together with the built-in ``SEED_FINDINGS``.  Findings with equal features and
 label train it as one row, weighted by how many they are (at most ``MAX_WEIGHT``); at most
-about ``MAX_TRAINING`` such rows, chosen by a hash, are used.  No string of a text is stored:
-training keeps features and labels only, and judging reads the texts again.
+about ``MAX_TRAINING`` such rows, chosen by a hash, are used.  No string of a text is stored,
+only features, places and hashes (``scan``).
 
 ``redact`` replaces accepted secrets in the texts.  The verdicts of equal texts on equal paths
 are one row there, by a 128-bit key.  All work on a text is linear in its candidates.
@@ -194,8 +194,8 @@ def candidates(df: DataFrame, text_col: str = "text", path_col: str | None = "so
     return rows.drop("__row", "__whole", "gap")
 
 
-def weak_labels(found: DataFrame) -> DataFrame:
-    """Candidates whose form or assignment settles the label (1 secret, 0 not)."""
+def weak_label() -> Column:
+    """The label that a candidate's form or assignment settles (1 secret, 0 not), else null."""
     c, before = F.col("candidate"), F.col("before")
     varied = (F.col("distinct") * F.col("length") >= 6) & (F.col("digits") > 0)
     secret = c.rlike("^AKIA[0-9A-Z]{16}$") | (
@@ -203,7 +203,13 @@ def weak_labels(found: DataFrame) -> DataFrame:
         & (F.col("coverage") < 0.3))
     harmless = (F.col("numeric") == 1) | (F.col("coverage") >= 0.6) | (
         (F.col("digits") == 0) & (F.col("alternations") >= 0.4)) | c.rlike("(?i)example|x{6,}|\\*{4,}")
-    return found.withColumn("label", F.when(harmless, 0.0).when(secret, 1.0)).where("label IS NOT NULL")
+    return F.when(harmless, 0.0).when(secret, 1.0)
+
+
+def weak_labels(found: DataFrame) -> DataFrame:
+    """Candidates whose label is settled (a column ``label`` is taken as it is)."""
+    labelled = found if "label" in found.columns else found.withColumn("label", weak_label())
+    return labelled.where("label IS NOT NULL")
 
 
 def seed_findings(spark: SparkSession) -> DataFrame:
@@ -243,12 +249,21 @@ def judge(found: DataFrame, model: PipelineModel, threshold: float = THRESHOLD)
 
 
 def scan(df: DataFrame, text_col: str = "text", path_col: str | None = "source",
-         carry: tuple[str, ...] = (), labelled: DataFrame | None = None) -> DataFrame:
-    """Judged candidates of every whole text."""
+         carry: tuple[str, ...] = (), labelled: DataFrame | None = None, strings: bool = True) -> DataFrame:
+    """Judged candidates of every whole text.
+
+    With ``strings`` the texts are searched again after training and the result holds the
+    candidates and their neighbours.  Without, one search stores features, places, lengths
+    and SHA-256 of the candidates, which are then judged; no string of a text is kept.
+    """
     found = with_features(candidates(df, text_col, path_col, carry))
-    # training stores features and labels only; judging searches the texts again
+    if not strings:
+        found = materialize(found.select(
+            *[C.col(c) for c in carry], "number", "part", "start", F.length("candidate").alias("length_chars"),
+            F.sha2("candidate", 256).alias("candidate_sha256"), *FEATURES, weak_label().alias("label")),
+            "secret-features")
     model = train(weak_labels(found) if labelled is None else labelled)
-    return judge(found, model)
+    return judge(found.drop("label") if not strings else found, model)
 
 
 def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "source",
@@ -264,7 +279,7 @@ def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "source
     path = F.coalesce(C.col(path_col).cast("string"), F.lit("")) if path_col else F.lit("")
     text = C.col(text_col)
     keyed = df.withColumn(key, F.md5(F.concat_ws("\0", path, F.coalesce(text, F.lit(""))).cast("binary")))
-    judged = scan(keyed, text_col, path_col, (key,), labelled).select(
+    judged = scan(keyed, text_col, path_col, (key,), labelled, strings=False).select(
         C.col(key).alias("__of"), "number", F.when(F.col("accepted"), F.col("part")).alias("part"))
     each = judged.groupBy("__of", "number").agg(F.collect_set("part").alias("parts"))
     one = each.groupBy("__of").agg(F.array_sort(F.collect_list(F.struct("number", "parts"))).alias(verdict))
@@ -293,6 +308,5 @@ def redact(df: DataFrame, text_col: str = "text", path_col: str | None = "source
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate of every document, its score and whether it is reported."""
     docs = C.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return scan(docs, carry=("doc_id",)).select(
-        "doc_id", "start", F.length("candidate").cast("long").alias("length"),
-        F.sha2("candidate", 256).alias("candidate_sha256"), F.round("score", 6).alias("score"), "accepted")
+    return scan(docs, carry=("doc_id",), strings=False).select(
+        "doc_id", "start", F.col("length_chars").cast("long").alias("length"), "candidate_sha256", F.round("score", 6).alias("score"), "accepted")
