@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from vellum.llm import bpe, langid, licenses, main_text, merkle, packing, quality, secret_scan, simhash, warc
+from vellum.llm import (bpe, divergence, langid, licenses, main_text, merkle, packing, quality, secret_scan,
+                        simhash, variants, warc)
 
 QUERIES = {
     "op1_main_text": main_text.op1_main_text,
@@ -15,10 +16,13 @@ QUERIES = {
     "op8_fingerprints": merkle.op8_fingerprints,
     "op9_byte_bpe": bpe.op9_byte_bpe,
     "op10_warc": warc.op10_warc,
+    "op11_spelling_variants": variants.op11_spelling_variants,
+    "op12_divergence": divergence.op12_divergence,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op6_license_scan": licenses.ORACLE_SQL,
     "op7_quality_rules": quality.ORACLE_SQL,
     "op10_warc": warc.ORACLE_SQL,
+    "op12_divergence": divergence.ORACLE_SQL,
 }
