@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from vellum.llm import (bpe, divergence, langid, licenses, main_text, merkle, packing, quality, secret_scan,
-                        simhash, variants, warc)
+                        simhash, suffix_dedup, variants, warc)
 
 QUERIES = {
     "op1_main_text": main_text.op1_main_text,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_warc": warc.op10_warc,
     "op11_spelling_variants": variants.op11_spelling_variants,
     "op12_divergence": divergence.op12_divergence,
+    "op13_suffix_dedup": suffix_dedup.op13_suffix_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
