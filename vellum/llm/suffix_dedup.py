@@ -53,9 +53,9 @@ SHALLOW = 32
 HOT_SEGMENTS = 4096
 #: Starts that are hashed at once, and segments after which a task collapses what it has.
 SLICE = 1 << 18
-HELD = 1 << 18
+HELD = 1 << 17
 #: Bytes of segments that are sorted at once.
-SORTED = 1 << 22
+SORTED = 1 << 20
 #: Bytes of texts and segments that one batch hands on.
 HANDED = 1 << 24
 _NO_KEY = (1 << 63) - 1
