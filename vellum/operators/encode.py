@@ -7,7 +7,8 @@ below ``spark.sql.autoBroadcastJoinThreshold``, else AQE handles hot labels.
 
 Multi-label vocabularies (E4) come in two forms: a fitted ``CountVectorizerModel``, whose
 vocabulary is on the driver and therefore bounded by ``max_classes``, and
-``multi_hot_codes``, sparse slots by a join to a code table of any size.
+``multi_hot_codes``, sparse slots by a join to a code table of any size, which
+``sparse_vectors`` turns into the vectors that a forest reads.
 
 Unseen-label policies, one per reference encoder:
 
@@ -21,10 +22,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from vellum.session import materialize
+from vellum.session import materialize, scratch_path
 
 #: Most classes that are gathered into a driver-side vocabulary; more is an error.
 MAX_CLASSES = 1_000_000
@@ -204,6 +207,33 @@ def multi_hot_codes(df: DataFrame, codes: DataFrame, key: str, col: str, out: st
             .drop("__row", "__slots"))
 
 
+def sparse_vectors(df: DataFrame, slots: str, size: int, out: str) -> DataFrame:
+    """``df`` with slots of ones as an ML sparse vector column, built in the JVM; stored.
+
+    A vector is stored as (type, size, indices, values), and read back under the vector type,
+    so no row passes Python and no vocabulary the driver.
+    """
+    parts = F.struct(F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col(slots).alias("indices"),
+                     F.transform(slots, lambda _: F.lit(1.0)).alias("values"))
+    stored = df.withColumn(out, parts)
+    path = scratch_path(df.sparkSession, "vectors")
+    stored.write.parquet(path)
+    fields = [T.StructField(out, VectorUDT()) if f.name == out else f for f in stored.schema.fields]
+    return df.sparkSession.read.schema(T.StructType(fields)).parquet(path)
+
+
+def fit_multi_hot_vectors(df: DataFrame, key: str, col: str, out: str) -> tuple[DataFrame, DataFrame]:
+    """(``df`` with the presence vector of ``col``, its stored code table), any vocabulary."""
+    codes = fit_code_table(df, col, multi=True)
+    slots = multi_hot_codes(df, codes, key, col, "__slots_of")
+    return sparse_vectors(slots, "__slots_of", max(1, codes.count()), out).drop("__slots_of"), codes
+
+
+def slot_names(codes: DataFrame, prefix: str, first_slot: int = 0) -> DataFrame:
+    """E5 as a table: ``(slot, name)`` of the vector block that a code table stands for."""
+    return codes.select((F.col("code") + first_slot).alias("slot"), F.concat(F.lit(prefix), "value").alias("name"))
+
+
 def feature_names(prefix: str, classes: Sequence[str]) -> list[str]:
     """E5: ``prefix + class`` for every slot, in vector order."""
     return [f"{prefix}{c}" for c in classes]
