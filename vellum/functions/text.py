@@ -113,14 +113,35 @@ def sentence_stats(text: str | Column, min_words: int = MIN_SENTENCE_WORDS,
 
 
 # --- P9 / T5 - T9 -----------------------------------------------------------
+#: Prefix lists longer than this are looked up by length instead of chained.
+CHAINED_PREFIXES = 32
+
+
 def starts_with_any(line: Column, prefixes: Sequence[str]) -> Column:
-    """OR of ``startswith`` over a prefix list (false for an empty list)."""
+    """Whether a line begins with one of the prefixes (false for an empty list).
+
+    A few are an OR of ``startswith``.  Many are one set lookup per distinct prefix length: the
+    line's first characters in a hash set, however many prefixes have that length.
+    """
+    if len(prefixes) > CHAINED_PREFIXES:
+        return starts_with_set(line, prefixes)
     cond = F.lit(False)
     for p in prefixes:
         cond = cond | line.startswith(p)
     return cond
 
 
+def starts_with_set(line: Column, prefixes: Sequence[str]) -> Column:
+    """The same by hash lookup of the line's first characters, one for each prefix length."""
+    by_length: dict[int, list[str]] = {}
+    for p in sorted(set(prefixes)):
+        by_length.setdefault(len(p), []).append(p)
+    cond = F.lit(False)
+    for n, group in sorted(by_length.items()):
+        cond = cond | (line.isNotNull() if n == 0 else F.substring(line, 1, n).isin(group))
+    return F.when(line.isNotNull(), cond)
+
+
 def lines(text: str | Column) -> Column:
     """Split on ``\\n`` exactly; empty lines kept."""
     return F.split(col_(text), "\n", -1)

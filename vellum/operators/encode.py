@@ -15,6 +15,8 @@ Unseen-label policies, one per reference encoder:
 * ``"error"``   - E1/E2: the job fails on an unseen or null label.
 * ``"default"`` - E3: unseen and null labels get ``default`` (-1).
 * multi-hot (E4) silently ignores unseen elements and collapses duplicates.
+
+``transform(observation=...)`` counts unseen and null labels in the scoring pass itself.
 """
 
 from __future__ import annotations
@@ -23,7 +25,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import VectorUDT
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,15 +102,31 @@ class LabelEncoderModel:
             return self.codes.select("value", "code")
         return code_table(spark, self.classes)
 
-    def transform(self, df: DataFrame) -> DataFrame:
+    def transform(self, df: DataFrame, observation: Observation | None = None) -> DataFrame:
+        """The codes; an ``observation`` gets rows, unseen (not null) and null labels of the pass.
+
+        It is filled by the first action on the result, without a job of its own.
+        """
         codes = self.code_table(df.sparkSession)
+        if observation is not None:
+            label, unseen = F.col(self.col), F.col("__code").isNull()
+            joined = _joined(df, codes, self.col).observe(
+                observation, F.count("*").alias("rows"), F.count_if(unseen & label.isNotNull()).alias("unseen"),
+                F.count_if(label.isNull()).alias("nulls"))
+            if self.on_unseen == "default":
+                return joined.withColumn(self.out, F.coalesce("__code", F.lit(self.default)).cast("int")).drop(
+                    "__k", "__code")
+            return self._checked(joined)
         if self.on_unseen == "default":
             return lookup_codes(df, codes, self.col, self.out, self.default)
+        return self._checked(_joined(df, codes, self.col))
+
+    def _checked(self, joined: DataFrame) -> DataFrame:
         label = F.col(self.col).cast("string")
         code = F.when(F.col("__code").isNull(), F.raise_error(F.concat(
             F.lit(f"unseen or null label in {self.col}: "),
             F.coalesce(label, F.lit("NULL"))))).otherwise(F.col("__code"))
-        return _joined(df, codes, self.col).withColumn(self.out, code.cast("int")).drop("__k", "__code")
+        return joined.withColumn(self.out, code.cast("int")).drop("__k", "__code")
 
     def save(self, spark: SparkSession, path: str) -> None:
         """The code table, and a one-row table of the settings (an encoder may have no class)."""
@@ -124,6 +142,18 @@ class LabelEncoderModel:
                    codes=spark.read.parquet(f"{path}/codes"))
 
 
+def observed_multi_hot(df: DataFrame, classes: Sequence[str], col: str, observation: Observation) -> DataFrame:
+    """``df``, with its elements outside ``classes`` counted in the pass that reads it next.
+
+    The reference's encoder warns of them; the counts are ``elements`` and ``unseen``
+    (distinct within a row, as the encoder sees them).
+    """
+    held = F.array_distinct(F.coalesce(F.col(col), F.array().cast("array<string>")))
+    known = F.filter(held, lambda x: x.isin(list(classes)))
+    return df.observe(observation, F.sum(F.size(held)).alias("elements"),
+                      F.sum(F.size(held) - F.size(known)).alias("unseen"))
+
+
 def fit_label_encoder(df: DataFrame, col: str, out: str | None = None,
                       on_unseen: str = "error", default: int = -1) -> LabelEncoderModel:
     """A2 + E1 / E3 fit: the distinct labels coded distributed, stored once."""

@@ -1113,3 +1113,8 @@ ORACLE_SQL: dict[str, str] = {
     "article_forest": SQL_ARTICLE_FOREST,
     "csv_roundtrip": SQL_CSV_ROUNDTRIP,
 }
+
+from vellum.plans import catalog_tables  # noqa: E402  (it reads this module's SQL parts)
+
+QUERIES.update(catalog_tables.QUERIES)
+ORACLE_SQL.update(catalog_tables.oracle_sql(SQL_FEATURE_SELECT))
