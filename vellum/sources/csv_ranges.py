@@ -50,12 +50,15 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def range_parities(lines: DataFrame) -> DataFrame:
-    """(file, range, inside): whether a range starts inside quotes; one row per range, stored."""
+    """(file, range, inside, crlf): whether a range starts inside quotes, and whether its file's
+    lines end in \\r\\n (as its first one does); one row per range, stored."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    own = lines.groupBy("file", "range").agg((F.sum(quotes) % 2).alias("odd"))
+    own = lines.groupBy("file", "range").agg((F.sum(quotes) % 2).alias("odd"), F.first("value").alias("line"))
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    return materialize(own.select("file", "range", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1)
-                                  .alias("inside")), "csv-ranges")
+    whole = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return materialize(own.select(
+        "file", "range", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"),
+        F.first("line").over(whole).endswith("\r").alias("crlf")), "csv-ranges")
 
 
 #: kinds of rows: a whole record; the open end of a range; lines that go on with or close a record
@@ -72,7 +75,7 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     parity = range_parities(lines).withColumnsRenamed({"file": "__file", "range": "__range"})
     # one row per range: the lines stay where they are
     known = lines.join(F.broadcast(parity), (F.col("file") == F.col("__file")) & (F.col("range") == F.col("__range")),
-                       "left").select("value", "file", "range", F.when(
+                       "left").select("value", "file", "range", "crlf", F.when(
                            F.col("inside").isNull(), F.raise_error(F.lit("ranges changed between two reads")))
                        .otherwise(F.col("inside")).alias("inside"))
     ship_package(spark)
@@ -89,11 +92,13 @@ def records(spark: SparkSession, path: str) -> DataFrame:
 
         for batch in batches:
             out = []
-            for value, file, start, within in zip(*(c.to_pylist() for c in batch.columns)):
+            for value, file, start, crlf, within in zip(*(c.to_pylist() for c in batch.columns)):
                 if place != (file, start):
                     if held:
                         out.append(piece(MORE if head else OPEN))
                     place, held, inside, head, number = (file, start), [], within, within, 0
+                if crlf:  # \r\n is one line break, which the reader of whole files turns into \n
+                    value = value.removesuffix("\r")
                 if value.count('"') % 2:
                     inside = not inside
                 held.append(value)
@@ -134,10 +139,8 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     pieces = records(spark, path)
     whole = pieces.where(F.col("kind") == WHOLE).select("file", "range", "number", "record")
     every = whole.unionByName(_joined(pieces))
-    # a file's first record is its header; empty lines are no records; \r\n is one line break,
-    # which Spark's reader of whole files turns into \n
-    body = every.where((F.col("range") > 0) | (F.col("number") > 0)).select(
-        F.replace(F.regexp_replace("record", "\r$", ""), F.lit("\r\n"), F.lit("\n")).alias("record")).where("record <> ''")
+    # a file's first record is its header; empty lines are no records
+    body = every.where((F.col("range") > 0) | (F.col("number") > 0)).where("record <> ''")
     fields = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(len(columns))])
     parsed = body.select(F.from_csv("record", fields.simpleString()[7:-1].replace(":", " "), PLAIN_VALUES).alias("r"))
     return parsed.select(*[F.col(f"r.c{i}").alias(c) for i, c in enumerate(columns)])
