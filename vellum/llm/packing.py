@@ -60,13 +60,19 @@ class WordEncoder(dict):
     normaliser works character by character, so a text's ids are those of its
     space-separated words in turn.  Each distinct word is encoded by the library once and
     remembered as an index into flat arrays; a text is then one gather.
+
+    A special token's own string in a text becomes its id, as the library's plain call does;
+    with ``special_as_text`` it is ordinary text and cannot forge a control token.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
         super().__init__()
         from tokenizers import Tokenizer
         self._tok = Tokenizer.from_file(path)
-        self._tok.encode_special_tokens = True  # their strings in a text are ordinary text
+        self._tok.encode_special_tokens = special_as_text
+        added = [] if special_as_text else self._tok.get_added_tokens_decoder().values()
+        # found in the text before it is normalised, so their letters' case counts
+        self._special = [t.content for t in added if not t.normalized]
         self._model = self._tok.model
         self._cores: dict[str, list[int]] = {}
         self.forget()
@@ -98,6 +104,18 @@ class WordEncoder(dict):
             return self._add(word, [t.id for t in self._model.tokenize(word)])
         return self._add(word, self._tok.encode(word, add_special_tokens=False).ids)
 
+    def _lower(self, text: str) -> str:
+        """Lower case, which only saves distinct words.
+
+        Beyond these letters the normaliser does it (it knows no final sigma), and so it does
+        where lower-casing makes a special token of what is none.
+        """
+        if not text.isascii() and max(text) >= "ɐ":
+            return text
+        low = text.lower()
+        same = all(low.count(t) == text.count(t) for t in self._special)
+        return low if same else text
+
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of every text as unsigned 32-bit numbers.
 
@@ -105,9 +123,7 @@ class WordEncoder(dict):
         """
         if len(self) > CACHE_WORDS:
             self.forget()
-        # Lower-casing here only saves distinct words; beyond these letters the
-        # normaliser does it (it knows no final sigma).
-        texts = [x.lower() if x.isascii() or max(x) < "ɐ" else x for x in texts]
+        texts = [self._lower(x) for x in texts]
         parts = pc.split_pattern(pa.array([x.replace("\n", " ") for x in texts],
                                           pa.large_string()), " ")
         coded = parts.values.dictionary_encode()
@@ -135,17 +151,18 @@ class WordEncoder(dict):
 
 
 @functools.lru_cache(maxsize=2)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, special_as_text: bool = False) -> WordEncoder:
     """Cached per worker process; the path must exist on every executor."""
-    return WordEncoder(path)
+    return WordEncoder(path, special_as_text)
 
 
 def token_pieces(df: DataFrame, tokenizer_path: str, text_col: str = "text",
                  carry: tuple[str, ...] = (), capacity: int = CAPACITY,
-                 separator: int = SEPARATOR, with_ids: bool = False, remember: bool = True) -> DataFrame:
+                 separator: int = SEPARATOR, with_ids: bool = False, remember: bool = True,
+                 special_as_text: bool = False) -> DataFrame:
     """One row per piece: the carried columns, piece, start, length, ids_crc32 (and ids).
 
-    With ``remember`` a worker keeps the words it has seen for its next task (about 100 MB);
+    ``special_as_text``: a text that holds a special token's string does not get its id. With ``remember`` a worker keeps the words it has seen for its next task (about 100 MB);
     without, it also encodes in smaller batches.
     ``ids_crc32`` is the CRC-32 of the ids as little-endian unsigned 32-bit numbers.
     """
@@ -156,7 +173,7 @@ def token_pieces(df: DataFrame, tokenizer_path: str, text_col: str = "text",
     names = [f.name for f in schema.fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = word_encoder(tokenizer_path)
+        enc = word_encoder(tokenizer_path, special_as_text)
         end = np.array([separator], np.uint32)
         for batch in batches:
             row, piece, start, length, crc, out = [], [], [], [], [], []
@@ -240,14 +257,14 @@ def pack(pieces: DataFrame, length_col: str = "length", capacity: int = CAPACITY
 
 def pack_documents(df: DataFrame, tokenizer_path: str, text_col: str = "text",
                    carry: tuple[str, ...] = (), capacity: int = CAPACITY,
-                   remember: bool = True) -> DataFrame:
+                   remember: bool = True, special_as_text: bool = False) -> DataFrame:
     """Tokenise, cut and pack: one row per piece with its sequence and offset.
 
     Tokenising is the dear part, so the pieces (a few numbers each) are written once to
     the shared folder and packed from there.
     """
     stored = materialize(token_pieces(df, tokenizer_path, text_col, carry, capacity,
-                                      remember=remember), "pieces")
+                                      remember=remember, special_as_text=special_as_text), "pieces")
     return pack(stored, capacity=capacity)
 
 
