@@ -11,8 +11,8 @@ n-grams) the training texts and their beginnings give a low quantile of the cosi
 own language; a text below ``REJECT_SHARE`` of it is too far from every centroid and is
 marked ``rejected``.
 
-Training uses at most about ``SAMPLE_PER_LANG`` texts per language, chosen by a hash of the
-key; the model is languages x ``CLUSTERS`` x ``DIMENSIONS`` numbers, and is all that passes
+Training uses at most about ``SAMPLE_PER_LANG`` texts per language, chosen by a hash of
+key and text, repeated rows counted once; the model is languages x ``CLUSTERS`` x ``DIMENSIONS`` numbers, and is all that passes
 the driver.  Prediction reads every whole text once, with no shuffle.
 
 Defined results: null text or text without a letter is ``und`` with score 0 and rejected;
@@ -109,16 +109,22 @@ def held_out(key: Column) -> Column:
 
 def sample(df: DataFrame, key_col: str, text_col: str, lang_col: str,
            per_lang: int = SAMPLE_PER_LANG) -> DataFrame:
-    """(lang, raw): about ``per_lang`` labelled training texts of each language, stored."""
-    lang, key = C.col(lang_col), C.col(key_col)
+    """(lang, raw): about ``per_lang`` different labelled training texts of each language, stored.
+
+    Rows of one key and text are one; which are taken depends on a hash of both, so rows that
+    share a key (or have none) are taken or left each on its own.  A language with fewer
+    gives all it has.
+    """
+    lang, key, mark = C.col(lang_col), C.col(key_col), F.col("mark")
     usable = lang.isNotNull() & C.col(text_col).isNotNull() & training_rows(key)
-    rows = df.where(usable)
+    rows = df.where(usable).select(lang.alias("l"), F.xxhash64(key, C.col(text_col), F.lit("langid")).alias("mark"),
+                                   C.text_bytes(text_col).alias("raw"))
     # stored, so that the planner knows how small it is and the texts are not moved
-    sizes = materialize(rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")), "languages")
-    picked = F.pmod(F.xxhash64(key, F.lit("langid")), F.lit(1 << 30)) < per_lang / F.col("n") * (1 << 30)
-    return materialize(rows.select(lang.alias("l"), key.alias("__key"), C.text_bytes(text_col).alias("raw"))
-                       .withColumnRenamed("__key", key_col)
-                       .join(sizes, F.col("l") == F.col("lang")).where(picked).select("lang", "raw"),
+    sizes = materialize(rows.select(F.col("l").alias("lang"), "mark").distinct()
+                        .groupBy("lang").agg(F.count("*").alias("n")), "languages")
+    picked = F.pmod(mark, F.lit(1 << 30)) < per_lang / F.col("n") * (1 << 30)
+    return materialize(rows.join(sizes, F.col("l") == F.col("lang")).where(picked)
+                       .groupBy("lang", "mark").agg(F.min("raw").alias("raw")).select("lang", "raw"),
                        "language-sample")
 
 
