@@ -172,19 +172,19 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True) ->
     found = materialize(files.mapInArrow(run, schema).withColumns(
         {"__a": F.xxhash64("archive"), "__b": F.xxhash64("archive", F.lit("b"))}), "warc-candidates")
     chain = reachable(found.select("__a", "__b", "offset", "successor"))
-    return found.join(chain, ["__a", "__b", "offset"], "left_semi").drop("successor", "__a", "__b")
+    return found.join(chain.hint("merge"), ["__a", "__b", "offset"], "left_semi").drop("successor", "__a", "__b")
 
 
 def reachable(candidate: DataFrame) -> DataFrame:
     """(__a, __b, offset) of the candidates on the chain from each archive's first byte.
 
     An archive is known by two 64-bit hashes of its path, so that a row is four numbers in
-    memory as on disk, and the planner's idea of a table's size holds.  Pointer jumping:
+    memory as on disk.  The tables grow with the records and meet by sort-merge at every size.  Pointer jumping:
     after round k the set holds the first 2^k records of every chain and the jumps span 2^k
     records.  Every round is written to the shared folder.
     """
     def met(left: DataFrame, place: str) -> DataFrame:
-        return left.join(ahead, (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))
+        return left.join(ahead.hint("merge"), (F.col("__a") == F.col("a")) & (F.col("__b") == F.col("b"))
                          & (F.col(place) == F.col("at")))
 
     jump = candidate
@@ -197,7 +197,8 @@ def reachable(candidate: DataFrame) -> DataFrame:
         jump = materialize(met(jump, "successor").select("__a", "__b", "offset", F.col("to").alias("successor")),
                            "warc-jumps")
         if not jump.head(1):
-            return chain.join(candidate.select("__a", "__b", "offset"), ["__a", "__b", "offset"], "left_semi")
+            return chain.join(candidate.select("__a", "__b", "offset").hint("merge"),
+                              ["__a", "__b", "offset"], "left_semi")
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
