@@ -4,13 +4,14 @@ import hashlib
 import math
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from vellum.llm import bpe, catalog, common, langid, main_text, merkle, packing, secret_scan, simhash
 
@@ -162,6 +163,52 @@ def test_language_awkward_rows_and_rejection(spark, folder, docs):
     assert [r["rejected"] for r in langid.predict(far, model).collect()] == [True, True]
 
 
+def test_language_sample_takes_rows_of_one_key_and_counts_copies_once(spark):
+    """A language whose rows all share a key (or have none) is learned; copies do not crowd others out."""
+    english = [f"the quick brown fox number {'abcdefghij'[k % 10] * (k % 7 + 1)} went over the hill {k}" for k in range(600)]
+    for key in (None, 7, 8, 12):
+        rows = [(key, x, "en") for x in english] + [(100 + k, "le petit chat noir dort sur la chaise", "fr")
+                                                    for k in range(900)]
+        df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+        taught = spark.createDataFrame([(key,)], "k long").select(langid.training_rows(F.col("k"))).first()[0]
+        by = Counter(r["lang"] for r in langid.sample(df, "doc_id", "text", "lang", per_lang=200).collect())
+        assert (140 <= by["en"] <= 260) if taught else by["en"] == 0
+        # of 900 rows about 675 teach, each a copy under its own key: bounded like different texts
+        assert 140 <= by["fr"] <= 260
+    same = spark.createDataFrame([(None, "one and the same text", "en")] * 6000, "doc_id long, text string, lang string")
+    assert langid.sample(same, "doc_id", "text", "lang").count() == 1
+
+
+def test_language_prediction_brute_force(spark):
+    """Every prediction and score again by plain Python: grams, weights and cosines by dictionaries."""
+    path = "/root/testdata/sf0.001"
+    df = common.read(spark, path, "documents")
+    model = langid.fit(df)
+    centroids = [{d: float(x) for d, x in enumerate(c) if x} for c in model.centroids]
+    got = {r["doc_id"]: r for r in langid.predict(df, model).collect()}
+    rows = df.select("doc_id", "text").collect()[:60]
+    assert rows
+    for doc_id, text in rows:
+        letters = "".join(c.lower() if "A" <= c <= "Z" else c if "a" <= c <= "z" or c >= "\x80" else " "
+                          for c in text or "")
+        raw = f" {' '.join(letters.split(' '))} ".encode()
+        raw = b" " + b" ".join(raw.split()) + b" "
+        grams = Counter()
+        for k in range(len(raw) - 2):
+            two = 1 << 24 | raw[k] << 8 | raw[k + 1]
+            three = raw[k] << 16 | raw[k + 1] << 8 | raw[k + 2]
+            for g in (two, three):
+                grams[g * 2654435761 % (1 << 32) >> 20] += 1
+        weights = {d: n ** 0.5 * model.idf[d] for d, n in grams.items()}
+        norm = sum(w * w for w in weights.values()) ** 0.5 or 1.0
+        close = [sum(w * c.get(d, 0.0) for d, w in weights.items()) / norm for c in centroids]
+        best = max(range(len(close)), key=close.__getitem__)
+        r = got[doc_id]
+        if r["lang_pred"] != "und":
+            assert r["lang_pred"] == model.langs[model.owner[best]]
+            assert abs(r["score"] - min(max(close[best], 0), 1)) < 1e-9
+
+
 def test_language_without_labels(spark):
     df = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     model = langid.fit(df)
@@ -195,7 +242,6 @@ def check_packed(rows, capacity=packing.CAPACITY):
 def test_packing_brute_force(spark, folder, docs):
     from tokenizers import Tokenizer
     tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
-    tok.encode_special_tokens = True
     want = []
     for doc_id, text in docs:
         ids = np.array([*tok.encode(text, add_special_tokens=False).ids, 1], "<u4")
@@ -249,6 +295,24 @@ def test_word_encoder_forgets_and_still_agrees(monkeypatch):
         assert enc._tok.encode(text, add_special_tokens=False).ids == ids.tolist()
 
 
+def test_special_token_strings_follow_the_plain_call(spark):
+    """A special token's own string is its id, in any place of a word but in no other letter case."""
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = ["<|endoftext|>", "End.<|endoftext|>Next", "x<|startoftext|>.", "<|ENDOFTEXT|> A B.", "<|Endoftext|>",
+             "<|endoftext|><|endoftext|>\nfoo<|EndOfText|> <|endoftext|>!", "<|endoftext|> É", "<| endoftext|>"]
+    plain, safe = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    safe.encode_special_tokens = True
+    assert plain.encode(texts[0], add_special_tokens=False).ids == [49407]
+    for tok, as_text in ((plain, False), (safe, True)):
+        enc = packing.WordEncoder(path, special_as_text=as_text)
+        want = [tok.encode(x, add_special_tokens=False).ids for x in texts]
+        assert [ids.tolist() for ids in enc.encode_batch(texts)] == want
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = packing.token_pieces(df, path, carry=("doc_id",), with_ids=True, special_as_text=as_text)
+        assert [r["ids"] for r in got.orderBy("doc_id").collect()] == [[*ids, 1] for ids in want]
+
+
 def test_word_encoder_equals_the_library():
     """Runs of punctuation stay whole, also after a bracket, quote or symbol; every document of sf0.01."""
     import pyarrow.parquet as pq
