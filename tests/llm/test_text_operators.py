@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -136,6 +137,82 @@ def test_a_name_alone_does_not_drop_the_content(page):
     assert main_text.main_text(page.replace("{t}", text)) == text
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<article>A</article><article>B, longer</article>", "A\nB, longer"),
+    ("<article><p>A</p></article><p>between</p><main><article>B</article>loose</main>", "A\nB"),
+    ("<article>The post.</article><article><a href='/x'>Another post</a> 3 days</article>", "The post."),
+    ("<article><a href='/x'>Only links</a></article><article><a href='/y'>here</a></article>", "Only links\nhere"),
+    ("<article>The post.</article><article class='comment'>A long reply to it.</article>", "The post."),
+    ("<main>one</main><main>two</main>", "one\ntwo"),
+])
+def test_all_articles_stay_but_teasers_and_comments(page, text):
+    assert main_text.main_text(page) == text
+
+
+@pytest.mark.parametrize("start, step", [
+    ("<p>", ("<span>", "x</b>")), ("", ("<div>x", "</div>")), ("", ("<div class=ad>x", "")), ("", ("<li><p>x", "")),
+    ("<b><div>", ("<span>", "</b>")), ("", ("<article class=ad>x</article><div class=share>y", "")),
+])
+def test_long_broken_pages_take_linear_time(start, step):
+    """Depth, stray ends and nested names: 64,000 of each within seconds (the square would take many minutes)."""
+    page = start + step[0] * 64_000 + step[1] * 64_000
+    began = time.process_time()
+    main_text.recurrence(page)
+    main_text.main_text(page)
+    assert time.process_time() - began < 20
+
+
+def _unnamed(page):
+    """The page with its menu, advert, footer and article as boxes without a telling name."""
+    return re.sub(r"<(/?)(?:nav|article|footer|div)[^>]*>", r"<\1div>", page or "")
+
+
+def _common_subtrees(pages):
+    """Templates of (host, html) rows counted again by plain Python."""
+    rests, out = defaultdict(lambda: defaultdict(dict)), {}
+    for host, page in set(pages):
+        for h, rest in zip(*main_text.recurrence(page)):
+            known = rests[host][h]
+            known[rest >> 1] = known.get(rest >> 1, 0) | rest & 1
+    for host, by in rests.items():
+        by = {h: x for h, x in by.items() if len(x) >= main_text.MIN_PAGES}
+        n = max(map(len, by.values()), default=0)
+        for h, x in by.items():
+            share = main_text.SITE_SHARE if h & 1 else main_text.TEXT_SHARE
+            small = sum(x.values())
+            most = len(x) >= max(share, main_text.MOST_PAGES) * n
+            if h and (most or small >= main_text.MIN_PAGES and small >= share * n):
+                out.setdefault(host, {})[h] = most
+    return out
+
+
+@pytest.mark.parametrize("change", [lambda x: x or "", _unnamed])
+def test_site_templates_brute_force(spark, change):
+    """Subtrees counted by Spark and by plain Python, on the given pages and on them without names."""
+    rows = common.read(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url", "html").collect()
+    df = spark.createDataFrame([(r[0], r[1], change(r[2])) for r in rows], "page_id long, url string, html string")
+    hosts = df.select("page_id", main_text.host(F.col("url")).alias("host"), "html").collect()
+    want = _common_subtrees((r["host"], r["html"]) for r in hosts)
+    got = {r["host"]: {h: h in r["everywhere"] for h in r["templates"]}
+           for r in main_text.site_templates(df).collect()}
+    assert got == want and want
+
+
+def test_templates_decide_where_no_name_tells(spark):
+    """The given pages, their parts without names: only the recurring boxes go, and the article stays."""
+    rows = common.read(spark, "/root/testdata/sf0.1", "pages").select("page_id", "url", "html").collect()
+    df = spark.createDataFrame([(r[0], r[1], _unnamed(r[2])) for r in rows], "page_id long, url string, html string")
+    changed = 0
+    for (page_id, _, page), r in zip(rows, main_text.extract(df).orderBy("page_id").collect()):
+        alone, article = main_text.main_text(_unnamed(page)), main_text.main_text(page or "")
+        assert r["page_id"] == page_id and article in r["text"]
+        changed += r["text"] != alone
+        assert (r["text"] != alone) <= (r["n_template"] > 0)
+    assert changed >= 200
+    # with their names, the same boxes are counted and deleted as templates before the names are looked at
+    assert main_text.extract(common.read(spark, "/root/testdata/sf0.1", "pages")).where("n_template > 0").count() >= 200
+
+
 # ---- 2 language ---------------------------------------------------------------------------
 
 

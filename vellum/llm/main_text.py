@@ -15,22 +15,25 @@ count for a subtree with more than half of its main text, nor is the subtree del
 there, unless it recurs on ``MOST_PAGES`` of the host's different pages; for that, pages
 count up to ``MOST_TEXT`` of the text.
 
-What is left is read by the meaning of the markup: the largest article (else main, else
-body) without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
+Templates are deleted from the whole page first.  What is left is read by the meaning of
+the markup: its articles that are no teasers (mostly links; else main, else body) without menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments.  A class or id that only names such a part does not drop the page's
 content: see ``_without_named``.  Character references are decoded, white space inside a block becomes
 one space, blocks are joined by one line feed.
 
 Defined results: null or empty html gives empty text; broken markup never fails (an element
 that is never closed ends with its parent); a null or odd url belongs to the host ''; repeated
-rows stay; an empty table gives an empty result; columns named text or n_chars are replaced.
+rows stay; an empty table gives an empty result; columns named text, n_chars or n_template are
+replaced.  A very long page takes time in proportion to its length, however it is nested.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
+from itertools import accumulate
+from typing import NamedTuple
 
 import pyarrow as pa
 import xxhash
@@ -82,23 +85,43 @@ _BOXES = frozenset("div section aside header footer nav ul ol dl form table figu
 
 
 class Element:
-    __slots__ = ("tag", "drop", "candidate", "start", "main", "hash", "head", "named", "outer")
+    __slots__ = ("tag", "drop", "candidate", "start", "main", "head", "named", "outer", "seen")
 
-    def __init__(self, tag: str, drop: bool, candidate: bool, start: int, main: int, head: str,
-                 named: bool, outer: int):
-        self.tag, self.drop, self.candidate, self.start = tag, drop, candidate, start
-        self.main, self.head, self.hash, self.named, self.outer = main, head, 0, named, outer
+    def __init__(self, tag: str, drop: bool, start: int, main: int, outer: int):
+        self.tag, self.drop, self.start, self.main, self.outer = tag, drop, start, main, outer
+        self.candidate = self.named = -1  # its number among the candidate subtrees, the named ones
+        self.head, self.seen = "", 0
 
 
 class Named:
     """An element that its class or id names as no content, and what tells whether it is."""
 
-    __slots__ = ("reply", "exact", "outer")
+    __slots__ = ("reply", "exact", "outer", "begin", "end", "first", "last")
 
-    def __init__(self, words: set[str], attrs: str, outer: int):
+    def __init__(self, words: set[str], attrs: str, outer: int, begin: int, first: int):
         self.reply, self.outer = bool(words & _REPLY_WORDS), outer
         self.exact = any(x in _REPLY_WORDS for name, value in _ATTR.findall(attrs) if name.lower() != "role"
                          for x in value.lower().strip("\"'").split())
+        self.begin = self.end = begin   # its blocks
+        self.first = self.last = first  # the containers that begin in it
+
+
+class Page(NamedTuple):
+    #: (text, container): the number of the outermost article or main around, or 0
+    blocks: list[tuple[str, int]]
+    #: by container: its kind, the container around it, characters read, those of them in links
+    kinds: list[str]
+    parents: list[int]
+    read: list[int]
+    linked: list[int]
+    #: by candidate subtree: its hash (the lowest bit tells boxes beside an article), the range
+    #: of its blocks, and the range of its characters, also those that are no running text
+    hashes: list[int]
+    spans: list[tuple[int, int]]
+    seen: list[tuple[int, int]]
+    named: list[Named]
+    #: containers that are named elements themselves
+    own: set[int]
 
 
 def _boilerplate(tag: str, attrs: str, inside: bool) -> bool:
@@ -123,8 +146,33 @@ def _named(tag: str, attrs: str, inside: bool) -> set[str]:
     return found & (_DROP_WORDS if inside else _DROP_WORDS | {"header"})
 
 
-def _without_named(blocks: list[tuple], named: list[Named], parents: list[int], own: set[int]) -> list[tuple]:
-    """The blocks without those in elements that a class or id names as no content.
+def _outside(spans: Iterable[tuple[int, int]], n: int) -> list[bool]:
+    """For each of ``n`` places whether no span covers it."""
+    change = [0] * (n + 1)
+    for begin, end in spans:
+        change[begin] += 1
+        change[end] -= 1
+    return [not x for x in accumulate(change[:n])]
+
+
+def _range_max(values: list[int]) -> Callable[[int, int], int]:
+    """The largest of ``values[begin:end]`` (0 for none) in constant time, after n log n."""
+    levels = [values]
+    while 1 << len(levels) <= len(values):
+        below = levels[-1]
+        levels.append(list(map(max, below, below[1 << (len(levels) - 1):])))
+
+    def largest(begin: int, end: int) -> int:
+        if begin >= end:
+            return 0
+        k = (end - begin).bit_length() - 1
+        return max(levels[k][begin], levels[k][end - (1 << k)])
+
+    return largest
+
+
+def _without_named(page: Page, alive: list[bool]) -> list[bool]:
+    """Which of the blocks left are not in elements that a class or id names as no content.
 
     A name is only a hint (``content-sidebar-wrap``, ``post share-enabled``): an element stays
     if it holds more than half of the text of the page (or of the article or main around
@@ -132,88 +180,101 @@ def _without_named(blocks: list[tuple], named: list[Named], parents: list[int],
     reader comments stays only on a page without an article or main outside; if a whole
     class or id is the word, it must also leave no text outside.
     """
-    n = len(named)
-    inside = [0] * n
-    sizes = [0] * len(parents)                      # by container, with what is nested in it
-    outside = [0] * len(parents)                    # by container, outside all named elements
-    held: list[dict[int, int]] = [{} for _ in range(n)]  # by container that begins in the element
-    total = 0
-    for text, container, _, names in blocks:
-        size = len(text)
-        total += size
-        c = container
-        while c:
-            sizes[c] += size
-            c = parents[c]
-        if container and not names:
-            outside[container] += size
-        for i in names:
-            inside[i] += size
-            if container and container != named[i].outer and container not in own:
-                held[i][container] = held[i].get(container, 0) + size
-    largest = max(outside)
-    gone = set()
-    for i, e in enumerate(named):
-        most = 2 * inside[i] > (sizes[e.outer] if e.outer else total)
-        content = max(held[i].values(), default=0)
+    if not page.named:
+        return alive
+    sizes = [len(text) if left else 0 for (text, _), left in zip(page.blocks, alive)]
+    upto = [0, *accumulate(sizes)]
+    free = _outside(((e.begin, e.end) for e in page.named), len(sizes))
+    own_size = [0] * len(page.kinds)     # by container, without what is nested in it
+    outside = [0] * len(page.kinds)      # by container, outside all named elements
+    for (_, container), size, is_free in zip(page.blocks, sizes, free):
+        if container:
+            own_size[container] += size
+            if is_free:
+                outside[container] += size
+    whole = list(own_size)
+    for c in range(len(whole) - 1, 0, -1):  # containers are numbered from the outside
+        whole[page.parents[c]] += whole[c]
+    for c in page.own:
+        own_size[c] = 0                  # what follows asks for containers inside named elements
+    largest, within = max(outside), _range_max(own_size)
+    gone = []
+    for e in page.named:
+        inside = upto[e.end] - upto[e.begin]
+        most = 2 * inside > (whole[e.outer] if e.outer else upto[-1])
+        content = within(e.first, e.last)
         stays = most or content > 0 and content >= largest
-        if e.reply and (largest or e.exact and inside[i] < total):
+        if e.reply and (largest or e.exact and inside < upto[-1]):
             stays = False
         if not stays:
-            gone.add(i)
-    return [b for b in blocks if gone.isdisjoint(b[3])]
+            gone.append((e.begin, e.end))
+    return [a and b for a, b in zip(alive, _outside(gone, len(sizes)))]
 
 
-def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str], list[int]]:
-    """Blocks of a page, the kinds of its containers, and its candidate subtrees' hashes.
-
-    A block is (text, container, candidate subtrees around it by number); container is 0
-    outside, else the number of the outermost article or main.  Hashes are listed by
-    subtree number.
-    """
-    blocks: list[tuple[str, int, tuple[int, ...], tuple[int, ...]]] = []
-    hashes: list[int] = []  # the lowest bit tells boxes beside an article
-    kinds: list[str] = [""]
-    parents: list[int] = [0]    # the container around each container
+def parse(page: str) -> Page:
+    """Blocks, containers, candidate subtrees and named elements of a page, in linear time."""
+    blocks: list[tuple[str, int]] = []
+    hashes: list[int] = []
+    spans: list[tuple[int, int]] = []
+    seen: list[tuple[int, int]] = []
+    kinds, parents, read, linked = [""], [0], [0], [0]
     named: list[Named] = []
-    own: set[int] = set()       # containers that are named elements themselves
+    own: set[int] = set()
     stack: list[Element] = []
+    open_at: dict[str, list[int]] = {}  # places in the stack, by tag
+    scopes: list[int] = [-1]            # places in the stack of elements that end a search
     pieces: list[str] = []      # of the current block
-    stream: list[str] = []      # tags and texts so far, what subtrees are hashed from
-    dropped = 0
-    around: tuple[int, ...] = ()
-    names: tuple[int, ...] = ()
-    container = 0
+    stream: list[str] = []      # tags, texts and hashes of subtrees so far, what subtrees are hashed from
+    dropped = container = links = chars = 0
 
     def flush() -> None:
         if pieces:
             text = " ".join(entities.unescape("".join(pieces)).split())
             if text:
-                blocks.append((text, container, around, names))
+                blocks.append((text, container))
             pieces.clear()
 
     def close(depth: int) -> None:
-        nonlocal dropped, around, names, container
+        nonlocal dropped, container, links
         while len(stack) > depth:
             e = stack.pop()
-            if e.tag in _BLOCK or e.drop or e.named:
+            open_at[e.tag].pop()
+            if e.tag in _SCOPE:
+                scopes.pop()
+            if e.tag in _BLOCK or e.drop or e.named >= 0:
                 flush()
             dropped -= e.drop
-            if e.candidate:
-                known = xxhash.xxh64_intdigest(" ".join([e.head, *stream[e.start:]]).encode("utf-8", "replace"))
+            links -= e.tag == "a"
+            if e.candidate >= 0:
+                inner = xxhash.xxh64_hexdigest(" ".join(stream[e.start:]).encode("utf-8", "replace"))
+                del stream[e.start:]
+                stream.append(inner)
+                known = xxhash.xxh64_intdigest(f"{e.head} {inner}".encode("utf-8", "replace"))
                 beside = not container and e.tag in _BOXES
-                hashes[e.hash] = (known & ~1 | beside) - (1 << 63)
-                around = around[:-1]
-            if e.named:
-                names = names[:-1]
+                hashes[e.candidate] = (known & ~1 | beside) - (1 << 63)
+                spans[e.candidate] = (spans[e.candidate][0], len(blocks))
+                seen[e.candidate] = (e.seen, chars)
+            if e.named >= 0:
+                named[e.named].end, named[e.named].last = len(blocks), len(kinds)
             if e.main:
                 container = e.outer
 
+    def last_open(tags: Iterable[str]) -> int:
+        """Place of the innermost open element of these tags that no scope hides, or -1."""
+        at = max((open_at[t][-1] for t in tags if open_at.get(t)), default=-1)
+        return at if at >= scopes[-1] else -1
+
     def text(data: str) -> None:
+        nonlocal chars
         if data:
             stream.append(data)
+            size = len(data.strip())
+            chars += size
             if not dropped:
                 pieces.append(data)
+                read[container] += size
+                if links:
+                    linked[container] += size
 
     at, size = 0, len(page)
     while at < size:
@@ -227,16 +288,13 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
             continue
         tag, attrs = m.group(2).lower(), m.group(3)
         if m.group(1):
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag == tag:
-                    close(depth)
-                    stream.append("/" + tag)
-                    break
-                if tag not in _BLOCK and stack[depth].tag in _SCOPE:
-                    break  # a stray end of an inline element does not leave its block
-            else:
-                if tag == "p":
-                    flush()
+            # a stray end of an inline element does not leave its block
+            depth = open_at[tag][-1] if open_at.get(tag) else -1
+            if depth > (-1 if tag in _BLOCK else scopes[-1]):
+                close(depth)
+                stream.append("/" + tag)
+            elif tag == "p" and depth < 0:
+                flush()
             continue
         if tag == "br":
             text(" ")
@@ -244,20 +302,14 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
         if tag in _BLOCK:
             if not dropped:
                 flush()
-            for depth in range(len(stack) - 1, -1, -1):  # a paragraph ends where a block begins
-                if stack[depth].tag == "p":
-                    close(depth)
-                    break
-                if stack[depth].tag in _SCOPE:
-                    break
+            depth = last_open(("p",))  # a paragraph ends where a block begins
+            if depth >= 0:
+                close(depth)
         if tag in _CLOSES:
-            for depth in range(len(stack) - 1, -1, -1):
-                if stack[depth].tag in _CLOSES[tag]:
-                    close(depth)
-                    if tag != "tr":
-                        break
-                elif stack[depth].tag in _SCOPE:
-                    break
+            depth = last_open(_CLOSES[tag])
+            while depth >= 0:
+                close(depth)
+                depth = last_open(_CLOSES[tag]) if tag == "tr" else -1
         if tag in _VOID or attrs.endswith("/") and tag in ("svg", "path"):
             continue
         drop = _boilerplate(tag, attrs, bool(container))
@@ -269,60 +321,66 @@ def parse(page: str) -> tuple[list[tuple[str, int, tuple[int, ...]]], list[str],
             if not container or kinds[container] == "main" and tag == "article":
                 kinds.append(tag)
                 parents.append(outer)
+                read.append(0)
+                linked.append(0)
                 main = container = len(kinds) - 1
                 if words:
                     own.add(main)
         box = tag in _BLOCK and tag not in ("html", "body", "article", "main") and not main
         candidate = box and (tag in _BOXES if container else True)
-        if (drop or words) and not dropped:
+        if candidate or words or drop and not dropped:
             flush()
-        e = Element(tag, drop, candidate, len(stream), main, tag + attrs if candidate else "", bool(words), outer)
+        e = Element(tag, drop, len(stream), main, outer)
         if words:
-            names = (*names, len(named))
-            named.append(Named(words, attrs, outer))
+            e.named = len(named)
+            named.append(Named(words, attrs, outer, len(blocks), len(kinds)))
         if candidate:
-            flush()
-            e.hash = len(hashes)
+            e.head, e.candidate, e.seen = tag + attrs, len(hashes), chars
             hashes.append(0)
-            around = (*around, e.hash)
+            spans.append((len(blocks), len(blocks)))
+            seen.append((chars, chars))
         else:
             stream.append(tag)
         dropped += drop
+        links += tag == "a"
+        open_at.setdefault(tag, []).append(len(stack))
+        if tag in _SCOPE:
+            scopes.append(len(stack))
         stack.append(e)
         if tag in _RAW:
             end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
+            before = chars
             text(page[at:end.start() if end else size])
+            chars = before  # no text of the page
             at = end.start() if end else size
     close(0)
     flush()
-    if named:
-        blocks = _without_named(blocks, named, parents, own)
-    return [b[:3] for b in blocks], kinds, hashes
+    return Page(blocks, kinds, parents, read, linked, hashes, spans, seen, named, own)
 
 
-Block = tuple[str, int, tuple[int, ...]]
+def _main_blocks(page: Page, alive: list[bool]) -> list[bool]:
+    """Which of the blocks left are in articles, else in a main; all without either.
 
-
-def _main_blocks(blocks: list[Block], kinds: list[str]) -> list[Block]:
-    """The blocks of the largest article, else of the largest main, else all."""
-    sizes: dict[int, int] = {}
-    for text, container, _ in blocks:
-        sizes[container] = sizes.get(container, 0) + len(text)
+    Articles whose text is mostly links are teasers, and only count where there is no other.
+    """
+    having = {container for (_, container), left in zip(page.blocks, alive) if left and container}
     for kind in ("article", "main"):
-        of = [c for c in sizes if c and kinds[c] == kind]
+        of = {c for c in having if page.kinds[c] == kind}
         if of:
-            best = max(of, key=lambda c: (sizes[c], -c))
-            return [b for b in blocks if b[1] == best]
-    return blocks
+            of = {c for c in of if 2 * page.linked[c] <= page.read[c]} or of
+            return [left and b[1] in of for b, left in zip(page.blocks, alive)]
+    return alive
+
 
+def _judged(page: Page) -> list[bool]:
+    """The main text as it is without any template."""
+    return _main_blocks(page, _without_named(page, [True] * len(page.blocks)))
 
-def _held(blocks: list[Block], n: int) -> tuple[int, list[int]]:
-    """Characters of the blocks, and those inside each of ``n`` candidate subtrees."""
-    held = [0] * n
-    for text, _, around in blocks:
-        for i in around:
-            held[i] += len(text)
-    return sum(len(b[0]) for b in blocks), held
+
+def _held(page: Page, main: list[bool]) -> tuple[int, list[int]]:
+    """Characters of the main text, and those inside each candidate subtree."""
+    upto = [0, *accumulate(len(b[0]) if x else 0 for b, x in zip(page.blocks, main))]
+    return upto[-1], [upto[end] - upto[begin] for begin, end in page.spans]
 
 
 def recurrence(page: str) -> tuple[list[int], list[int]]:
@@ -331,19 +389,15 @@ def recurrence(page: str) -> tuple[list[int], list[int]]:
 
     Each pair comes once.  The hash 0 stands for no subtree.
     """
-    blocks, kinds, hashes = parse(page)
-    main = _main_blocks(blocks, kinds)
-    total, held = _held(main, len(hashes))
+    read = parse(page)
+    main, hashes = _judged(read), read.hashes
+    total, held = _held(read, main)
     speaks = [i for i, h in enumerate(held) if h <= MOST_TEXT * total]
-    by_size = sorted(main, key=lambda b: (-len(b[0]), b[0]))
-    rest = dict.fromkeys(speaks, "")
-    left = set(speaks)
-    for text, _, around in by_size:
-        for i in left.difference(around):
-            rest[i] = text
-        left.intersection_update(around)
-        if not left:
-            break
+    # the longest block (of equally long ones the first in order) before and from each place
+    ranked = [(-len(b[0]), b[0]) if x else (1, "") for b, x in zip(read.blocks, main)]
+    before = list(accumulate(ranked, min, initial=(1, "")))
+    after = list(accumulate(reversed(ranked), min, initial=(1, "")))[::-1]
+    rest = {i: min(before[read.spans[i][0]], after[read.spans[i][1]])[1] for i in speaks}
     known: dict[str, int] = {}
 
     def key(text: str, small: bool) -> int:
@@ -352,25 +406,38 @@ def recurrence(page: str) -> tuple[list[int], list[int]]:
         return (known[text] | small) - (1 << 63)
 
     pairs = {(hashes[i], key(rest[i], 2 * held[i] <= total)) for i in speaks}
-    pairs.add((0, key(by_size[0][0] if by_size else "", True)))
+    pairs.add((0, key(after[0][1], True)))
     ordered = sorted(pairs)
     return [h for h, _ in ordered], [r for _, r in ordered]
 
 
-def main_text(page: str, templates: frozenset[int] = frozenset(),
-              everywhere: frozenset[int] = frozenset()) -> str:
-    """The main text of a page without the given template subtrees.
+def read_page(page: str, templates: frozenset[int] = frozenset(),
+              everywhere: frozenset[int] = frozenset()) -> tuple[str, int]:
+    """The main text of a page without the given template subtrees, and the number of
+    characters of the whole page (menus, footers and adverts included) that they held.
 
-    One with more than half of the text goes only if it is also among ``everywhere``.
+    One with more than half of the main text goes only if it is also among ``everywhere``.
+    Templates go first; names and containers are judged on what is left.
     """
-    blocks, kinds, hashes = parse(page)
-    if templates:
-        gone = {i for i, h in enumerate(hashes) if h in templates}
-        if gone:
-            total, held = _held(_main_blocks(blocks, kinds), len(hashes))
-            gone = {i for i in gone if 2 * held[i] <= total or hashes[i] in everywhere}
-            blocks = [b for b in blocks if gone.isdisjoint(b[2])]
-    return "\n".join(b[0] for b in _main_blocks(blocks, kinds))
+    read = parse(page)
+    alive, removed = [True] * len(read.blocks), 0
+    found = [i for i, h in enumerate(read.hashes) if h in templates]
+    if found:
+        total, held = _held(read, _judged(read))
+        gone = [i for i in found if 2 * held[i] <= total or read.hashes[i] in everywhere]
+        alive = _outside((read.spans[i] for i in gone), len(read.blocks))
+        upto = 0
+        for begin, end in sorted(read.seen[i] for i in gone):
+            removed += max(0, end - max(begin, upto))
+            upto = max(upto, end)
+    main = _main_blocks(read, _without_named(read, alive))
+    return "\n".join(b[0] for b, x in zip(read.blocks, main) if x), removed
+
+
+def main_text(page: str, templates: frozenset[int] = frozenset(),
+              everywhere: frozenset[int] = frozenset()) -> str:
+    """The main text of a page without the given template subtrees."""
+    return read_page(page, templates, everywhere)[0]
 
 
 def host(url):
@@ -416,15 +483,16 @@ def site_templates(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
             carry: tuple[str, ...] = ("page_id", "url"), **limits: float) -> DataFrame:
-    """The carried columns, text and n_chars of every page."""
-    keep = [c for c in carry if c.lower() not in ("text", "n_chars")]
+    """The carried columns, text and n_chars of every page, and n_template: the characters
+    of the page that its site's templates held."""
+    keep = [c for c in carry if c.lower() not in ("text", "n_chars", "n_template")]
     templates = materialize(site_templates(pages, url_col, html_col, **limits)
                             .select(F.col("host").alias("__host"), "templates", "everywhere"), "templates")
     work = (pages.select(*[C.col(c) for c in keep], host(C.col(url_col)).alias("__of"),
                          C.text_bytes(html_col).alias("__raw"))
             .join(templates, F.col("__of") == F.col("__host"), "left")
             .select(*[C.col(c) for c in keep], "templates", "everywhere", "__raw"))
-    schema = C.schema(pages, keep, "text string, n_chars long")
+    schema = C.schema(pages, keep, "text string, n_chars long, n_template long")
     names = [f.name for f in schema.fields]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -433,10 +501,11 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html",
         out = []
         for *lists, raw in zip(*(batch.column(n - k).to_pylist() for k in (3, 2, 1))):
             keys = [tuple(x or ()) for x in lists]
-            out.append(main_text(C.decode(raw), *(known.setdefault(k, frozenset(k)) for k in keys)))
+            out.append(read_page(C.decode(raw), *(known.setdefault(k, frozenset(k)) for k in keys)))
         return pa.RecordBatch.from_arrays(
-            list(batch.columns[:-3]) + [pa.array(out, pa.string()),
-                                        pa.array(list(map(len, out)), pa.int64())], names=names)
+            list(batch.columns[:-3]) + [pa.array([x for x, _ in out], pa.string()),
+                                        pa.array([len(x) for x, _ in out], pa.int64()),
+                                        pa.array([n for _, n in out], pa.int64())], names=names)
 
     return C.map_arrow(work, run, schema)
 
