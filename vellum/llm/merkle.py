@@ -7,13 +7,13 @@ every other node the hashes below it, and the root the sections' and the length.
 equal texts have equal roots, and an edit changes only the branches above it, whatever
 it does to the places of the rest.
 
-The fingerprint is one string, ``root:sections:paragraphs:phrases:words``: the root as 32
-hex digits, then 24 bits of each node's hash, level by level, in base64.  Words are given
-for texts of at most ``FEW_WORDS`` words, whose phrases are too few to compare.
+The fingerprint is one string, ``root:sections:paragraphs:phrases``: the root as 32
+hex digits, then 24 bits of each node's hash, level by level, in base64.
 
-Likeness of two fingerprints, from 0 to 1: 1 for equal roots; else the share of nodes, at
-the finest level that both have, that match: a common beginning and end, and, of phrases,
-those found in both middles whatever their place.
+Likeness of two fingerprints, from 0 to 1, is one measure for texts of any length: 1 for
+equal roots; else the share of the phrases that match: a common beginning and end, and
+those found in both middles whatever their place.  A phrase has two or three words, so a text of
+a few words has a coarse likeness.
 
 Defined results: null text is empty (one empty tree); equal keys keep an order by
 text; a null key comes last; an empty table gives an empty result; a single row is its
@@ -24,7 +24,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import math
 from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -33,7 +32,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellum.llm import common as C
@@ -41,12 +40,12 @@ from vellum.session import ship_package
 
 #: Bytes that, before a space, end a phrase: every fourth byte value.
 _ENDS = np.arange(256) % 4 == 1
-FEW_WORDS = 64
 #: A phrase of more bytes is cut every so many bytes from its beginning.
 MAX_PHRASE = 96
-#: Rows of one range of neighbours, and the most ranges (their bounds are on the driver).
-RANGE_ROWS = 4000
-MAX_RANGES = 20_000
+#: Rows of one range of neighbours at most, but for rows of equal places (``_place``).
+RANGE_ROWS = 16_000
+#: Bytes of a place: nine of the key, the rest of the text.
+PLACE = 32
 
 
 class Tree(NamedTuple):
@@ -54,7 +53,6 @@ class Tree(NamedTuple):
     sections: np.ndarray
     paragraphs: np.ndarray
     phrases: np.ndarray
-    words: np.ndarray | None
     #: byte offset at which each phrase ends
     ends: np.ndarray
 
@@ -93,23 +91,16 @@ def tree(text: bytes) -> Tree:
         last[-1] = True
     sections = _hash_runs(memoryview(paragraphs.tobytes()), ((np.flatnonzero(last) + 1) * 8).tolist())
     root = hashlib.blake2b(sections.tobytes() + len(text).to_bytes(8, "big"), digest_size=16).hexdigest()
-    words = None
-    if len(ends) <= FEW_WORDS:
-        spaces = np.flatnonzero((raw == 32) | (raw == 10)) + 1
-        if len(spaces) < FEW_WORDS:
-            words = _hash_runs(view, [*spaces.tolist(), len(raw)])
-    return Tree(root, sections, paragraphs, phrases, words, ends)
+    return Tree(root, sections, paragraphs, phrases, ends)
 
 
-def _short(hashes: np.ndarray | None) -> str:
-    if hashes is None:
-        return "-"
+def _short(hashes: np.ndarray) -> str:
     low = hashes.astype(">u8").view(np.uint8).reshape(-1, 8)[:, 5:]
     return base64.b64encode(low.tobytes()).decode()
 
 
 def fingerprint(t: Tree) -> str:
-    return ":".join([t.root, *map(_short, (t.sections, t.paragraphs, t.phrases, t.words))])
+    return ":".join([t.root, *map(_short, (t.sections, t.paragraphs, t.phrases))])
 
 
 def _nodes(part: str) -> np.ndarray:
@@ -123,28 +114,18 @@ def _common(a: np.ndarray, b: np.ndarray) -> int:
     return int(differ[0]) if len(differ) else n
 
 
-def _likeness(a: np.ndarray, b: np.ndarray, anywhere: bool) -> float:
+def likeness(one: str, other: str) -> float:
+    """Likeness of two fingerprints."""
+    x, y = one.split(":"), other.split(":")
+    if x[0] == y[0]:
+        return 1.0
+    a, b = _nodes(x[3]), _nodes(y[3])
     most = max(len(a), len(b))
-    if not most:
-        return 0.0
     head = _common(a, b)
     a, b = a[head:], b[head:]
     tail = _common(a[::-1], b[::-1])
-    same = head + tail
-    if anywhere:
-        x, y = Counter(a[:len(a) - tail].tolist()), Counter(b[:len(b) - tail].tolist())
-        same += sum((x & y).values())
-    return same / most
-
-
-def likeness(a: str, b: str) -> float:
-    """Likeness of two fingerprints."""
-    x, y = a.split(":"), b.split(":")
-    if x[0] == y[0]:
-        return 1.0
-    if x[4] != "-" and y[4] != "-":
-        return _likeness(_nodes(x[4]), _nodes(y[4]), False)
-    return _likeness(_nodes(x[3]), _nodes(y[3]), True)
+    middle = Counter(a[:len(a) - tail].tolist()) & Counter(b[:len(b) - tail].tolist())
+    return (head + tail + sum(middle.values())) / most
 
 
 def edited_span(a: Tree, b: Tree) -> tuple[int, int]:
@@ -172,46 +153,60 @@ def document_trees(df: DataFrame, text_col: str = "text", carry: tuple[str, ...]
     return C.map_arrow(work, run, schema)
 
 
+def _place(key: Column, raw: Column) -> Column:
+    """Bytes that sort like descending key (null last), then text: the key with all but its
+    sign bit flipped, behind a byte for null, and the first bytes of the text.
+    """
+    flipped = F.unhex(F.lpad(F.hex(key.bitwiseXOR(F.lit(2**63 - 1))), 16, "0"))
+    of_key = F.concat(F.lit(b"\0"), flipped)
+    return F.concat(F.coalesce(of_key, F.lit(b"\1" + bytes(8))), F.substring(raw, 1, PLACE - 9))
+
+
+def _openings(places: DataFrame) -> np.ndarray:
+    """The places that open a range, sorted: the first of each sorted partition, and every
+    ``RANGE_ROWS``-th behind it.
+    """
+    every = RANGE_ROWS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = 0
+        for batch in batches:
+            yield batch.take(pa.array(range(-seen % every, batch.num_rows, every), pa.int64()))
+            seen += batch.num_rows
+
+    cuts = places.repartitionByRange("place").sortWithinPartitions("place").mapInArrow(run, "place binary")
+    return np.unique(np.array(cuts.toArrow()["place"].to_pylist(), f"S{PLACE}"))
+
+
 def with_next(df: DataFrame, key_col: str, text_col: str) -> DataFrame:
     """Rows (range, ghost, key, raw) sorted so that each text precedes its next one.
 
     The order is by descending key (null last), equal keys by text; the last row's next is
-    the first row.  Rows are dealt by ranges of the key; a range ends in a ghost, a copy of
-    the row that opens the following range, so no range needs another.  Only the
-    ranges' bounds and first keys (numbers, at most ``MAX_RANGES``) pass the driver.
+    the first row.  Rows are dealt by ranges of their places, so rows of one key, or
+    without a key, are cut apart by their texts.  A range ends in a ghost, a copy of
+    the row that opens the following range, so no range needs another.  Only the places
+    that open a range pass the driver: ``PLACE`` bytes for ``RANGE_ROWS`` rows, and for
+    each partition.
     """
-    key = C.col(key_col)
-    rows = df.select(key.cast("long").alias("key"), C.text_bytes(text_col).alias("raw"))
-    n = rows.count()
-    ranges = min(MAX_RANGES, max(1, math.ceil(n / RANGE_ROWS)))
-    shares = [F.lit((k + 1) / ranges) for k in range(ranges - 1)]
-    bounds = np.empty(0, np.int64)
-    if shares:
-        got = rows.agg(F.percentile_approx("key", F.array(*shares), F.lit(max(10_000, 4 * ranges)))).first()[0]
-        bounds = np.unique(np.array(got or [], np.int64))
-    last = len(bounds) + 1
-
-    def find(keys: pd.Series) -> pd.Series:  # descending: range 0 has the largest keys
-        at = len(bounds) - np.searchsorted(bounds, keys.fillna(0).astype("int64").to_numpy())
-        return pd.Series(np.where(keys.isna().to_numpy(), last, at)).astype("int32")
-
+    rows = df.select(C.col(key_col).cast("long").alias("key"), C.text_bytes(text_col).alias("raw"))
     ship_package(df.sparkSession)
-    place = F.pandas_udf(find, "int")
-    dealt = rows.withColumn("range", place("key"))
-    heads = {r["range"]: r["key"] for r in dealt.select("range", "key").groupBy("range")
-             .agg(F.max("key").alias("key")).collect()}
-    order = sorted(heads)
-    if not order:
-        return dealt.withColumn("ghost", F.lit(0))
-    # each range's opening row goes, as a ghost, to the range before it
-    before = {r: order[i - 1] for i, r in enumerate(order)}
-    first = df.sparkSession.createDataFrame(
-        [(r, heads[r], before[r]) for r in order], "r int, k long, before int")
-    opening = (dealt.join(F.broadcast(first), (F.col("range") == F.col("r")) & F.col("key").eqNullSafe(F.col("k")))
-               .groupBy("before", "key").agg(F.min("raw").alias("raw"))
-               .select("key", "raw", F.col("before").alias("range"), F.lit(1).alias("ghost")))
-    both = dealt.withColumn("ghost", F.lit(0)).unionByName(opening)
-    return both.repartition("range").sortWithinPartitions(
+    rows = rows.withColumn("place", _place(F.col("key"), F.col("raw")))
+    opens = _openings(rows.select("place"))
+    last = max(0, len(opens) - 1)
+
+    def find(places: pd.Series) -> pd.Series:  # the range; -1 - range for a place that opens it
+        own = np.array(places.tolist(), opens.dtype)
+        at = np.searchsorted(opens, own, side="right") - 1
+        return pd.Series(np.where(opens[at] == own, -1 - at, at)).astype("int32")
+
+    found = F.pandas_udf(find, "int")
+    dealt = rows.select("key", "raw", found("place").alias("at"))
+    at = F.col("at")
+    every = dealt.select("key", "raw", F.when(at < 0, -1 - at).otherwise(at).alias("range"), F.lit(0).alias("ghost"))
+    before = F.when(at == -1, F.lit(last)).otherwise(-2 - at)
+    opening = (dealt.where(at < 0).groupBy(before.alias("range"), "key").agg(F.min("raw").alias("raw"))
+               .select("key", "raw", "range", F.lit(1).alias("ghost")))
+    return every.unionByName(opening).repartition("range").sortWithinPartitions(
         "range", "ghost", F.col("key").desc_nulls_last(), "raw")
 
 
