@@ -2,18 +2,24 @@
 
 Every document gets rule counts and fails if it is too short or repeats itself.  Failures
 are summed per host; the raw rate of a small host says little, so rates are shrunk with a
-beta prior fitted to all hosts by moments:
+beta prior fitted to all hosts by moments.  A host of n documents counts with weight
+w = n / (n + HALF), W is the sum of these.  With the weighted mean m of the raw rates p,
 
-    mean m and variance v of the hosts' raw rates, s = m (1 - m) / v - 1,
-    alpha = m s, beta = (1 - m) s, rate = (failures + alpha) / (documents + alpha + beta)
+    sum w (p - m)^2  =  m (1 - m) (A + r (B - A))   on average, where
+    A = sum (w / n) (1 - w / W),   B = sum w (1 - w / W);
+
+A is what the drawing of few documents adds, so the correlation r inside hosts comes without it:
+
+    s = 1 / r - 1, alpha = m s, beta = (1 - m) s,
+    rate = (failures + alpha) / (documents + alpha + beta)
 
 A host whose shrunk rate reaches ``max_rate`` is rejected, and its documents with it.  Hosts
 are counted with partial aggregation, so a host with a third of all rows is a few numbers
 per task; only the rejected hosts are joined back.
 
 Defined results: null text has no words (it fails as too short); a null host belongs to no
-host and is never rejected as one; without spread between hosts (one host, equal rates) the
-prior weighs like ``MAX_PRIOR`` documents; repeated rows each count; an empty table gives
+host and is never rejected as one; without spread between hosts beyond that of drawing
+(r <= 0, also one host or equal rates) the prior weighs like ``MAX_PRIOR`` documents; repeated rows each count; an empty table gives
 an empty result.
 """
 
@@ -29,6 +35,8 @@ MIN_WORDS = 20
 WINDOW = 8
 MAX_REPEAT_PERCENT = 30
 MAX_RATE = 0.5
+#: Documents at which a host counts half in the fit of the prior.
+HALF = 9
 #: Bounds of alpha + beta, in documents.
 MIN_PRIOR, MAX_PRIOR = 2.0, 1000.0
 SYMBOLS = r"[#*$%&|<>]"
@@ -92,12 +100,17 @@ def host_rates(counted: DataFrame, host_col: str) -> DataFrame:
     """(host, docs, failed, rate): every non-null host with its shrunk failure rate."""
     hosts = (counted.where(C.col(host_col).isNotNull()).groupBy(C.col(host_col).alias("host"))
              .agg(F.count("*").alias("docs"), F.sum(F.col("base_failed").cast("long")).alias("failed")))
-    raw = F.col("failed") / F.col("docs")
-    m, v = hosts.agg(F.avg(raw), F.var_pop(raw)).first()
-    if m is None:
-        m, v = 0.0, 0.0
-    weight = m * (1 - m) / v - 1 if v > 0 else MAX_PRIOR
-    weight = min(max(weight, MIN_PRIOR), MAX_PRIOR)
+    n, p = F.col("docs"), F.col("failed") / F.col("docs")
+    w = n / (n + HALF)
+    total, squares, drawn, drawn_squares, mean, spread = hosts.agg(
+        *[F.coalesce(F.sum(x), F.lit(0.0)) for x in (w, w * w, w / n, w * w / n, w * p, w * p * p)]).first()
+    m, weight = 0.0, MAX_PRIOR
+    if total:
+        m = mean / total
+        a, b = drawn - drawn_squares / total, total - squares / total
+        if m * (1 - m) > 0 and b - a > 1e-9:
+            r = ((spread - mean * m) / (m * (1 - m)) - a) / (b - a)
+            weight = min(max(1 / r - 1, MIN_PRIOR), MAX_PRIOR) if r > 0 else MAX_PRIOR
     return hosts.withColumn("rate", (F.col("failed") + m * weight) / (F.col("docs") + weight))
 
 
@@ -175,8 +188,13 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 h AS (
   SELECT source AS host, count(*) AS docs, sum(CAST(base_failed AS INT)) AS failed
   FROM f WHERE source IS NOT NULL GROUP BY source),
-p AS (SELECT avg(failed / docs) AS m, var_pop(failed / docs) AS v FROM h),
-s AS (SELECT m, CASE WHEN v > 0 THEN least(greatest(m * (1 - m) / v - 1, 2), 1000) ELSE 1000 END AS k FROM p),
+g AS (SELECT docs, failed / docs AS p, docs / (docs + 9) AS w FROM h),
+p AS (
+  SELECT sum(w * p) / sum(w) AS m, sum(w * p * p) - sum(w * p) * sum(w * p) / sum(w) AS spread,
+         sum(w / docs) - sum(w * w / docs) / sum(w) AS a, sum(w) - sum(w * w) / sum(w) AS b FROM g),
+q AS (SELECT m, CASE WHEN m * (1 - m) > 0 AND b - a > 1e-9 THEN (spread / (m * (1 - m)) - a) / (b - a) ELSE 0 END AS r
+      FROM p),
+s AS (SELECT m, CASE WHEN r > 0 THEN least(greatest(1 / r - 1, 2), 1000) ELSE 1000 END AS k FROM q),
 bad AS (SELECT host FROM h, s WHERE (failed + m * k) / (docs + k) >= 0.5)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND bad.host IS NULL AS kept
