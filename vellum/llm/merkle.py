@@ -43,7 +43,7 @@ _ENDS = np.arange(256) % 4 == 1
 #: A phrase of more bytes is cut every so many bytes from its beginning.
 MAX_PHRASE = 96
 #: Rows of one range of neighbours at most, but for rows of equal places (``_place``).
-RANGE_ROWS = 16_000
+RANGE_ROWS = 4000
 #: Bytes of a place: nine of the key, the rest of the text.
 PLACE = 32
 
