@@ -587,6 +587,20 @@ def test_neighbours_over_many_ranges(spark, monkeypatch):
     assert got == sorted(want, key=repr)
 
 
+def test_equal_and_missing_keys_are_cut_apart(spark, monkeypatch):
+    monkeypatch.setattr(merkle, "RANGE_ROWS", 7)
+    rows = ([(i, f"text {i} " * 3) for i in (-2**63, -5, -1, 0, 1, 2**63 - 1)] + [(50, f"dup {i % 13}") for i in range(60)]
+            + [(None, f"n{i}") for i in range(40)])
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted(((r["doc_id"], r["edited_sha256"]) for r in merkle.compare_edited(df).collect()), key=repr)
+    order = sorted(rows, key=lambda d: (d[0] is None, -(d[0] or 0), d[1]))
+    want = [(i, hashlib.sha256((t[:len(t) - len(t) // 3] + n[:len(t) // 3]).encode()).hexdigest())
+            for (i, t), (_, n) in zip(order, order[1:] + order[:1])]
+    assert got == sorted(want, key=repr)
+    sizes = merkle.with_next(df, "doc_id", "text").where("ghost = 0").groupBy("range").count().collect()
+    assert len(sizes) > 10 and max(r["count"] for r in sizes) < 20
+
+
 def test_edits_are_located():
     a = edge.long_text(400).encode()
     b = a[:900] + b"CHANGED WORDS " + a[950:]
