@@ -23,7 +23,9 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -50,14 +52,14 @@ def _lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def range_parities(lines: DataFrame) -> DataFrame:
-    """(file, range, inside, crlf): whether a range starts inside quotes, and whether its file's
+    """(id, file, range, inside, crlf): whether a range starts inside quotes, and whether its file's
     lines end in \\r\\n (as its first one does); one row per range, stored."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
     own = lines.groupBy("file", "range").agg((F.sum(quotes) % 2).alias("odd"), F.first("value").alias("line"))
     before = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("file").orderBy("range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return materialize(own.select(
-        "file", "range", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"),
+        F.monotonically_increasing_id().alias("id"), "file", "range", (F.coalesce(F.sum("odd").over(before), F.lit(0)) % 2 == 1).alias("inside"),
         F.first("line").over(whole).endswith("\r").alias("crlf")), "csv-ranges")
 
 
@@ -73,53 +75,68 @@ def records(spark: SparkSession, path: str) -> DataFrame:
     """
     lines = _lines(spark, path)
     parity = range_parities(lines).withColumnsRenamed({"file": "__file", "range": "__range"})
-    # one row per range: the lines stay where they are
+    # one row per range: the lines stay where they are, and each carries its range's number only
     known = lines.join(F.broadcast(parity), (F.col("file") == F.col("__file")) & (F.col("range") == F.col("__range")),
-                       "left").select("value", "file", "range", "crlf", F.when(
+                       "left").select("value", F.when(
                            F.col("inside").isNull(), F.raise_error(F.lit("ranges changed between two reads")))
-                       .otherwise(F.col("inside")).alias("inside"))
+                       .otherwise(F.col("id")).alias("id"), "crlf", "inside")
     ship_package(spark)
-    names = ["file", "range", "number", "kind", "record"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = None            # (file, range) that is being read
-        held: list[str] = []    # lines of the record that is open
-        inside = head = False   # inside quotes; whether the open record began in an earlier range
+        place = None                # the range that is being read
+        held: list[pa.Array] = []   # lines of the record that is open
+        inside = head = False       # inside quotes; whether the open record began in an earlier range
         number = 0
 
-        def piece(kind: int) -> tuple:
-            return (*place, number, kind, "\n".join(held))
+        def out(kind, texts, first) -> pa.RecordBatch:
+            n = len(texts)
+            return pa.RecordBatch.from_arrays([
+                pa.array([place] * n, pa.int64()), pa.array(range(first, first + n), pa.int64()),
+                pa.array([kind] * n, pa.int32()), texts], names=["id", "number", "kind", "record"])
+
+        def whole() -> pa.Array:
+            return pa.array(["\n".join(x for part in held for x in part.to_pylist())], pa.string())
 
         for batch in batches:
-            out = []
-            for value, file, start, crlf, within in zip(*(c.to_pylist() for c in batch.columns)):
-                if place != (file, start):
+            if not batch.num_rows:
+                continue
+            ids = batch.column(1).to_numpy()
+            starts = [0, *(np.flatnonzero(np.diff(ids)) + 1).tolist(), len(ids)]
+            for a, b in zip(starts, starts[1:]):
+                if place != int(ids[a]):
                     if held:
-                        out.append(piece(MORE if head else OPEN))
-                    place, held, inside, head, number = (file, start), [], within, within, 0
-                if crlf:  # \r\n is one line break, which the reader of whole files turns into \n
-                    value = value.removesuffix("\r")
-                if value.count('"') % 2:
-                    inside = not inside
-                held.append(value)
-                if inside:
+                        yield out(MORE if head else OPEN, whole(), number)
+                    inside = head = batch.column(3)[a].as_py()
+                    place, held, number = int(ids[a]), [], 0
+                values = batch.column(0).slice(a, b - a)
+                if batch.column(2)[a].as_py():  # \r\n is one line break, which the reader of whole files turns into \n
+                    values = pc.if_else(pc.ends_with(values, "\r"), pc.utf8_slice_codeunits(values, 0, -1), values)
+                within = (np.cumsum(pc.count_substring(values, '"').to_numpy()) + inside) % 2 == 1
+                inside = bool(within[-1])
+                ends = np.flatnonzero(~within) + 1  # a record is complete behind these lines
+                if not len(ends):
+                    held.append(values)
                     continue
-                out.append(piece(CLOSE if head else WHOLE))
+                held.append(values.slice(0, int(ends[0])))
+                yield out(CLOSE if head else WHOLE, whole(), number)
                 number += not head
-                held, head = [], False
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
+                if len(ends) > 1:
+                    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+                    yield out(WHOLE, pc.binary_join(lists, "\n"), number)
+                    number += len(ends) - 1
+                rest = values.slice(int(ends[-1]))
+                held, head = [rest] if len(rest) else [], False
         if held:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x], t) for x, t in zip(piece(MORE if head else OPEN), types)], names=names)
+            yield out(MORE if head else OPEN, whole(), number)
 
-    types = (pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-    return known.mapInArrow(run, "file string, range long, number long, kind int, record string")
+    pieces = known.mapInArrow(run, "id long, number long, kind int, record string")
+    ranges = parity.select("id", F.col("__file").alias("file"), F.col("__range").alias("range"))
+    return pieces.join(F.broadcast(ranges), "id").select("file", "range", "number", "kind", "record")
 
 
 def _joined(pieces: DataFrame) -> DataFrame:
     """Fragments put together: each belongs to the last open record before it in its file."""
-    parts = materialize(pieces.where(F.col("kind") != WHOLE), "csv-fragments")
+    parts = pieces.where(F.col("kind") != WHOLE)
     order = Window.partitionBy("file").orderBy("range", (F.col("kind") == OPEN).cast("int"))
     begun = parts.withColumn("of", F.sum((F.col("kind") == OPEN).cast("int")).over(order))
     one = begun.groupBy("file", "of").agg(
@@ -136,7 +153,7 @@ def read_csv(spark: SparkSession, path: str, columns: Sequence[str] | None = Non
     """
     if columns is None:
         columns = spark.read.option("header", True).option("multiLine", True).options(**PLAIN_VALUES).csv(path).columns
-    pieces = records(spark, path)
+    pieces = materialize(records(spark, path), "csv-records")  # read for whole records and for fragments
     whole = pieces.where(F.col("kind") == WHOLE).select("file", "range", "number", "record")
     every = whole.unionByName(_joined(pieces))
     # a file's first record is its header; empty lines are no records
