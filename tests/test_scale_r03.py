@@ -37,6 +37,6 @@ def test_phrases_are_built_where_a_first_word_stands(spark):
     entries = spark.createDataFrame([("a b", "X"), ("b", "Y"), ("a b c", "Z"), ("- the", "W")], "token string, label string")
     found = entities.phrase_mentions(docs, entries, key="id", text_col="t")
     assert sorted(tuple(r) for r in found.collect()) == [
-        (1, 0, 2, "X"), (3, 0, 1, "Y"), (3, 1, 2, "W"), (4, 2, 1, "Y"), (4, 3, 3, "Z")]
+        (1, 0, 3, "Z"), (3, 0, 1, "Y"), (3, 1, 2, "W"), (4, 2, 1, "Y"), (4, 3, 3, "Z")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
