@@ -104,3 +104,14 @@ def test_article_id_prefix(spark):
 def test_flatten_once(spark):
     df = spark.createDataFrame([([["a", "b"], [], ["c"]],)], "x array<array<string>>")
     assert df.select(T.flatten_once("x")).first()[0] == ["a", "b", "c"]
+
+
+def test_an_empty_text_has_the_cleaned_values_written_down(spark):
+    rows = spark.createDataFrame([(1, ""), (2, None), (3, " "), (4, "An x y\nOn z\nk l")], "id int, text string")
+    for prefixes, markers in ((("An",), ("On",)), (("",), ("",)), (("x",), ())):
+        plain = rows.select("id", *[c.alias(k) for k, c in T.cleaned_text_features("text", prefixes, markers).items()])
+        short = T.with_cleaned_text(rows, "text", prefixes, markers).drop("text")
+        assert sorted(plain.collect()) == sorted(short.collect()) and plain.dtypes == short.dtypes
+        assert dict(zip(short.columns[1:], short.where("id = 1").first()[1:])) == T.EMPTY_CLEANED
+    plan = T.with_cleaned_text(rows)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("CASE WHEN (text") >= 3
